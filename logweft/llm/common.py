@@ -49,3 +49,8 @@ def ascii_lower(text: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

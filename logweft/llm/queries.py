@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, linededup, unigram
+from . import bpe, chat, decontam, fingerprint, langid, linededup, pii, unigram
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,10 @@ def digest(text: F.Column) -> F.Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _count_of(spans: str, kind: str) -> F.Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -46,6 +50,20 @@ FROM k LEFT JOIN often USING (key) GROUP BY doc_id
 """
 
 
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read(spark, sf_dir, "documents"))
+    base = pii.listed(F.filter("spans", lambda s: s["kind"].isin(pii.BASE)))
+    counts = [_count_of("spans", k).alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, digest(base).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fingerprint.compare_edited(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_chars", digest(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
