@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprint, langid, linededup, pii, unigram
+from . import bpe, chat, decontam, fingerprint, langid, linededup, pii, secret_scan, unigram
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest(base).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    found = secret_scan.find_secrets(read(spark, sf_dir, "documents"), forest)
+    spans = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), spans.alias("spans"))
+
+
 @query
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fingerprint.compare_edited(read(spark, sf_dir, "documents"))
