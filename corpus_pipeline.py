@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweft.llm import bpe, decontam, langid
+from logweft.llm import bpe, decontam, langid, linededup, neardup
 from logweft.llm.common import read, saved
 
 
@@ -15,6 +15,16 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs, langid.learn(docs))
 
 
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the long lines that many of them share."""
+    return linededup.dedup_lines(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    return neardup.keep_first(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     return decontam.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
@@ -28,6 +38,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", identified),
+    ("line_dedup", without_repeated_lines),
+    ("near_dedup", without_near_copies),
     ("decontamination", decontaminated),
     ("bpe", tokens),
 ]
