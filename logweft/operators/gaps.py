@@ -16,16 +16,22 @@ def with_previous(rows: DataFrame, at: str, out: str = "prev_ts", partitions: in
     each range.
     """
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {at})")
-    keyed = rows.withColumn("_us", micros)
-    cuts = keyed.select(F.percentile_approx("_us", [i / n for i in range(1, n)], 1_000)).first()[0] if n > 1 else []
-    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
-    ranged = keyed.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col("_us"))))
+    cuts = rows.select(F.percentile_approx(at, [i / n for i in range(1, n)], 1_000)).first()[0] if n > 1 else []
+    ranged = rows.withColumn("_range", range_of(F.col(at), [F.expr(f"timestamp_ntz'{c}'") for c in sorted(set(cuts or []))]))
     inside = Window.partitionBy("_range").orderBy(at)
     led = ranged.withColumn("_prev", F.lag(at).over(inside))
     tops = ranged.groupBy("_range").agg(F.max(at).alias("_top"))
-    edge = tops.select("_range", F.lag("_top").over(Window.orderBy("_range")).alias("_edge"))  # one row for each range
-    return led.join(F.broadcast(edge), "_range").withColumn(out, F.coalesce("_prev", "_edge")).drop("_us", "_range", "_prev", "_edge")
+    edge = tops.select(F.col("_range").alias("_of"), F.lag("_top").over(Window.orderBy("_range")).alias("_edge"))  # one row for each range
+    joined = led.join(F.broadcast(edge), F.col("_range") == F.col("_of"))
+    return joined.withColumn(out, F.coalesce("_prev", "_edge")).drop("_range", "_prev", "_edge", "_of")
+
+
+def range_of(value: Column, cuts: list[Column], first: int = 0) -> Column:
+    """How many of the ascending cuts are at or below the value, by halving."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(value < cuts[mid], range_of(value, cuts[:mid], first)).otherwise(range_of(value, cuts[mid + 1 :], first + mid + 1))
 
 
 def seconds(a: str, b: str) -> Column:
