@@ -284,11 +284,12 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
     tasks = texts.select("cluster", F.col("block"), other, "id", "text").select("cluster", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "id", "text")
     sure = saved(tasks.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(confirmed, link), "links")
-    root = components(sure).select(F.col("node").alias("rep"), "root")
-    best = classes.select("class", "rep").join(root, "rep", "left").select("class", F.coalesce("root", "rep").alias("root"))
-    # Rows of one id are one document, so its smallest root holds for all of them.
-    whole = rows.select("id", "n", "class").join(best, "class", "left")
-    return whole.select("id", "n", F.coalesce("root", "id").alias("root"))
+    # Rows of one id are one document: where their sets differ, the id ties their classes.
+    member = saved(rows.select("id", "n", "class").join(classes.select("class", "rep"), "class", "left").select("id", "n", "rep"), "members")
+    torn = member.where("id is not null").groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("id")
+    ties = member.join(torn, "id", "left_semi").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    root = components(sure.unionByName(ties)).select(F.col("node").alias("rep"), "root")
+    return member.join(root, "rep", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id")).alias("root"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
