@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
-SECTION = re.compile(r"(?ms)^---\s*\nid:\s*(\S+)\s*\n(?:.*?\n)?---\s*\n(.*?)(?=^---\s*\nid:|\Z)")
+SECTION = re.compile(r"(?ms)^---[ \t]*\nid:[ \t]*(\S+)[ \t]*\n(?:(?!---)[^\n]*\n)*---[ \t]*\n(.*?)(?=^---[ \t]*\nid:|\Z)")
 
 
 def fragments(text: str) -> dict[str, str]:
