@@ -82,15 +82,16 @@ def request_documents(parsed: DataFrame, signals: RetrievalSignals, label: Colum
     starts, ends = extract.has_marker(F.col("clean"), signals.start_markers), extract.has_marker(F.col("clean"), signals.end_markers)
     keys = ["source_path", "primary_key"]
     rows = number_spans(rows, keys, "line_no", starts, ends)
-    next_start = F.min(F.when(F.col("_start") == 1, F.col("line_no"))).over(Window.partitionBy(*keys).orderBy("line_no").rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("_next_start", next_start)
     words = [*signals.iam_keywords, *signals.error_keywords]
     loud = parse.any_contains(F.col("clean"), words)  # cheap, and necessary for what follows
     kept = rows.where(F.col("in_request") | (F.col("_end") == 1) | (loud & parse.any_contains(extract.diagnostic_text(F.col("clean")), words)))
     unit = F.when(F.col("in_request"), F.concat(F.lit("r"), F.col("span_no"))).otherwise(F.concat(F.lit("e"), F.col("line_no")))
     grouped = kept.groupBy("source_path", "source_file", "primary_key", "in_request", unit.alias("_unit")).agg(
         F.array_sort(F.collect_list(F.struct("line_no", "clean"))).alias("_lines"), F.max("_end").alias("_matched"), F.min("ts").alias("_t0"), F.max("ts").alias("_t1"),
-        F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.count("*").alias("line_count"), F.array_sort(F.collect_set("_label")).alias("_labels"), F.max("_next_start").alias("_next"))
+        F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.count("*").alias("line_count"), F.array_sort(F.collect_set("_label")).alias("_labels"))
+    # A request that no exit ends is let go at the thread's next entry, which is where its next request starts.
+    requests = Window.partitionBy("source_path", "primary_key", "in_request").orderBy("start_line")
+    grouped = grouped.withColumn("_next", F.lead("start_line").over(requests))
     text = grouped.withColumn("content", F.array_join(F.transform("_lines", lambda x: x["clean"]), "\n"))
     c = F.col("content")
     flagged = text.withColumns({"iam_critical": extract.is_critical(c, signals), "has_error_signal": extract.is_error(c, signals)})

@@ -169,6 +169,7 @@ def server_workflow(parsed: DataFrame, *, ticket: str = "", ask: Ask | None = No
         s.note("critic", verdict)
         if verdict == "RECLASSIFY" and attempt < rules.RECLASSIFICATIONS and s.classification.get("secondary"):
             s.classification["primary"], s.classification["secondary"] = s.classification["secondary"], s.classification["primary"]
+            s.evidence = []  # it was gathered for the archetype that is given up
         elif verdict != "RETRY":
             break
     s.report = synthesis(s, ask)

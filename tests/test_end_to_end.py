@@ -176,6 +176,15 @@ def test_dialect_runs(spark, log):
     assert sql.markdown(spark.range(60), 50).endswith("... more rows") and "log_events: 8 rows" in sql.observation_bounds(spark.table("log_events"), spark.table("server_metrics_wide"))
 
 
+def test_command_line_and_reports(spark, log, tmp_path):
+    from logweft.__main__ import main
+    from logweft.plans import report
+
+    assert "TokenException" in main([log, "--out", str(tmp_path / "out")]) and (tmp_path / "out" / "reports" / "report.md").exists()
+    md, js = report.write_benchmark(str(tmp_path / "b"), {"q": (10.0, 1.0), "z": (1.0, 0.0)}, {"load": 2.0})
+    assert "| q | 10.0 | 1.0 | 10.0x |" in open(md).read() and json.load(open(js))["pairs"]["q"]["ratio"] == 10
+
+
 def test_prompts(tmp_path):
     (tmp_path / "p.md").write_text("---\nid: a\n---\nHello {{ name }}\n---\nid: b\n---\nBye\n")
     assert prompts.render(prompts.load_fragment(str(tmp_path / "p.md"), "a"), name="you") == "Hello you"
