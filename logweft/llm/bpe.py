@@ -34,7 +34,7 @@ LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 FAST_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+", re.ASCII)
 BEYOND = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]")
 #: Pieces that a worker keeps encoded; beyond it the table is emptied. It bounds memory and changes no result.
-CACHE = 1_000_000
+CACHE = 300_000
 NEVER = 1 << 40
 _WORKER: dict = {}
 
@@ -123,7 +123,7 @@ class Bpe:
     def piece(self, text: str) -> bytes:
         if len(self.cache) >= CACHE:
             self.cache.clear()
-        if len(self.memo) >= 4 * CACHE:
+        if len(self.memo) >= CACHE:
             self.memo.clear()
         got = self.cache[text] = array("i", self.ids(text.encode("utf-8", "replace"))).tobytes()
         return got

@@ -39,7 +39,7 @@ from .components import components
 WIDTH, PERCENT = 5, 75
 SIZE, DEPTH, AGREE, REGION = 96, 4, 54, 2048
 #: Shingles of a cluster that one task holds, and words a worker keeps hashed (bounds of memory only).
-BLOCK, CACHE = 6_000_000, 1_000_000
+BLOCK, CACHE = 6_000_000, 250_000
 #: Odd multipliers and masks of the minima, drawn once from a fixed seed.
 _RNG = np.random.default_rng(20240229)
 MULTIPLIERS = _RNG.integers(0, 2**63, SIZE, np.uint64) * np.uint64(2) + np.uint64(1)

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words a worker keeps counted; beyond it the table is emptied. It bounds memory and changes no result.
-CACHE = 600_000
+CACHE = 300_000
 _WORKER: dict = {}
 
 
