@@ -4,8 +4,9 @@
     that set, and a signature of ``SIZE`` one-byte minima.  Equal sets form a
     class, and its smallest id stands for it from here on.
 2.  The forest is ``SIZE / DEPTH`` sorted orders of the signatures: order k
-    starts at position ``k * DEPTH`` and wraps around.  All orders are sorted at
-    once, by ranges, so that no task depends on how many documents are alike.
+    starts at position ``k * DEPTH`` and wraps around.  Of the first ``DEPTH``
+    minima a whole byte is kept, of all others half of one.  All orders are sorted
+    at once, by ranges, so that no task depends on how many documents are alike.
 3.  Along a sorted order a region is a run of signatures with a common prefix
     of ``DEPTH`` or more.  A region of up to ``REGION`` members is compared whole,
     by signature; a denser one is descended into until its parts are small
@@ -15,11 +16,13 @@
     leaves the task, so output is linear in its input.
 4.  Components of the candidates are clusters.  Texts meet once more by
     cluster, and links are decided exactly, on whole sets.  A cluster with more
-    than ``BLOCK`` shingles is dealt in blocks, and each pair of blocks is a task.
+    than ``BLOCK`` shingles is dealt in blocks: its most typical text goes to
+    every block, what is linked to it needs nothing more among itself, and only
+    the texts that are left are queries against all blocks.
 5.  Components of the confirmed links are the groups of near copies.
 
 A pair at similarity 0.75 shares a prefix of four in at least one of 24 orders
-with probability 0.9999, and agrees in 54 of 96 positions with 0.99999.
+with probability 0.9999, and agrees in 56 of 96 half bytes with 0.99998.
 """
 
 from __future__ import annotations
@@ -37,9 +40,11 @@ from .common import saved
 from .components import components
 
 WIDTH, PERCENT = 5, 75
-SIZE, DEPTH, AGREE, REGION = 96, 4, 54, 2048
+SIZE, DEPTH, AGREE, REGION = 96, 4, 56, 2048
+#: Bytes of a sort key: the order, its prefix, and all minima in half bytes.
+KEY = 1 + DEPTH + SIZE // 2
 #: Shingles of a cluster that one task holds, and words a worker keeps hashed (bounds of memory only).
-BLOCK, CACHE = 6_000_000, 250_000
+BLOCK, CACHE = 2_000_000, 250_000
 #: Odd multipliers and masks of the minima, drawn once from a fixed seed.
 _RNG = np.random.default_rng(20240229)
 MULTIPLIERS = _RNG.integers(0, 2**63, SIZE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,9 +94,21 @@ def signature(hashes: np.ndarray) -> bytes:
     return (best & np.uint64(255)).astype(np.uint8).tobytes()
 
 
+def halves(sig: bytes) -> bytes:
+    """The low half of each byte, two to a byte."""
+    s = np.frombuffer(sig, np.uint8) & 15
+    return ((s[0::2] << 4) | s[1::2]).astype(np.uint8).tobytes()
+
+
+def unpacked(packed: np.ndarray) -> np.ndarray:
+    out = np.empty((packed.shape[0], 2 * packed.shape[1]), np.uint8)
+    out[:, 0::2], out[:, 1::2] = packed >> 4, packed & 15
+    return out
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, class, sig); class and sig are null for texts without words."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+    """(id, n, class, sig, half); the last three are null for texts without words."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("half", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,7 +118,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sizes.append(len(s))
                 sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary()), pa.array([x and halves(x) for x in sigs], pa.binary())], names=schema.names)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -132,8 +149,8 @@ class Forest:
         return [x for x, _ in pairs], [r for _, r in pairs]
 
 
-def compare(sig: np.ndarray, ids: np.ndarray, forest: Forest, depth: int = DEPTH) -> None:
-    """Join the candidates of one region; rows are in sorted order and agree in ``depth`` positions."""
+def compare(sig: np.ndarray, ids: np.ndarray, forest: Forest, depth: int = 0) -> None:
+    """Join the candidates of one region; rows (half bytes) are in sorted order and agree in the first ``depth`` ones."""
     n = len(ids)
     if n == 2:
         if ids[0] != ids[1] and np.count_nonzero(sig[0] == sig[1]) >= AGREE:
@@ -164,25 +181,25 @@ def compare(sig: np.ndarray, ids: np.ndarray, forest: Forest, depth: int = DEPTH
 
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (key, id), sorted by key, to the spanning links of their regions."""
-    forest, held, held_ids = Forest(), np.empty((0, SIZE + 1), np.uint8), np.empty(0, np.int64)
+    forest, held, held_ids = Forest(), np.empty((0, KEY), np.uint8), np.empty(0, np.int64)
 
     def regions(keys: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
         start = 0
         for end in ends.tolist():
             if end - start > 1:
-                compare(keys[start:end, 1:], ids[start:end], forest)
+                compare(unpacked(keys[start:end, DEPTH + 1 :]), ids[start:end], forest)
             start = end
 
     for b in batches:
         if not b.num_rows:
             continue
-        keys = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, SIZE + 1)
+        keys = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, KEY)
         keys, ids = np.concatenate([held, keys]), np.concatenate([held_ids, b.column(1).to_numpy(zero_copy_only=False)])
         cut = np.flatnonzero((keys[1:, : DEPTH + 1] != keys[:-1, : DEPTH + 1]).any(axis=1)) + 1
         regions(keys, ids, cut)
         last = int(cut[-1]) if len(cut) else 0
         if len(ids) - last > 4 * REGION:  # a very long run goes in pieces, tied by a row in common
-            compare(keys[last:, 1:], ids[last:], forest)
+            compare(unpacked(keys[last:, DEPTH + 1 :]), ids[last:], forest)
             last = len(ids) - 1
         held, held_ids = keys[last:], ids[last:]
     regions(held, held_ids, np.array([len(held_ids)]))
@@ -195,71 +212,123 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
+class Index:
+    """The sets of some documents by shingle; ``similar`` counts along it, exactly."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        self.terms, term, self.often = np.unique(flat, return_inverse=True, return_counts=True)
+        self.by_term = owner[np.argsort(term, kind="stable")]
+        self.start = np.concatenate([[0], np.cumsum(self.often)])
+        #: How much each set shares with all of them, by its own size.
+        self.weight = np.bincount(owner, self.often[term]) / np.maximum(self.size, 1)
+
+    def similar(self, x: np.ndarray) -> np.ndarray:
+        """Positions of the sets that are similar enough to ``x``."""
+        at = np.searchsorted(self.terms, x)
+        at = at[(at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == x)]
+        k = self.often[at]
+        place = np.repeat(self.start[at] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum()) if len(at) else at
+        both = np.bincount(self.by_term[place], minlength=len(self.size))
+        return np.flatnonzero(100 * both >= PERCENT * (self.size + len(x) - both))
+
+
 def confirm(ids: list[int], sets: list[np.ndarray], forest: Forest) -> None:
     """Join all pairs of one cluster that are similar enough, exactly.
 
     The set that shares most with the rest comes first.  Those it is linked
     to are joined through it, so pairs among them can bring nothing new; every
-    other set is compared with all sets, by counting along an index of the
-    shingles.
+    other set is compared with all sets.
     """
-    n = len(ids)
-    if n < 2:
+    if len(ids) < 2:
         return
-    if n == 2:
+    if len(ids) == 2:
         if alike(sets[0], sets[1]):
             forest.join(ids[0], ids[1])
         return
-    size = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
-    _, term, often = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.argsort(term, kind="stable")
-    by_term, start = owner[order], np.concatenate([[0], np.cumsum(often)])
-    first = np.concatenate([[0], np.cumsum(size)])
-    shared = often[term] > 1
-
-    def linked(i: int) -> np.ndarray:
-        mine = term[first[i] : first[i + 1]][shared[first[i] : first[i + 1]]]
-        if not len(mine):
-            return np.empty(0, np.int64)
-        a, k = start[mine], often[mine]
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-        both = np.bincount(by_term[at], minlength=n)
-        got = np.flatnonzero(100 * both >= PERCENT * (size + size[i] - both))
-        return got[got != i]
-
-    weight = np.bincount(owner, often[term]) / np.maximum(size, 1)
-    core = int(np.argmax(weight))
-    done = linked(core)
-    for j in done.tolist():
-        forest.join(ids[core], ids[j])
-    skip = np.zeros(n, bool)
-    skip[done] = skip[core] = True
-    for i in np.flatnonzero(~skip).tolist():
-        for j in linked(i).tolist():
+    index = Index(sets)
+    core = int(np.argmax(index.weight))
+    done = index.similar(sets[core])
+    rest = np.setdiff1d(np.arange(len(ids)), done)
+    for i in [core, *rest.tolist()]:
+        for j in (done if i == core else index.similar(sets[i])).tolist():
             forest.join(ids[i], ids[j])
 
 
 def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (cluster, x, y, id, text), sorted by the first three, to spanning links of each task's share."""
-    now, ids, sets = None, [], []
+    """From rows (cluster, x, y, asks, id, text), sorted by the first three, to spanning links of each task.
+
+    Where no row asks, all pairs are compared, and else the asking rows with all others.
+    """
+    now, ids, sets, asks = None, [], [], []
 
     def links() -> pa.RecordBatch:
         forest = Forest()
-        confirm(ids, sets, forest)
+        if not any(asks):
+            confirm(ids, sets, forest)
+        elif others := [k for k, q in enumerate(asks) if not q]:
+            index = Index([sets[k] for k in others])
+            for k in (k for k, q in enumerate(asks) if q):
+                for j in index.similar(sets[k]).tolist():
+                    forest.join(ids[k], ids[others[j]])
         a, r = forest.links()
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64())], names=["a", "b"])
 
     for b in batches:
-        for key, i, text in zip(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True), b.column(3).to_pylist(), b.column(4), strict=True):
+        for key, q, i, text in zip(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5), strict=True):
             if key != now:
                 yield links()
-                now, ids, sets = key, [], []
+                now, ids, sets, asks = key, [], [], []
             ids.append(i)
             sets.append(shingles(text.as_py()))
+            asks.append(q)
     yield links()
 
 
+LINK = "a long, b long"
+
+
+def decided(tasks: DataFrame) -> DataFrame:
+    return tasks.select("cluster", "x", "y", "asks", "id", "text").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(confirmed, LINK)
+
+
+def typical(big: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cluster, leader): the document nearest to the commonest byte in each position of its cluster's signatures."""
+    sig = big.join(classes.groupBy(F.col("rep").alias("_id")).agg(F.max("sig").alias("sig")), "_id")
+    bytes_ = F.transform(F.sequence(F.lit(1), F.lit(SIZE)), lambda i: F.hex(F.substring(F.col("sig"), i, F.lit(1))))
+    rows = sig.select("cluster", "_id", bytes_.alias("bytes"))
+    common = rows.select("cluster", F.posexplode("bytes").alias("at", "byte")).groupBy("cluster", "at", "byte").count().groupBy("cluster", "at").agg(F.max_by("byte", F.struct("count", "byte")).alias("byte"))
+    mode = common.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "byte"))), lambda x: x["byte"]).alias("mode"))
+    same = F.size(F.filter(F.zip_with("bytes", "mode", lambda x, y: x == y), lambda x: x))
+    return rows.join(mode, "cluster").groupBy("cluster").agg(F.max_by("_id", F.struct(same, -F.col("_id"))).alias("leader"))
+
+
+def confirmed_links(docs: DataFrame, placed: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Spanning links of all clusters (placed: _id, cluster, block, blocks), decided on whole sets."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # One text of a class is enough: the representative's.
+    texts = source.join(placed, F.col("id") == F.col("_id"))
+    alone = {"x": F.lit(0), "y": F.lit(0), "asks": F.lit(False)}
+    sure = saved(decided(texts.where("blocks = 1").withColumns(alone)), "links")
+    big = placed.where("blocks > 1")
+    if not big.limit(1).count():
+        return sure
+    big_texts = saved(texts.where("blocks > 1").select("cluster", "block", "blocks", "id", "text"), "big-clusters")
+    leaders = typical(big, classes).withColumnRenamed("cluster", "_of")
+    lead = big_texts.join(leaders, (F.col("cluster") == F.col("_of")) & (F.col("id") == F.col("leader")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    first = big_texts.select("cluster", F.col("block").alias("x"), F.lit(0).alias("y"), F.lit(False).alias("asks"), "id", "text").unionByName(lead.select("cluster", every.alias("x"), F.lit(0).alias("y"), F.lit(True).alias("asks"), "id", "text"))
+    core = saved(decided(first), "core-links")
+    rest = big_texts.join(core.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_anti")
+    # The rest in blocks of queries, as many as its own shingles fill.
+    share = rest.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n")), "id").groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("asking"))
+    queries = rest.join(share, "cluster").withColumn("y", F.pmod(F.xxhash64("id", F.lit("q")), F.col("asking")).cast("int"))
+    second = big_texts.join(share, "cluster").select("cluster", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("y"), F.lit(False).alias("asks"), "id", "text")
+    second = second.unionByName(queries.select("cluster", every.alias("x"), "y", F.lit(True).alias("asks"), "id", "text"))
+    return sure.unionByName(core).unionByName(saved(decided(second), "rest-links"))
+
+
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, root) for every row: shingles in its set and the smallest id it is linked to, directly or not.
 
@@ -269,21 +338,17 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     """
     spark = docs.sparkSession
     rows = saved(sketches(docs, id_col, text_col), "sketches")
-    classes = saved(rows.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"), F.max("sig").alias("sig"), F.max("n").alias("n")), "classes")
-    orders = F.array(*(F.concat(F.lit(bytes([k])), F.expr(f"substring(sig, {k * DEPTH + 1})"), F.expr(f"substring(sig, 1, {k * DEPTH})")) for k in range(SIZE // DEPTH)))
+    classes = saved(rows.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"), F.max("sig").alias("sig"), F.max("half").alias("half"), F.max("n").alias("n")), "classes")
+    turn = DEPTH // 2  # bytes of half bytes that an order's prefix takes
+    orders = F.array(*(F.concat(F.lit(bytes([k])), F.expr(f"substring(sig, {k * DEPTH + 1}, {DEPTH})"), F.expr(f"substring(half, {(k + 1) * turn + 1})"), F.expr(f"substring(half, 1, {(k + 1) * turn})")) for k in range(SIZE // DEPTH)))
     keys = classes.select(F.explode(orders).alias("key"), F.col("rep").alias("id"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    link = "a long, b long"
-    near = saved(keys.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(candidates, link), "candidates")
+    near = saved(keys.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(candidates, LINK), "candidates")
     cluster = components(near).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
     sized = cluster.join(classes.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n")), "id")
     blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     placed = saved(sized.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(F.col("id").alias("_id"), "cluster", "block", "blocks"), "clusters")
-    # One text of a class is enough: the representative's.
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(placed, F.col("id") == F.col("_id"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    tasks = texts.select("cluster", F.col("block"), other, "id", "text").select("cluster", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "id", "text")
-    sure = saved(tasks.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(confirmed, link), "links")
+    sure = confirmed_links(docs, placed, classes, id_col, text_col)
     # Rows of one id are one document: where their sets differ, the id ties their classes.
     member = saved(rows.select("id", "n", "class").join(classes.select("class", "rep"), "class", "left").select("id", "n", "rep"), "members")
     torn = member.where("id is not null").groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("id")
