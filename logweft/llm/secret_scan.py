@@ -20,9 +20,18 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|auth[_-]?key|credential)"
+#: What a secret's name ends in; whatever stands before it belongs to the name.
+NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|auth[_-]?key|credential|key|pat|sig)"
 ASSIGNED = NAME + r"[\x22']?\x20?[=:]\x20?[\x22']?"
-CANDIDATE = ASSIGNED + r"[^\s\x22',;]{6,}+|(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: A URL's next parameter ends an assigned value.
+VALUE = r"(?:(?!&[A-Za-z0-9_.%-]++=)[^\s\x22',;]){6,}+"
+#: A run after anything but itself, so also after "="; past a "/" that no run took, a URL's segment, or the three of a webhook.
+#: The name of an assignment goes with its value, and "=" before a value is no padding.
+TAIL = rf"(?!(?<={NAME})[\x22']?\x20?[=:])(?:={{1,2}}+(?![\x22']?[A-Za-z0-9+/_$%.-]))?+"
+BARE = rf"(?<![A-Za-z0-9+/_.@-])(?!(?<=:)//)[A-Za-z0-9+/_-]{{16,}}+{TAIL}"
+WEBHOOK = r"T[A-Z0-9]{7,}+/B[A-Z0-9]{7,}+/"
+SEGMENT = rf"(?<=/)(?:{WEBHOOK})?+[A-Za-z0-9+_-]{{16,}}+{TAIL}"
+CANDIDATE = f"{ASSIGNED}{VALUE}|{BARE}|{SEGMENT}"
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "login")
 BENIGN_WORDS = ("commit", "sha", "md5", "checksum", "hash", "digest", "uuid", "revision", "example", "sample", "file", "path", "order", "version", "card", "phone")
 DICTIONARY = (
@@ -40,6 +49,8 @@ DICTIONARY = (
     "table target task temp test text than that then there these thing this time title token tool total track true type under unit update upload user "
     "value version video view water week welcome where which white width window with word work world write year your"
 ).split()
+#: Common syllables, for words that no dictionary has.
+SYLLABLES = "an ar be ber ci cion de der di do ein en ent er est ge gen ha heit in ing ir keit le les lich lo ly ment no nt on or os ous que ra re sch se so st te ter th ti tion to tra un ung us ver wh".split()
 #: Bound of the generated training set, and the forest's size.
 FIT_ROWS, TREES, DEPTH, SEED = 6_000, 16, 7, 11
 FEATURES = ["chars", "changes", "repeats", "digits", "capitals", "vowels", "words", "slashes", "dots", "hexlike", "assigned", "secretish", "benign", "prefix"]
@@ -72,7 +83,7 @@ def features(value: Column, before: Column) -> dict[str, Column]:
         "assigned": before.rlike(ASSIGNED + "$").cast("double"),
         "secretish": any_near(SECRET_WORDS),
         "benign": any_near(BENIGN_WORDS),
-        "prefix": value.rlike("^(?:AKIA|ASIA|gh[pousr]_|xox[abpr]-|sk_live_|sk-|AIza|glpat-|eyJ)").cast("double"),
+        "prefix": value.rlike(f"^(?:AKIA|ASIA|gh[pousr]_|xox[abpr]-|sk_live_|sk-|AIza|glpat-|eyJ|{WEBHOOK})").cast("double"),
     }
 
 
@@ -81,7 +92,8 @@ def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
 
     Real credentials are strings drawn evenly from an alphabet, with the
     prefixes and assignments that issuers and programs give them; false ones
-    are placeholders, words, numbers, paths, checksums and identifiers.
+    are placeholders, words, numbers, paths, checksums, identifiers, and long
+    words, titles and names without a digit.
     """
     def drawn(alphabet: str, least: int, most: int | None = None) -> Column:
         size = F.lit(least) if most is None else F.pmod(F.xxhash64("id", F.lit("size")), F.lit(most - least + 1)) + least
@@ -96,6 +108,9 @@ def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
     talk = pick(["and then the ", "of that ", "in ", "see ", "using ", "", "with our ", "\n"], "talk")
     put = pick(["password=", "token = \"", "secret=", "api_key: ", "pwd=", "apikey=\"", "credential: "], "put")
     word = lambda salt: pick(DICTIONARY, salt)
+    spoken = F.concat(*(pick(SYLLABLES, f"s{k}") for k in range(6)), F.when(F.col("id") % 2 == 0, pick(SYLLABLES, "s6")).otherwise(""))
+    words = lambda by: F.concat_ws(by, *map(word, "ghij"))
+    named = pick(["name=", "path=", "mode = ", "class=\"", "https://host.example.org/", "/", "primary key: ", "type: "], "named")
     cases = [
         (F.concat(F.lit("AKIA"), drawn(upper, 16)), talk, 1), (drawn(hexa, 16, 40), F.concat(talk, put), 1), (drawn(b62, 20, 44), F.concat(talk, put), 1),
         (F.concat(pick(["ghp_", "gho_", "glpat-", "sk_live_", "xoxb-"], "kind"), drawn(b62, 24, 40)), talk, 1), (drawn(b62 + "+/", 32, 64), F.concat(talk, put), 1),
@@ -105,6 +120,13 @@ def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
         (drawn("0123456789", 16, 20), talk, 0), (F.concat(word("d"), F.lit("/"), word("e"), F.lit("/v2/"), word("f")), talk, 0),
         (drawn(hexa, 32, 64), F.concat(talk, pick(["commit ", "sha1 ", "md5: ", "checksum ", "hash of the file ", "digest: ", "revision "], "sum")), 0),
         (F.concat(drawn(hexa, 8), F.lit("-"), drawn(hexa, 4), F.lit("-4"), drawn(hexa, 3), F.lit("-a"), drawn(hexa, 3), F.lit("-"), drawn(hexa, 12)), F.concat(talk, pick(["id ", "uuid ", "order ", "for "], "id")), 0),
+        (F.concat(pick(["T", "T0"], "team"), drawn(upper, 8), F.lit("/B0"), drawn(upper, 8), F.lit("/"), drawn(b62, 24)), F.concat(talk, F.lit("https://hooks.host.com/services/")), 1),
+        (F.when(F.col("id") % 2 == 0, drawn(b62, 20, 44)).otherwise(drawn(b62 + "+//", 40)), F.concat(talk, pick(["AUTH_KEY_V2=", "\nexport SECRET_VALUE=", "token_prod = "], "kept")), 1),
+        (F.when(F.col("id") % 3 == 0, spoken).otherwise(F.initcap(spoken)), F.concat(talk, F.when(F.col("id") % 4 == 0, named).otherwise("")), 0),
+        (F.when(F.col("id") % 2 == 0, words("-")).otherwise(words("_")), F.concat(talk, F.when(F.col("id") % 3 == 0, named).otherwise("")), 0),
+        (F.upper(F.concat_ws("_", word("g"), word("h"), pick(["key", "id", "api", "url"], "i"), pick(["key", "id", "no", "base"], "j"))), F.concat(talk, pick(["", "export ", "\n", "secret "], "shell")), 0),
+        (F.replace(F.initcap(words(" ")), F.lit(" "), F.lit("")), F.concat(talk, F.when(F.col("id") % 3 == 0, named).otherwise("")), 0),
+        (F.upper(F.when(F.col("id") % 2 == 0, spoken).otherwise(F.concat_ws("_", pick(SYLLABLES, "k"), word("g"), pick(["key", "id", "api", "url"], "i"), pick(["key", "id", "no", "base"], "j")))), F.concat(talk, pick(["", "export ", "\n", "with "], "shell")), 0),
     ]
     return reduce(DataFrame.unionByName, [spark.range(k, rows, len(cases), 1).select(v.alias("value"), b.alias("before"), F.lit(float(label)).alias("label")) for k, (v, b, label) in enumerate(cases)])
 
