@@ -6,7 +6,9 @@
 2.  The forest is ``SIZE / DEPTH`` sorted orders of the signatures: order k
     starts at position ``k * DEPTH`` and wraps around.  Of the first ``DEPTH``
     minima a whole byte is kept, of all others half of one.  All orders are sorted
-    at once, by ranges, so that no task depends on how many documents are alike.
+    at once, by ranges that end where a prefix of ``DEPTH`` does; only a prefix
+    with very many members is cut further, so that no task depends on how many
+    documents are alike, and the members beside the cuts are compared once more.
 3.  Along a sorted order a region is a run of signatures with a common prefix
     of ``DEPTH`` or more.  A region of up to ``REGION`` members is compared whole,
     by signature; a denser one is descended into until its parts are small
@@ -180,8 +182,12 @@ def compare(sig: np.ndarray, ids: np.ndarray, forest: Forest, depth: int = 0) ->
 
 
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, id), sorted by key, to the spanning links of their regions."""
+    """From rows (key, id, long), sorted by key, to the spanning links of their regions.
+
+    The first and the last row come out as well, with their keys, if they are of a long region.
+    """
     forest, held, held_ids = Forest(), np.empty((0, KEY), np.uint8), np.empty(0, np.int64)
+    first = last_row = None
 
     def regions(keys: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
         start = 0
@@ -193,6 +199,8 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
+        first = first or tuple(c[0].as_py() for c in b.columns)
+        last_row = tuple(c[-1].as_py() for c in b.columns)
         keys = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, KEY)
         keys, ids = np.concatenate([held, keys]), np.concatenate([held_ids, b.column(1).to_numpy(zero_copy_only=False)])
         cut = np.flatnonzero((keys[1:, : DEPTH + 1] != keys[:-1, : DEPTH + 1]).any(axis=1)) + 1
@@ -204,7 +212,9 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_ids = keys[last:], ids[last:]
     regions(held, held_ids, np.array([len(held_ids)]))
     a, r = forest.links()
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64())], names=["a", "b"])
+    edges = [x for x in (first, last_row) if x and x[2]]
+    a, r, e = a + [x[1] for x in edges], r + [x[1] for x in edges], [None] * len(a) + [x[0] for x in edges]
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64()), pa.array(e, pa.binary())], names=["a", "b", "edge"])
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
@@ -329,6 +339,26 @@ def confirmed_links(docs: DataFrame, placed: DataFrame, classes: DataFrame, id_c
     return sure.unionByName(core).unionByName(saved(decided(second), "rest-links"))
 
 
+def candidate_links(classes: DataFrame, parts: int) -> DataFrame:
+    """Spanning links of the regions of all orders.
+
+    A region is whole in one of ``parts`` ranges.  One with more than
+    ``4 * REGION`` members and a 2000th of all rows (there are under 2000 such,
+    whatever the data) can be cut; its rows beside a cut meet once more.
+    """
+    turn = DEPTH // 2  # bytes of half bytes that an order's prefix takes
+    orders = F.array(*(F.concat(F.lit(bytes([k])), F.expr(f"substring(sig, {k * DEPTH + 1}, {DEPTH})"), F.expr(f"substring(half, {(k + 1) * turn + 1})"), F.expr(f"substring(half, 1, {(k + 1) * turn})")) for k in range(SIZE // DEPTH)))
+    keys = classes.select(F.explode(orders).alias("key"), F.col("rep").alias("id"))
+    keys = keys.withColumn("prefix", F.expr(f"substring(key, 1, {DEPTH + 1})"))
+    most = max(4 * REGION, classes.count() * (SIZE // DEPTH) // 2000)
+    long = saved(keys.groupBy("prefix").count().where(F.col("count") > most).select("prefix", F.lit(True).alias("long")), "long-regions")
+    dealt = keys.join(F.broadcast(long), "prefix", "left").repartitionByRange(parts, "prefix", F.when(F.col("long"), F.col("key"))).sortWithinPartitions("key")
+    found = saved(dealt.select("key", "id", F.coalesce("long", F.lit(False)).alias("long")).mapInArrow(candidates, f"{LINK}, edge binary"), "candidates")
+    edges = found.where("edge is not null").select(F.col("edge").alias("key"), F.col("a").alias("id"), F.lit(False).alias("long"))  # two rows of a range at most
+    ties = saved(edges.repartition(1).sortWithinPartitions("key").mapInArrow(candidates, f"{LINK}, edge binary"), "ties")
+    return found.where("edge is null").unionByName(ties).select("a", "b")
+
+
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, root) for every row: shingles in its set and the smallest id it is linked to, directly or not.
 
@@ -339,11 +369,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     rows = saved(sketches(docs, id_col, text_col), "sketches")
     classes = saved(rows.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"), F.max("sig").alias("sig"), F.max("half").alias("half"), F.max("n").alias("n")), "classes")
-    turn = DEPTH // 2  # bytes of half bytes that an order's prefix takes
-    orders = F.array(*(F.concat(F.lit(bytes([k])), F.expr(f"substring(sig, {k * DEPTH + 1}, {DEPTH})"), F.expr(f"substring(half, {(k + 1) * turn + 1})"), F.expr(f"substring(half, 1, {(k + 1) * turn})")) for k in range(SIZE // DEPTH)))
-    keys = classes.select(F.explode(orders).alias("key"), F.col("rep").alias("id"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = saved(keys.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(candidates, LINK), "candidates")
+    near = candidate_links(classes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cluster = components(near).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
     sized = cluster.join(classes.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n")), "id")
     blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))

@@ -75,6 +75,34 @@ def test_near_duplicates_do_not_depend_on_bounds(spark, monkeypatch):
     assert got == brute_groups(rows)
 
 
+def test_near_duplicates_with_more_partitions_than_documents(spark):
+    rows = []
+    for k in range(5):
+        w = make_words(900 + k, 120)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:30], "zz", *w[31:80], "yy", *w[81:]]))]
+    sig = {i: neardup.signature(neardup.shingles(t)) for i, t in rows}
+    classes = spark.createDataFrame([(i, s, neardup.halves(s)) for i, s in sig.items()], "rep long, sig binary, half binary")
+    links = {(r.a, r.b) for r in neardup.candidate_links(classes, 200).collect()}
+    assert links == {(2 * k + 1, 2 * k) for k in range(5)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.doc_id: r.component_id for r in got} == brute_groups(rows) == {i: i - i % 2 for i, _ in rows}
+
+
+def test_cut_regions_are_tied(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 2)
+    sig = neardup.signature(neardup.shingles(" ".join(make_words(950, 120))))
+    classes = spark.createDataFrame([(i, sig, neardup.halves(sig)[:-1] + bytes([i])) for i in range(60)], "rep long, sig binary, half binary")
+    forest = neardup.Forest()
+    for r in neardup.candidate_links(classes, 40).collect():
+        forest.join(r.a, r.b)
+    assert {forest.root(i) for i in range(60)} == {0}
+
+
 def test_dense_regions_descend():
     import numpy as np
 
