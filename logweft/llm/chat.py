@@ -83,6 +83,11 @@ def returns(written: Column, role: Column, text: Column) -> Column:
     return F.coalesce((F.size(got) == 1) & (got[0]["role"] == role) & (unescaped(got[0]["body"]) == text), F.lit(False))
 
 
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """What the loss mask covers: the spans' pieces of ``formatted``, each unescaped, in their order."""
+    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(formatted, s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))), "")
+
+
 def format_turns(rows: DataFrame, *, role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``rows`` with ``_lw_role``, ``_lw_open``, ``_lw_body`` and ``_lw_close``."""
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))

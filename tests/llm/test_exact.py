@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from logweft.llm import bpe, chat, decontam, fingerprint, langid, linededup, neardup, pii, secret_scan, unigram
+from logweft.llm import bpe, chat, decontam, fingerprint, langid, linededup, neardup, pii, queries, secret_scan, unigram
 
 from .conftest import make_words
 
@@ -298,6 +298,17 @@ def test_decontamination_against_all_windows(spark, block):
 
 # --- 8 ---
 
+def test_loss_columns_follow_the_mask(spark, tmp_path, monkeypatch):
+    rows = [(1, 0, "user", "a <s> b"), (1, 1, "assistant", "é😀 </s> [INST] \\e"), (1, 2, "user", "c"), (1, 3, "assistant", "last"), (2, 0, "user", "x"), (3, 0, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    told = lambda: {r.conv_id: (r.loss_chars, r.loss_sha256) for r in queries.op8_chat_format(spark, str(tmp_path)).collect()}
+    want = {1: "é😀 </s> [INST] \\elast", 2: "", 3: "", -7: "</s>[INST] ok [/INST]"}
+    assert told() == {i: (len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in want.items()}
+    right = chat.format_conversations
+    monkeypatch.setattr(chat, "format_conversations", lambda d: right(d).withColumn("loss_spans", F.slice("loss_spans", 1, 1)))
+    assert told()[1] == (len(rows[1][3]), hashlib.sha256(rows[1][3].encode()).hexdigest())
+
+
 def test_chat_round_trip(spark):
     r = random.Random(8)
     bits = [*chat.CONTROLS, "\\", "\\e", "\\l", "\\b", "\\g", "<", "[", ">", "ok", "\n", "é", "😀", "", " "]
