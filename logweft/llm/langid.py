@@ -148,7 +148,13 @@ def identify(docs: DataFrame, profiles: list[tuple[str, int, int]], *, id_col: s
 
 
 def keep_identified(docs: DataFrame, profiles: list[tuple[str, int, int]], *, text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """``docs``, columns as they were, without the rows whose language is undetermined."""
+    """``docs``, columns as they were, without the rows whose language is undetermined.
+
+    Those are the texts without a letter: with any profile, a text with one has
+    a nearest language.  Where nothing was learnt every row stays.
+    """
+    if not profiles:
+        return docs
     held = docs.sparkSession.sparkContext.broadcast(profiles)
     at = docs.columns.index(text_col)
 

@@ -2,6 +2,7 @@
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from logweft.llm import bpe, chat, decontam, fingerprint, langid, linededup, neardup, pii, secret_scan, unigram
 from logweft.llm.queries import QUERIES, SQL
@@ -53,6 +54,12 @@ def test_filters_keep_columns(odd, odd_rows, benchmark):
     assert ids["decon"] == sorted(set(every) - {"10", "11"} | {"6"}) + ["6"] or set(ids["decon"]) == set(every) - {"10", "11"}
 
 
+def test_nothing_learnt_keeps_every_row(odd, odd_rows):
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    profiles = langid.learn(unlabelled)
+    assert profiles == [] and langid.keep_identified(unlabelled, profiles).count() == len(odd_rows)
+
+
 def test_empty_benchmark(spark, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_contamination(odd, none).where("n_hit > 0").count() == 0
