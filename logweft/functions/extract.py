@@ -31,8 +31,8 @@ def values(clean: Column) -> dict[str, Column]:
 
 def category(metric: Column) -> Column:
     low, out = F.lower(metric), F.lit(rules.OTHER_CATEGORY)
-    for mark, name in reversed(rules.CATEGORIES):
-        test = F.contains(low, F.lit(mark[1:-1])) if mark.startswith("{") else F.startswith(low, F.lit(mark))
+    for kind, mark, name in reversed(rules.CATEGORIES):
+        test = (F.contains if kind == "part" else F.startswith)(low, F.lit(mark))
         out = F.when(test, F.lit(name)).otherwise(out)
     return out
 

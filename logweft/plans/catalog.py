@@ -389,9 +389,7 @@ def followup_candidates(spark, sf):
 def adhoc_sql(spark, sf):
     tables.register(tables.log_events(parsed(spark, sf)), metrics(spark, sf))
     text = "-- latency by thread\nSELECT le.thread, COUNT(*) FILTER (WHERE has_count_rows = TRUE) AS n_counts, MAX(latency_ms) AS worst FROM log_events le GROUP BY le.thread"
-    if why := adhoc.rejection(text, spark):
-        raise ValueError(why)
-    return spark.sql(adhoc.dialect(adhoc.normalize(adhoc.without_leading_comments(text))))
+    return adhoc.run(spark, text)
 
 
 @query("SELECT p.event_id, coalesce(v.value, -1) AS value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts")

@@ -194,7 +194,8 @@ def gather(spark: SparkSession, s: WorkflowState, events: DataFrame, wide: DataF
             break
         s.evidence += [sql.execute(spark, q) for q in queries]
     for name, df in detect.supplements(events, wide, s.onset.get("degradation_start")).items():
-        s.evidence.append(sql.Executed(name, df.count(), sql.markdown(df)[: rules.EVIDENCE_RESULT_CHARS]))
+        n, text = sql.shown(df)
+        s.evidence.append(sql.Executed(name, n, text[: rules.EVIDENCE_RESULT_CHARS]))
     s.note("evidence", "gathered", queries=len(s.evidence))
 
 
