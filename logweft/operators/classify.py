@@ -6,31 +6,40 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import rules
 from .detect import Signal
 
 
 def weight_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f, a, w) for f, ws in rules.FAMILY_WEIGHTS.items() for a, w in ws.items()], "signal_family string, archetype string, weight double")
-
-
-def base_scores(signals: DataFrame, weights: DataFrame) -> DataFrame:
-    """(archetype, score): capped weighted sums of strengths. No increment is negative, so capping once is capping always."""
-    return signals.join(F.broadcast(weights), "signal_family").groupBy("archetype").agg(F.least(F.lit(1.0), F.sum(F.col("strength") * F.col("weight"))).alias("score"))
-
-
-def scores(signals: list[Signal], hits: list[dict] = ()) -> dict[str, float]:
-    """All archetypes' scores, with pre-scan bonuses and the compound rule."""
-    out = dict.fromkeys(rules.ARCHETYPES, 0.0)
-    gains = [(a, s.strength * w) for s in signals for a, w in rules.FAMILY_WEIGHTS.get(s.signal_family, {}).items()]
-    gains += [(a, w) for h in hits for a, w in rules.PRESCAN_BONUS.get(h.get("signal_type", ""), {}).items()]
-    for a, w in gains:
-        out[a] = min(1.0, out[a] + w)
-    first, second = sorted(out.values(), reverse=True)[:2]
-    if first > 0.4 and second > 0.35:
-        out["mixed_compound"] = min(1.0, (first + second) / 2)
-    return out
+    """(kind, archetype, weight): what a signal family, by its strength, and a pre-scan hit, each as it is, add to an archetype."""
+    rows = [(f, a, w) for table in (rules.FAMILY_WEIGHTS, rules.PRESCAN_BONUS) for f, ws in table.items() for a, w in ws.items()]
+    return spark.createDataFrame(rows, "kind string, archetype string, weight double")
+
+
+def archetype_scores(gains: DataFrame) -> DataFrame:
+    """(archetype, score) for all archetypes from (kind, amount): signal families with their strengths, pre-scan types with 1 for each hit.
+
+    Scores are capped weighted sums; no amount is negative, so capping once is
+    capping always.  If the best is over 0.4 and the next over 0.35, the
+    compound archetype gets their mean.
+    """
+    spark = gains.sparkSession
+    every = spark.createDataFrame([(a,) for a in rules.ARCHETYPES], "archetype string")
+    sums = gains.groupBy("kind").agg(F.sum("amount").alias("amount")).join(F.broadcast(weight_table(spark)), "kind").groupBy("archetype").agg(F.sum(F.col("amount") * F.col("weight")).alias("total"))  # a fixed table of under 20 rows
+    scored = every.join(sums, "archetype", "left").select("archetype", F.least(F.lit(1.0), F.coalesce("total", F.lit(0.0))).alias("score"))
+    best = F.sort_array(F.collect_list("score").over(Window.partitionBy(F.lit(0))), asc=False)  # one row for each archetype
+    mean = F.least(F.lit(1.0), (best[0] + best[1]) / 2)
+    compound = (F.col("archetype") == "mixed_compound") & (best[0] > 0.4) & (best[1] > 0.35)
+    return scored.select("archetype", F.when(compound, mean).otherwise(F.col("score")).alias("score"))
+
+
+def scores(spark: SparkSession, signals: list[Signal], hits: list[dict] = ()) -> dict[str, float]:
+    """All archetypes' scores in their declared order."""
+    gains = [(s.signal_family, s.strength) for s in signals] + [(h.get("signal_type", ""), 1.0) for h in hits]
+    got = {r.archetype: r.score for r in archetype_scores(spark.createDataFrame(gains, "kind string, amount double")).collect()}
+    return {a: got[a] for a in rules.ARCHETYPES}
 
 
 def classify(prescores: dict[str, float], signals: list[Signal]) -> dict[str, Any]:

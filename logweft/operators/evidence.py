@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import extract, rules
+from ..functions.parse import any_contains, unicode
+from .references import line_reference_column
 
 
 def seeds(docs: DataFrame, top: int = rules.EVIDENCE_SEEDS) -> DataFrame:
@@ -49,28 +51,47 @@ class Evidence:
     references: list[dict]
 
 
-def select_evidence(docs: DataFrame, *, top: int = rules.EVIDENCE_SEEDS, radius: int = rules.EVIDENCE_RADIUS, most: int = rules.EVIDENCE_MAX, max_chars: int = rules.EVIDENCE_CHARS) -> DataFrame:
+def has_mark(text: Column) -> Column:
+    return any_contains(text, rules.ERROR_MARKS)
+
+
+def first_error_line(text: Column) -> Column:
+    """The first line with an error mark, blanks made one and lower-cased; null if there is none or nothing is left of it."""
+    line = F.get(F.filter(F.split(text, "\n"), has_mark), F.lit(0))
+    return F.nullif(F.lower(F.trim(F.regexp_replace(line, unicode(r"\s+"), " "))), F.lit(""))
+
+
+def select_evidence(docs: DataFrame, *, top: int = rules.EVIDENCE_SEEDS, radius: int = rules.EVIDENCE_RADIUS, most: int = rules.EVIDENCE_MAX, max_chars: int = rules.EVIDENCE_CHARS, requests: bool = True) -> DataFrame:
     """rank, row_id, ref_id, block, used of the chosen documents, in rank order.
 
-    Repeats (equal text once identifiers and blanks are normalised) use up a
-    rank but no budget.
+    Of error documents with the same first error line only the first is shown;
+    the others use up a rank but no budget.  Other documents are never
+    repeats.  The first block that does not fit ends the evidence.
     """
-    plain = F.lower(F.trim(F.regexp_replace(F.regexp_replace("content", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}\b", "<UUID>"), r"\s+", " ")))
-    limit = F.when(F.col("has_error_signal"), rules.ERROR_CHARS).otherwise(rules.BENIGN_CHARS)
-    cut = F.when(F.length("content") > limit, F.concat(F.substring(F.col("content"), F.lit(1), limit), F.lit("\n... [truncated]"))).otherwise(F.col("content"))
-    safe = lambda c: F.regexp_replace(c, r"[^A-Za-z0-9_.-]+", "_")
-    rows = ranked(docs, top, radius, most).withColumn("ref_id", F.concat(F.lit("REF_"), safe(F.col("source_file")), F.lit("_"), safe(F.col("primary_key")), F.lit("_"), F.col("rank").cast("string")))
-    place = F.when(F.col("error_line_ranges") != "", F.concat(F.lit("lines "), F.col("error_line_ranges"))).when(F.col("line_ranges") != "", F.concat(F.lit("lines "), F.col("line_ranges"))).otherwise("lines unavailable")
-    head = F.concat(F.lit("["), F.col("ref_id"), F.lit("] "), F.col("source_file"), F.lit(" "), place, F.lit(" | thread "), F.col("primary_key"), F.lit(" | score "), F.format_number("anomaly_score", 1), F.when(F.col("unmatched_exit"), " | no exit").otherwise(""), F.lit("\n"))
-    rows = rows.withColumn("block", F.concat(head, extract.decode_urls(cut), F.lit("\n\n"))).withColumn("_same", F.sha2(plain.cast("binary"), 256)).withColumn("line_ref", place)
+    ranked_docs = ranked(docs, top, radius, most)
+    cut = lambda n: F.when(F.length("content") > n, F.concat(F.substring("content", 1, n), F.lit(rules.TRUNCATED))).otherwise(F.col("content"))
+    rows = ranked_docs.withColumn("_error", has_mark(F.col("content"))).withColumn("_shown", F.when(F.col("_error"), cut(rules.ERROR_CHARS)).otherwise(cut(rules.BENIGN_CHARS)))
+    rows = rows.withColumns({"ref_id": F.concat_ws("_", F.lit("REF"), "source_file", "primary_key", F.col("rank").cast("string")), "line_ref": line_reference_column()})
+    source = F.when(~F.col("is_seed"), "neighbour").when(F.col("signal_candidate"), "ranked:signal").otherwise("ranked:fallback")
+    request = F.lit(requests) & F.col("key_type").isin("api_request", "api_signal_event")
+    key = F.when(F.col("key_type") == "api_signal_event", "error_line").otherwise(F.col("primary_key"))
+    tag = lambda name, c: F.concat(F.lit(f"[{name}="), c, F.lit("] "))
+    head = F.concat(
+        F.when(request, "--- Request ").otherwise("--- Chunk "), tag("score", F.format_string("%.2f", "anomaly_score")), F.concat(F.lit("["), "ref_id", F.lit("] ")), tag("source", source), tag("file", F.col("source_file")),
+        F.when(request, F.concat(tag("request_key", key), F.lit("[type=api_request] "))).otherwise(tag("key", F.col("primary_key"))), F.concat(F.lit("["), "line_ref", F.lit("] [")), F.coalesce("start_time", F.lit("")), F.lit(" -> "), F.coalesce("end_time", F.lit("")),
+        F.lit("] ---\nChunk Reference: ["), "ref_id", F.lit("]\nOriginal Log Reference: "), "source_file", F.lit(", "), "line_ref", F.lit("\n"))
+    rows = rows.withColumn("block", F.concat(head, extract.decode_urls(F.col("_shown"))))
+    # A document that repeats none is a class of its own.
+    rows = rows.withColumn("_same", F.coalesce(F.concat(F.lit("e"), F.when(F.col("_error"), first_error_line(F.col("_shown")))), F.concat(F.lit("r"), F.col("rank").cast("string"))))
     kept = budget_prefix(first_seen(rows, "_same", "rank").withColumn("_size", F.length("block")), "rank", "_size", max_chars)
-    return kept.select("rank", "row_id", "ref_id", "block", "used", "source_file", "source_path", "start_line", "line_ref").orderBy("rank")
+    return kept.select("rank", "row_id", "ref_id", "block", "used", "source_file", "source_path", "start_line", "end_line", "line_ranges", "error_line_ranges", "line_ref").orderBy("rank")
 
 
 def collected(selected: DataFrame) -> Evidence:
     """The block's text, row ids and references; bounded by the budget."""
     rows = selected.collect()
-    return Evidence("".join(r.block for r in rows), [r.row_id for r in rows], [{"ref_id": r.ref_id, "source_file": r.source_file, "source_path": r.source_path, "line_ref": r.line_ref, "start_line": r.start_line} for r in rows])
+    names = ("ref_id", "source_file", "source_path", "start_line", "end_line", "line_ranges", "error_line_ranges", "line_ref")
+    return Evidence("\n\n".join(r.block for r in rows), [r.row_id for r in rows], [{n: r[n] for n in names} for r in rows])
 
 
 def metadata_rows(docs: DataFrame) -> DataFrame:
@@ -81,6 +102,19 @@ def metadata_rows(docs: DataFrame) -> DataFrame:
 
 
 def report(findings: DataFrame, *, file_cap: int = rules.REDUCE_FILE_CHARS, cap: int = rules.REDUCE_CHARS) -> DataFrame:
-    """(position, text) of per-file findings, each cut at a cap, until the total is reached."""
-    one = findings.select("position", F.concat(F.lit("## "), F.col("source_file"), F.lit("\n"), F.substring("text", 1, file_cap)).alias("text")).withColumn("_n", F.length("text"))
-    return budget_prefix(one, "position", "_n", cap).select("position", "text")
+    """(position, text) of per-file findings (position, source_file, category, subcategory, status, chunk_count, high_count, valid, text).
+
+    Files without findings or with an invalid window are left out.  Findings
+    over ``file_cap`` are cut and marked; the file that crosses ``cap`` in all
+    is cut there and marked, and ends the report.
+    """
+    bar, own = "=" * 50, F.col("text")
+    body = F.when(F.length(own) > file_cap, F.concat(F.substring(own, 1, file_cap), F.lit(rules.FINDINGS_TRUNCATED))).otherwise(own)
+    head = F.format_string(f"\n\n{bar}\n=== FILE: %s | Category: %s/%s | Status: %s | Chunks: %d | High-anomaly: %d ===\n{bar}\n", "source_file", "category", "subcategory", "status", "chunk_count", "high_count")
+    said = findings.where(F.col("valid") & (F.trim(F.regexp_replace(own, r"\s+", " ")) != ""))
+    one = said.select("position", F.concat(head, body, F.lit("\n")).alias("text"))
+    run = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file of a run
+    before = one.withColumn("_before", F.coalesce(F.sum(F.length("text").cast("bigint")).over(run), F.lit(0)))
+    left = (F.lit(cap) - F.col("_before")).cast("int")
+    text = F.when(F.length("text") > left, F.concat(F.substring(F.col("text"), F.lit(1), left), F.lit(rules.EVIDENCE_TRUNCATED))).otherwise(F.col("text"))
+    return before.where(F.col("_before") <= cap).select("position", text.alias("text"))

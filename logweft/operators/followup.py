@@ -11,95 +11,135 @@ from pyspark.sql.window import Window
 
 from ..functions import rules
 
-SOURCE_WEIGHT, OTHER_WEIGHT = {"api_ref": 1.0, "raw_log": 0.75, "debug": 0.65}, 0.5
-SOURCE_CAP = {"api_ref": 8, "raw_log": 3, "debug": 2}
-INTENTS = [
-    ("timeline", ("timeline", "when", "sequence", "order of events")),
-    ("root_cause", ("root cause", "why", "cause", "reason")),
-    ("thread", ("thread", "request", "session")),
-    ("anomalies", ("anomal", "unusual", "outlier", "spike")),
-    ("errors", ("error", "exception", "fail", "stack")),
-]
-BROAD = {"summary", "overview", "everything", "all", "overall", "general"}
-STOP = {"the", "a", "an", "and", "or", "of", "in", "on", "to", "is", "are", "was", "were", "what", "which", "why", "when", "how", "did", "do", "does", "me", "show", "for", "with", "at", "this", "that", "it"}
-
 
 @dataclass
 class Intent:
-    name: str
-    terms: list[str] = field(default_factory=list)
-    broad: bool = False
-    confidence: float = rules.INTENT_FLOOR
-
-
-def fallback_intent(question: str) -> Intent:
-    """The first class of keywords that the question names; short or summary-like questions are broad."""
-    low = question.lower()
-    name = next((n for n, words in INTENTS if any(w in low for w in words)), "general")
-    words = re.findall(r"[A-Za-z0-9_.\-]{3,}", question)
-    terms = list(dict.fromkeys(w for w in words if w.lower() not in STOP))[:30]
-    return Intent(name, terms, bool(BROAD & set(low.split())) or len(question) <= 48 and name == "general")
+    ask_type: str
+    entities: list[str] = field(default_factory=list)
+    must_include: list[str] = field(default_factory=list)
+    primary_keys: list[str] = field(default_factory=list)
+    confidence: float = 0.0
+    notes: str = ""
+
+    @property
+    def broad(self) -> bool:
+        """Whether it asks for what else there is, by its own words."""
+        said = " ".join([self.notes, *self.entities, *self.must_include]).lower()
+        return self.ask_type in ("summary", "errors", "anomalies") and any(w in said for w in rules.BROAD_WORDS)
+
+    @property
+    def named(self) -> list[str]:
+        return [*self.entities, *self.must_include, *self.primary_keys]
+
+
+def history_text(turns: list[dict[str, str]] | None) -> str:
+    """The last turns of a chat, each and all within their limits."""
+    said = [(str(t.get("role", "user")).strip().lower(), str(t.get("content", "")).strip()) for t in (turns or [])[-rules.HISTORY_TURNS :]]
+    lines = [f"{'User' if who == 'user' else 'Assistant'}: {text[: rules.HISTORY_TURN_CHARS]}" for who, text in said if text]
+    return ("\n".join(lines) or "(no prior chat turns)")[: rules.HISTORY_CHARS]
+
+
+def fallback_intent(question: str, history: list[dict[str, str]] | None = None) -> Intent | None:
+    """What a short or a broad question asks for, by its words and the chat's; None for an empty or a long, specific one."""
+    text = question.strip()
+    low = text.lower()
+    broad = bool(rules.BROAD_WORDS & set(re.findall(r"[a-z0-9_./:-]{2,}", low)))
+    if not text or not broad and len(text) > rules.SHORT_QUESTION:
+        return None
+    said = f"{low} {history_text(history).lower()}"
+    kind = "summary" if broad else next((k for k, words in rules.QUESTION_CLASSES if any(w in said for w in words)), "summary")
+    entities = re.findall(r"[A-Za-z0-9_./:-]{3,}", text)[:10]
+    return Intent(kind, entities, rules.ISSUE_TERMS[:6] if broad else [], [], rules.BROAD_CONFIDENCE if broad else rules.SHORT_CONFIDENCE, "by the question's words")
+
+
+def search_terms(intent: Intent, question: str) -> list[str]:
+    """At most 30 terms, each once whatever its case: of the intent, of the question, and of issues if it is a broad one."""
+    terms = [*intent.entities, *intent.primary_keys, *intent.must_include, *re.findall(r"[A-Za-z0-9_./:-]{3,}", question)]
+    if intent.ask_type in ("summary", "errors", "anomalies") and any(w in question.lower() for w in rules.BROAD_WORDS):
+        terms += rules.ISSUE_TERMS
+    first: dict[str, str] = {}
+    for t in map(str.strip, terms):
+        if t:
+            first.setdefault(t.lower(), t)
+    return list(first.values())[: rules.MOST_TERMS]
 
 
 def hits(text: Column, terms: list[str]) -> Column:
-    """How often the terms occur, any case."""
+    """How often the terms occur, any case, each without overlaps."""
     low, out = F.lower(text), F.lit(0)
     for t in terms:
-        out = out + F.regexp_count(low, F.lit(re.escape(t.lower()).replace("\\ ", " ")))
+        plain = re.sub(r"([^\w\s])", r"\\\1", t.lower())
+        out = out + F.regexp_count(low, F.lit(plain))
     return out
 
 
-def candidates(evidence: DataFrame, terms: list[str], *, chars: int = rules.FOLLOWUP_ITEM_CHARS) -> DataFrame:
-    """``evidence`` (item_id, source, source_file, content, anomaly_score) with snippet, n_hits and relevance in 0 to 1."""
-    n = hits(F.col("content"), terms)
-    first = F.lit(0)
-    for t in reversed(terms):
-        at = F.instr(F.lower("content"), F.lit(t.lower()))
-        first = F.when(at > 0, at).otherwise(first)
-    start = F.greatest(first - chars // 3, F.lit(1))
-    rows = evidence.withColumn("n_hits", n).withColumn("snippet", F.substring(F.col("content"), start, F.lit(chars)))
-    relevance = F.least(F.lit(1.0), F.lit(0.45) + 0.2 * F.col("n_hits")) if terms else F.lit(0.65)
-    return (rows.where("n_hits > 0") if terms else rows).withColumn("relevance", relevance)
+def reference_items(prompts: DataFrame, *, text: str = "prompt", chars: int = rules.FOLLOWUP_ITEM_CHARS) -> DataFrame:
+    """(item_id, source, source_file, position, snippet, anomaly_score): each citation mark of a stored prompt, at its first place, with the text from there on."""
+    marks = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(rules.CITATION), F.lit(1)))
+    each = prompts.select("source_file", F.col(text).alias("_text"), F.posexplode(marks).alias("position", "item_id"))
+    start = F.instr(F.col("_text"), F.concat(F.lit("["), F.col("item_id"), F.lit("]")))
+    return each.select("item_id", F.lit("api_ref").alias("source"), "source_file", "position", F.substring(F.col("_text"), start, F.lit(chars)).alias("snippet"), F.lit(0.0).alias("anomaly_score"))
+
+
+def candidates(items: DataFrame, terms: list[str]) -> DataFrame:
+    """Every item with n_hits of the terms in its snippet and relevance in 0 to 1; one without a hit stays, at the base."""
+    n = hits(F.col("snippet"), terms)
+    base = F.when(F.col("source") == "raw_log", rules.RAW_RELEVANCE).otherwise(rules.REF_RELEVANCE)
+    gain = F.col("n_hits") if terms else F.when(F.col("source") == "raw_log", 0).otherwise(1)
+    return items.withColumn("n_hits", n).withColumn("relevance", F.least(F.lit(1.0), base + rules.HIT_RELEVANCE * gain))
 
 
 def fused(rows: DataFrame, entities: list[str]) -> DataFrame:
-    """With fused: relevance by source weight, and a little for each named entity and for a high score."""
-    weight = F.lit(OTHER_WEIGHT)
-    for s, w in SOURCE_WEIGHT.items():
+    """With fused: relevance by source weight, and a little for each entity in the snippet and for a high score."""
+    weight = F.lit(rules.OTHER_WEIGHT)
+    for s, w in rules.SOURCE_WEIGHT.items():
         weight = F.when(F.col("source") == s, w).otherwise(weight)
-    named, low = F.lit(0), F.lower("content")
+    named, low = F.lit(0), F.lower("snippet")
     for e in entities:
-        named = named + F.contains(low, F.lit(e.lower())).cast("int")
-    return rows.withColumn("fused", F.col("relevance") * weight + 0.08 * named + F.when(F.col("anomaly_score") >= rules.HIGH_SCORE, 0.08).otherwise(0.0))
+        if e:
+            named = named + F.contains(low, F.lit(e.lower())).cast("int")
+    return rows.withColumn("fused", F.col("relevance") * weight + rules.ENTITY_BONUS * named + F.when(F.col("anomaly_score") >= rules.HIGH_SCORE, rules.ENTITY_BONUS).otherwise(0.0))
 
 
-def source_caps(rows: DataFrame, score: str = "fused", k: int = rules.FOLLOWUP_ITEMS, caps: dict[str, int] | None = None) -> DataFrame:
-    """The best ``k`` with at most so many of each source; ties to the smaller item_id."""
-    cap = F.lit(k)
-    for s, c in (SOURCE_CAP if caps is None else caps).items():
+def source_caps(rows: DataFrame, score: str = "fused", k: int = rules.FOLLOWUP_ITEMS, caps: dict[str, int] | None = None, other: int = rules.OTHER_CAP) -> DataFrame:
+    """The best ``k``, 12 at most, with so many of each source and ``other`` of any unknown one; ties to the smaller item_id."""
+    cap, k = F.lit(other), max(1, min(k, rules.FOLLOWUP_ITEMS))
+    for s, c in (rules.SOURCE_CAP if caps is None else caps).items():
         cap = F.when(F.col("source") == s, c).otherwise(cap)
     place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc(score), "item_id"))
     return rows.withColumn("_k", place).where(F.col("_k") <= cap).drop("_k").orderBy(F.desc(score), "item_id").limit(k)
 
 
-def broad_choice(items: list[dict], k: int = rules.FOLLOWUP_ITEMS, per_file: int = 2) -> list[dict]:
-    """Greedy over a short sorted list: a source's and a file's share; what is refused uses up nothing."""
-    out, by_source, by_file = [], dict.fromkeys(SOURCE_CAP, 0), {}
+def broad_choice(items: list[dict], k: int = rules.FOLLOWUP_ITEMS) -> list[dict]:
+    """Greedy over a short list for a broad question: a source's and a file's share; what is refused uses up nothing."""
+    out, by_source, by_file = [], {}, {}
     for x in sorted(items, key=lambda x: (-x["fused"], x["item_id"])):
         s, f = x["source"], x["source_file"]
-        if len(out) < k and by_source.get(s, 0) < SOURCE_CAP.get(s, k) and by_file.get(f, 0) < per_file:
+        cap = min(rules.SOURCE_CAP.get(s, rules.OTHER_CAP), rules.BROAD_CAP.get(s, rules.FOLLOWUP_ITEMS))
+        if len(out) < min(k, rules.FOLLOWUP_ITEMS) and by_source.get(s, 0) < cap and by_file.get(f, 0) < rules.BROAD_PER_FILE:
             out.append(x)
             by_source[s], by_file[f] = by_source.get(s, 0) + 1, by_file.get(f, 0) + 1
     return out
 
 
 def evidence_block(items: list[dict], cap: int = rules.FOLLOWUP_CHARS, each: int = rules.FOLLOWUP_ITEM_CHARS) -> str:
-    """Items up to the budget; the first that does not fit is cut, and the rest is left out."""
-    out, left = [], cap
-    for x in items:
-        text = f"[{x['item_id']}] {x['source_file']}: {x['snippet'][:each]}\n"
-        out.append(text[:left])
-        left -= len(text)
-        if left <= 0:
+    """Whole items, blank lines between, while they fit (two characters more for each); only a first one that is too long is cut."""
+    texts = [f"[{x['item_id']}] ({x['source']}) {x['snippet'][:each]}" for x in items]
+    if texts and len(texts[0]) + 2 > cap:
+        return texts[0][:cap]
+    kept, used = [], 0
+    for t in texts:
+        used += len(t) + 2
+        if used > cap:
             break
-    return "".join(out)
+        kept.append(t)
+    return "\n\n".join(kept)
+
+
+def evidence_table(items: list[dict]) -> str:
+    """The chosen items as a Markdown table."""
+    if not items:
+        return "No evidence items were selected."
+    cell = lambda v: str(v).replace("|", "\\|").replace("\n", " ")
+    rows = [f"| {cell(x['item_id'])} | {cell(x['source'])} | {cell(x['source_file'])} | {x['relevance']:.3f} | {x['anomaly_score']:.3f} | {cell(x['snippet'][:320])} |" for x in items]
+    return "\n".join(["### Evidence Table", "| REF ID | Source | File | Relevance | Anomaly | Excerpt |", "|---|---|---|---:|---:|---|", *rows])

@@ -18,13 +18,15 @@ def totals(parsed: DataFrame, signals: RetrievalSignals) -> DataFrame:
     return parsed.agg(F.count("*").alias("total_lines"), F.count_if(extract.is_error(F.col("clean"), signals)).alias("error_line_count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
-def exceptions(parsed: DataFrame, most_threads: int = 10) -> DataFrame:
-    """Per exception class: count, first and last time seen, and the first ``most_threads`` threads, sorted.
+def exceptions(parsed: DataFrame, signals: RetrievalSignals, most_threads: int = 10) -> DataFrame:
+    """Per exception class on error-bearing or critical lines: count, first and last time seen, and the first ``most_threads`` threads, sorted.
 
     A thread counts by its first line for the class, so only (class, thread)
     pairs are ranked, never lines.
     """
-    hits = parsed.select("line_no", "ts", "thread", F.explode(F.regexp_extract_all("clean", F.lit(unicode(rules.EXCEPTION_CLASS)), F.lit(1))).alias("exception"))
+    clean = F.col("clean")
+    loud = parsed.where(extract.is_error(clean, signals) | extract.is_critical(clean, signals))
+    hits = loud.select("line_no", "ts", "thread", F.explode(F.regexp_extract_all("clean", F.lit(unicode(rules.EXCEPTION_CLASS)), F.lit(1))).alias("exception"))
     base = hits.groupBy("exception").agg(F.count("*").alias("count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     pairs = hits.where("thread is not null and thread <> ''").groupBy("exception", "thread").agg(F.min("line_no").alias("_line"))
     rank = F.row_number().over(Window.partitionBy("exception").orderBy("_line", "thread"))
@@ -105,7 +107,7 @@ def profile(parsed: DataFrame, signals: RetrievalSignals, schema: LogSchema | No
     """The whole profile as one JSON-safe record; only bounded results reach the driver."""
     t = totals(parsed, signals).first()
     iso = lambda x: x.isoformat() if x else ""
-    seen = exceptions(parsed).orderBy(F.desc("count"), "exception").collect()  # a row for each exception class
+    seen = exceptions(parsed, signals).orderBy(F.desc("count"), "exception").collect()  # a row for each exception class
     h = request_health(parsed, signals).first()
     return {
         "total_lines": t.total_lines, "time_range": {"start": iso(t.first_seen), "end": iso(t.last_seen)}, "error_line_count": t.error_line_count,

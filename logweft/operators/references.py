@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-REF = r"\[(REF_[A-Za-z0-9_.\-]+)\]"
+from ..functions import rules
+
+REF = rules.CITATION
 
 
 def cited(texts: DataFrame, refs: DataFrame, *, text_col: str = "text", key: str = "text_id") -> DataFrame:
@@ -50,29 +52,42 @@ def editor_uri(path: str, line: int | None = None) -> str:
     return f"vscode://file{quote(path)}" + (f":{line}" if line else "")
 
 
+def without_marks(line: str, known) -> str:
+    """The line without the marks of ``known`` ids, and without the gaps that they leave."""
+    bare = re.sub(REF, lambda m: "" if m[1] in known else m[0], line)
+    return re.sub(r"\s{2,}", " ", re.sub(r"\s+([,.;:])", r"\1", bare)).strip()
+
+
+def location(row: dict) -> str:
+    """A list item that links to the file at its lines, if there is a path."""
+    label = f"{row.get('source_file', 'unknown')}, {row.get('line_ref') or line_reference(row)}"
+    path = row.get("source_path")
+    return "- Original Log Reference: " + (f"[{label}]({editor_uri(path, row.get('start_line'))}) [\N{PAGE FACING UP}]({file_uri(path)})" if path else label)
+
+
 def rewrite(text: str, refs: list[dict]) -> str:
-    """Marks replaced by source and lines, each (path, lines) shown once; unknown marks stay."""
+    """Each line without its known marks, and below it the places they stand for, each (path, lines) once a line; unknown marks stay."""
     known: dict[str, dict] = {}
     for r in refs:
         known.setdefault(r["ref_id"], r)
-    shown: set[tuple[str, str]] = set()
-
-    def one(m: re.Match) -> str:
-        if (r := known.get(m[1])) is None:
-            return m[0]
-        where = (r.get("source_path", ""), r.get("line_ref") or line_reference(r))
-        if where in shown:
-            return ""
-        shown.add(where)
-        return f"[{r.get('source_file', '')} {where[1]}]"
-
-    return re.sub(r"[ \t]+([.,;])", r"\1", re.sub(REF, one, text))
+    out: list[str] = []
+    for line in text.splitlines():
+        cited = [known[i] for i in dict.fromkeys(re.findall(REF, line)) if i in known]
+        shown = without_marks(line, known) if cited else line
+        places: dict[tuple[str, str], dict] = {}
+        for r in cited:
+            places.setdefault((r.get("source_path", ""), r.get("line_ref") or line_reference(r)), r)
+        out += [*([shown] if shown or not cited else []), *map(location, places.values())]
+    return "\n".join(out).strip() + "\n" if known else text
 
 
 def strip_marks(text: str) -> str:
-    return re.sub(r"[ \t]*" + REF, "", text)
+    """Every mark removed, known or not."""
+    every = set(re.findall(REF, text))
+    return "\n".join(without_marks(x, every) for x in text.splitlines()).strip() + "\n"
 
 
 def space_causes(text: str) -> str:
-    """One blank line before every numbered cause."""
-    return re.sub(r"\n{1,}(?=\d+\.\s)", "\n\n", text)
+    """A ranked cause after a blank line, each of its fields on a line of its own."""
+    fields = re.sub(rules.CAUSE_FIELD, r"\n\1", text)
+    return re.sub(r"\n{3,}", "\n\n", re.sub(rules.CAUSE_HEADING, r"\n\n\1", fields)).strip() + "\n"

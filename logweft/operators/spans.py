@@ -9,6 +9,8 @@ dealt by file and thread, and a file without thread names is one such group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,12 +72,12 @@ def iso(t: Column) -> Column:
     return F.coalesce(F.when(F.date_trunc("second", t) == t, whole).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), F.lit(""))
 
 
-def request_documents(parsed: DataFrame, signals: RetrievalSignals, label: Column | None = None) -> DataFrame:
+def request_documents(parsed: DataFrame, signals: RetrievalSignals, label: Column | None = None, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
     """Requests and single events of parsed lines (source_path, source_file, line_no, ts, thread, clean), scored and ordered.
 
     Lines outside a query's window are filtered before.  rank follows score
     (highest first), start time as text, then the order in which requests end;
-    ties go to the earlier line.
+    ties go to the earlier line.  ``keep`` holds the frame that is numbered.
     """
     thread = F.coalesce(F.nullif(F.col("thread"), F.lit("")), F.lit("no_thread"))
     rows = parsed.select("source_path", "source_file", "line_no", "ts", "clean", thread.alias("primary_key"), (label if label is not None else F.lit(None).cast("string")).alias("_label"))
@@ -108,17 +110,19 @@ def request_documents(parsed: DataFrame, signals: RetrievalSignals, label: Colum
     done = done.withColumn("request_span_id", F.when(F.col("key_type") == "api_request", F.concat("primary_key", F.lit("_req_"), count)).otherwise(F.concat(F.lit("event_"), count)))
     # The key is unique (a line is in one unit), so this order is total; ranges of it are numbered in parallel.
     order = [F.desc("anomaly_score"), F.asc("start_time"), F.asc("source_path"), F.asc_nulls_last("flush_line"), F.asc("start_line")]
-    return numbered(done, order, "row_id")
+    return numbered(done, order, "row_id", keep)
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+def numbered(rows: DataFrame, order: list[Column], name: str, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
     """``rows`` with a dense number from 0 along a total order.
 
     Rows are range-partitioned by the order; each partition counts itself, and
-    only the counts (one row per partition) meet in one task.
+    only the counts (one row per partition) meet in one task.  Counting and
+    numbering must see the same partitions, so the frame is kept; whoever
+    passes ``keep`` lets it go.
     """
     parts = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()})
-    parts = parts.persist()
+    parts = keep(parts)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     base = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return parts.join(F.broadcast(sizes.select("_part", "_first", base.alias("_base"))), "_part").withColumn(name, F.col("_at") - F.col("_first") + F.col("_base")).drop("_at", "_part", "_first", "_base")

@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, rules
-from ..functions.parse import clean_line
 
 LOG_EVENTS = ["timestamp", "thread", "raw_line", *rules.FLAGS, "method_sig", "latency_ms", "result_count", "scheduled_op_name"]
 SERVER_METRICS = ["timestamp", "thread", "metric_name", "metric_value", "category", "raw_line"]
 
 
-def _kept(carry: list[str]) -> list[str]:
-    return list(carry)
-
-
 def log_events(parsed: DataFrame, carry: list[str] = ()) -> DataFrame:
     """One row per parsed line (clean, ts, thread): flags and values come from the whole line, raw_line is cut."""
     clean = F.col("clean")
-    base = parsed.select(*_kept(carry), F.col("ts").alias("timestamp"), F.coalesce("thread", F.lit("")).alias("thread"), F.substring(clean, 1, rules.RAW_LINE_CHARS).alias("raw_line"), *(c.alias(n) for n, c in extract.flags(clean).items()), *(c.alias(n) for n, c in extract.values(clean).items()))
+    base = parsed.select(*carry, F.col("ts").alias("timestamp"), F.coalesce("thread", F.lit("")).alias("thread"), F.substring(clean, 1, rules.RAW_LINE_CHARS).alias("raw_line"), *(c.alias(n) for n, c in extract.flags(clean).items()), *(c.alias(n) for n, c in extract.values(clean).items()))
     return base.select(*carry, *LOG_EVENTS)
 
 
@@ -56,25 +53,59 @@ def register(events: DataFrame, metrics: DataFrame) -> None:
     wide(metrics).createOrReplaceTempView("server_metrics_wide")
 
 
+READY = "_READY"
+
+
+def _versions(spark: SparkSession, folder: str):
+    """The file system, and the folder's finished versions, oldest first."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = home.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = [x.getPath().toString() for x in fs.listStatus(home)] if fs.exists(home) else []
+    return fs, sorted(p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, READY)))
+
+
 def save(events: DataFrame, metrics: DataFrame, folder: str) -> None:
     """Both tables as Parquet, near in time within a file, so that row-group statistics prune.
 
-    The commit protocol makes each table appear whole or not at all.
+    They go into a new version of the folder, which counts only once both are
+    whole and its mark is written: a reader sees the old pair or the new one.
+    Older versions are removed afterwards.
     """
-    events.sortWithinPartitions("timestamp").write.mode("overwrite").parquet(f"{folder}/log_events")
-    metrics.sortWithinPartitions("timestamp", "metric_name").write.mode("overwrite").parquet(f"{folder}/server_metrics")
+    spark = events.sparkSession
+    target = f"{folder}/v{time.time_ns():020d}"
+    events.sortWithinPartitions("timestamp").write.parquet(f"{target}/log_events")
+    metrics.sortWithinPartitions("timestamp", "metric_name").write.parquet(f"{target}/server_metrics")
+    fs, old = _versions(spark, folder)
+    fs.create(spark._jvm.org.apache.hadoop.fs.Path(target, READY)).close()
+    for p in old:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p), True)
 
 
 def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The saved tables, registered again."""
-    events, metrics = spark.read.parquet(f"{folder}/log_events"), spark.read.parquet(f"{folder}/server_metrics")
+    """The last saved pair, registered again."""
+    if not (done := _versions(spark, folder)[1]):
+        raise FileNotFoundError(f"{folder}: no saved tables")
+    events, metrics = spark.read.parquet(f"{done[-1]}/log_events"), spark.read.parquet(f"{done[-1]}/server_metrics")
     register(events, metrics)
     return events, metrics
 
 
-def parsed_from_clean(rows: DataFrame) -> DataFrame:
-    """Rows that have raw, ts and thread already, with clean added."""
-    return rows.withColumn("clean", clean_line(F.col("raw")))
+class Kept:
+    """Frames that are used more than once, persisted while a ``with`` block runs and let go at its end."""
+
+    def __init__(self):
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist())
+        return self.frames[-1]
+
+    def __enter__(self) -> Kept:
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self.frames:
+            self.frames.pop().unpersist()
 
 
 def coverage(rows: DataFrame, at: str = "timestamp") -> DataFrame:

@@ -283,7 +283,7 @@ def archetype_scores(spark, sf):
 
 @query(f"WITH {L}, x AS (SELECT line_no, ts, thread, unnest(regexp_extract_all(raw, '\\b([A-Za-z_][A-Za-z0-9_.$]*(?:Exception|Error))\\b', 1)) AS exception FROM l), p AS (SELECT exception, thread, min(line_no) AS f FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY exception ORDER BY f, thread) AS k FROM p), t AS (SELECT exception, string_agg(thread, ',' ORDER BY thread) AS affected_threads FROM r WHERE k <= 10 GROUP BY 1), b AS (SELECT exception, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM x GROUP BY 1) SELECT exception, n, first_seen, last_seen, affected_threads FROM b JOIN t USING (exception)")
 def exception_histogram(spark, sf):
-    return profile.exceptions(parsed(spark, sf)).select("exception", F.col("count").alias("n"), "first_seen", "last_seen", F.array_join("affected_threads", ",").alias("affected_threads"))
+    return profile.exceptions(parsed(spark, sf), SIGNALS).select("exception", F.col("count").alias("n"), "first_seen", "last_seen", F.array_join("affected_threads", ",").alias("affected_threads"))
 
 
 @query(rf"""WITH {L}, m AS (SELECT line_no, 0 AS kind, 'property' AS type, unnest(x) AS value, unnest(range(0, len(x))) AS pos FROM (SELECT line_no, list_transform(regexp_extract_all(raw, '(?:^|[\s&])([a-zA-Z_][A-Za-z0-9_.$-]*\s*=\s*[^\s,;&]+)', 1), lambda v: regexp_replace(v, '\s*=\s*', '=')) AS x FROM l)

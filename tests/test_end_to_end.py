@@ -104,8 +104,14 @@ def test_tables_of_a_log(spark, log, tmp_path):
     wide = tables.wide(metrics).orderBy("timestamp").collect()
     assert [(w.thread_count, w.dbcp_active_connections, w.response_time_ms) for w in wide] == [(120, 25, 900), (180, 40, None)]
     assert {r.signal_type for r in tables.signal_candidates(parsed).collect()} == {"extreme_latency", "high_result_count"}
-    tables.save(events, metrics, str(tmp_path / "t"))
-    assert tables.load(spark, str(tmp_path / "t"))[0].count() == 8 and spark.table("server_metrics_wide").count() == 2
+    for k in (events, events.limit(3)):
+        tables.save(k, metrics, str(tmp_path / "t"))
+    assert tables.load(spark, str(tmp_path / "t"))[0].count() == 3 and spark.table("server_metrics_wide").count() == 2
+    half = next((tmp_path / "t").iterdir()).with_name("v9")  # a save that was not finished does not count
+    (half / "log_events").mkdir(parents=True)
+    assert tables.load(spark, str(tmp_path / "t"))[0].count() == 3
+    with pytest.raises(FileNotFoundError):
+        tables.load(spark, str(tmp_path / "none"))
 
 
 def test_api_analysis(spark, log, tmp_path):
@@ -113,7 +119,14 @@ def test_api_analysis(spark, log, tmp_path):
     r = reports[0]
     assert r.status == "ok" and r.profile["total_lines"] == 8 and "java.lang.TokenException" in r.profile["critical_signals"]
     assert r.profile["request_lifecycle_health"] == {"matched_requests": 1, "unmatched_entries": 0, "unmatched_exits": 0, "error_rate": 0.0}
-    assert "server.LOG lines" in text and r.references
+    assert "server.LOG, lines" in text and r.references and "=== USER PROMPT ===" in open(r.artifacts["evidence"]).read()
+    context = workflow.analysis_context("", log, "", "", text, reports)
+    assert "REF_server.LOG" in workflow.answer(spark, "which exception?", context) and "Total: 1" in workflow.metadata_summary(context)
+    whole, quarters = workflow.coverage_tables(context)
+    assert whole[0]["total_lines_scanned"] == 8 and len(quarters) == 4 and workflow.answer(spark, " ", context) == "Please give a question."
+    said = lambda m: '{"ask_type": "errors", "entities": ["TokenException"], "confidence": 0.9}' if "Read a follow-up" in m[0]["content"] else "it failed"
+    assert workflow.answer(spark, "what went wrong with the token of the second thread, and who called it?", context, said).startswith("it failed\n\n### Evidence Table")
+    assert "name an error" in workflow.answer(spark, "what went wrong with the token of the second thread, and who called it?", context)
     assert sum(b.selected for b in workflow.file_coverage(r).collect()) == len(r.row_ids)
     bad, _ = workflow.run_pipeline(spark, [log], context=query_context("", "2020-01-01"))
     assert "pre_log_boundary" in bad
@@ -121,10 +134,13 @@ def test_api_analysis(spark, log, tmp_path):
 
 
 def test_server_analysis_and_followup(spark, log, tmp_path):
+    spark.catalog.clearCache()
     _, reports = workflow.run_pipeline(spark, [log], mode="server_monitoring", ticket="slow login", folder=str(tmp_path / "out"))
     s = reports[0].state
     assert s.classification["primary"]["archetype"] and s.onset["degradation_start"] and s.verdicts == ["PASS"] and "97550" in s.report and "Ticket" in s.report and not s.errors
-    trace = [json.loads(x) for x in (tmp_path / "out" / "server_trace.jsonl").read_text().splitlines()]
+    trace = [json.loads(x) for x in (tmp_path / "out" / "debug" / "debug_evidence_server.LOG.trace.jsonl").read_text().splitlines()]
+    assert "=== ARCHETYPE CLASSIFICATION ===" in (tmp_path / "out" / "debug" / "debug_evidence_server.LOG.txt").read_text() and "6891" in s.summary
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
     assert [t["step"] for t in trace] == list(range(1, len(trace) + 1))
     replies = iter(["```sql\nSELECT count(*) AS n FROM log_events\n```", "```sql\nDROP TABLE x\n```", "FINAL_ANSWER: 8 lines"])
     answer, done = workflow.followup_sql(spark, "how many?", lambda m: next(replies))
@@ -132,18 +148,30 @@ def test_server_analysis_and_followup(spark, log, tmp_path):
 
 
 def test_workflow_with_a_model(spark, log):
-    said = []
+    said, verdicts = [], iter(["RETRY", "FAIL", "RECLASSIFY", "pass"])
 
     def ask(messages):
         said.append(messages[0]["content"])
-        if "archetype" in said[-1]:
+        if "Choose the archetype" in said[-1]:
             return '{"primary": {"archetype": "db_connection_pressure", "confidence": 0.8}}'
+        if "Name the patterns" in said[-1]:
+            return '{"rejections": [{"operation": "nightlyJob", "reason": "steady"}]}'
         if "Judge" in said[-1]:
-            return "RETRY" if sum("Judge" in x for x in said) == 1 else "PASS"
+            return next(verdicts)
         return "SELECT count(*) FROM log_events" if "Gather" in said[-1] else "text [REF_unknown_1]"
 
     s = workflow.run_pipeline(spark, [log], mode="server_monitoring", ask=ask)[1][0].state
-    assert s.classification["primary"]["archetype"] == "db_connection_pressure" and s.verdicts == ["RETRY", "PASS"] and any(x.rows == 1 for x in s.evidence)
+    second = s.archetype
+    assert s.verdicts == ["RETRY", "FAIL", "RECLASSIFY", "PASS"] and second != "db_connection_pressure"
+    assert {x.package for x in s.evidence} == {second} and any(x.rows == 1 for x in s.evidence) and s.red_herrings[-1]["operation"] == "nightlyJob"
+
+    def broken(messages):
+        if "Judge" in messages[0]["content"] or "incident report" in messages[0]["content"]:
+            raise RuntimeError("no model")
+        return "{}"
+
+    s = workflow.run_pipeline(spark, [log], mode="server_monitoring", ask=broken)[1][0].state
+    assert s.verdicts == ["PASS"] and s.report.startswith("# Incident report") and len(s.errors) == 2
 
 
 @pytest.mark.parametrize("text,ok", [
@@ -195,6 +223,11 @@ def test_command_line_and_reports(spark, log, tmp_path):
     from logweft.plans import report
 
     assert "TokenException" in main([log, "--out", str(tmp_path / "out")]) and (tmp_path / "out" / "reports" / "report.md").exists()
+    from logweft.__main__ import converse
+
+    analyze = lambda paths: workflow.analysis_context("", paths[0], "", "", *workflow.run_pipeline(spark, paths))
+    assert converse(spark, analyze, ["what?"]).startswith("Analyse logs first") and "not found" in converse(spark, analyze, ["analyze /none/x.log", "exit", "more"])
+    assert "REF_server.LOG" in converse(spark, analyze, [f"analyze '{log}'", "coverage", "", "which exception?", "quit"])
     md, js = report.write_benchmark(str(tmp_path / "b"), {"q": (10.0, 1.0), "z": (1.0, 0.0)}, {"load": 2.0})
     assert "| q | 10.0 | 1.0 | 10.0x |" in open(md).read() and json.load(open(js))["pairs"]["q"]["ratio"] == 10
 

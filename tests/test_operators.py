@@ -107,7 +107,7 @@ def test_neighbours_budget_first_seen_caps(spark):
     assert {x.i for x in evidence.first_seen(df, "size", "i").collect()} == {min(y[0] for y in rows if y[3] == s) for s in {y[3] for y in rows}}
     best, used = [], {}
     for x in sorted(rows, key=lambda x: (-x[3], x[0])):
-        if used.get(x[4], 0) < followup.SOURCE_CAP.get(x[4], 12):
+        if used.get(x[4], 0) < rules.SOURCE_CAP.get(x[4], 2):
             used[x[4]] = used.get(x[4], 0) + 1
             best.append(x[0])
     got = followup.source_caps(df.withColumnRenamed("i", "item_id"), "size").collect()
@@ -177,15 +177,15 @@ def test_stitched_lag_is_lag(spark):
     assert with_previous(df.where("false"), "t").count() == 0
 
 
-def test_scores_and_classification():
+def test_scores_and_classification(spark):
     sig = [detect.Signal("high_volume_indicator", "x", 0.9)]
-    s = classify.scores(sig, [{"signal_type": "authz_loop_candidate"}])
-    assert s["high_volume_cardinality"] == 1.0 and s["mixed_compound"] > 0.2
+    s = classify.scores(spark, sig, [{"signal_type": "authz_loop_candidate"}])
+    assert s["high_volume_cardinality"] == 1.0 and s["mixed_compound"] > 0.2 and list(s) == rules.ARCHETYPES
     got = classify.classify({"global_runtime_stall": 0.9, "high_volume_cardinality": 0.2, "thread_pool_pressure": 0.0, "db_connection_pressure": 0.0, "mixed_compound": 0.8}, sig)
     assert got["primary"]["archetype"] == "global_runtime_stall" and got["secondary"]["archetype"] == "mixed_compound" and got["classification_method"] == "deterministic_only" and len(got["rejected_hypotheses"]) == 3
-    both = classify.scores([detect.Signal("runtime_stall_indicator", "a", 0.9), detect.Signal("high_volume_indicator", "b", 0.8)])
+    both = classify.scores(spark, [detect.Signal("runtime_stall_indicator", "a", 0.9), detect.Signal("high_volume_indicator", "b", 0.8)])
     assert abs(both["mixed_compound"] - 0.765) < 1e-9
-    assert classify.onset([])["degradation_start"] is None
+    assert classify.scores(spark, []) == dict.fromkeys(rules.ARCHETYPES, 0.0) and classify.onset([])["degradation_start"] is None
 
 
 def test_coverage_buckets(spark):
@@ -200,24 +200,85 @@ def test_coverage_buckets(spark):
 
 
 def test_references():
-    refs = [{"ref_id": "REF_a_1", "source_path": "/x.log", "source_file": "x.log", "line_ranges": "1-3"}]
+    refs = [{"ref_id": "REF_a b.log_http-1_1", "source_path": "/x.log", "source_file": "x.log", "line_ranges": "1-3", "start_line": 1}, {"ref_id": "REF_2", "source_path": "/x.log", "source_file": "x.log", "line_ranges": "1-3"}, {"ref_id": "REF_3", "source_file": "y.log"}]
     assert references.line_reference(refs[0]) == "lines 1-3" and references.line_reference({}) == "lines unavailable"
-    assert references.rewrite("see [REF_a_1] and [REF_a_1], not [REF_q]", refs) == "see [x.log lines 1-3] and, not [REF_q]"
-    assert references.strip_marks("a [REF_a_1] b") == "a b" and references.file_uri("/a b.log") == "file:///a%20b.log" and references.editor_uri("/a", 3) == "vscode://file/a:3"
+    place = "- Original Log Reference: [x.log, lines 1-3](vscode://file/x.log:1) [\N{PAGE FACING UP}](file:///x.log)"
+    text = references.rewrite("plain\nsee [REF_a b.log_http-1_1] and [REF_2], not [REF_q].\n[REF_3]\n[REF_2] again", refs)
+    assert text == f"plain\nsee and, not [REF_q].\n{place}\n- Original Log Reference: y.log, lines unavailable\nagain\n{place.replace('x.log:1', 'x.log')}\n"
+    assert references.rewrite("a  b", []) == "a  b"
+    assert references.strip_marks("High [REF_1][REF_2] during 15:52.\n\nNo verified [REF_8].") == "High during 15:52.\n\nNo verified.\n"
+    assert references.space_causes("Cause 1: a. Confidence: High. Cause 2: b. Supporting Evidence: x.") == "Cause 1: a. \nConfidence: High. \n\nCause 2: b. \nSupporting Evidence: x.\n"
+    assert references.file_uri("/a b.log") == "file:///a%20b.log" and references.editor_uri("/a", 3) == "vscode://file/a:3"
+
+
+DOC = "row_id long, source_file string, source_path string, primary_key string, key_type string, content string, anomaly_score double, line_ranges string, error_line_ranges string, signal_candidate boolean, iam_critical boolean, has_error_signal boolean, start_line long, end_line long, start_time string, end_time string"
+
+
+def doc(i, content, score=0.0, signal=False, kind="api_request"):
+    return (i, "x.log", "/x.log", f"t{i}", kind, content, score, "1-2", "", signal, False, signal, i, i + 1, "a", "b")
 
 
 def test_evidence_keeps_within_budget(spark):
-    rows = [(i, "x.log", "/x.log", str(i), "w" * 1000 + str(i), float(i), "1-2", "", False, True, False, False, 1, 2) for i in range(10)]
-    docs = spark.createDataFrame(rows, "row_id long, source_file string, source_path string, primary_key string, content string, anomaly_score double, line_ranges string, error_line_ranges string, unmatched_exit boolean, signal_candidate boolean, iam_critical boolean, has_error_signal boolean, start_line long, end_line long")
+    docs = spark.createDataFrame([doc(i, "w" * 1000 + str(i), float(i)) for i in range(10)], DOC)
     got = evidence.collected(evidence.select_evidence(docs, top=5, max_chars=2_500))
-    assert 1 <= len(got.references) <= 5 and len(got.text) <= 2_500 and got.row_ids[0] == 9
+    assert len(got.references) == 2 and len(got.text) <= 2_502 and got.row_ids == [9, 8]
+
+
+def test_evidence_repeats_and_truncation(spark):
+    rows = [
+        doc(0, "boot\nTokenException:  no   key\nfirst tail", 9.0, True), doc(1, "other\n tokenexception: no key", 8.0), doc(2, "TokenException: no key\nanother tail", 7.0, True),
+        doc(3, "benign", 6.0), doc(4, "benign", 5.0, kind="api_signal_event"), doc(5, "Error " + "e" * 9_000, 4.0), doc(6, "b" * 3_000, 3.0), doc(7, "%41 Failed+x", 2.0),
+    ]
+    got = evidence.select_evidence(spark.createDataFrame(rows, DOC)).collect()
+    assert [r.row_id for r in got] == [0, 1, 3, 4, 5, 6, 7]  # 2 repeats the first error line of 0; 1 has no mark of an error
+    assert [r["rank"] for r in got] == [0, 2, 3, 4, 5, 6, 7]
+    text = {r.row_id: r.block for r in got}
+    assert text[0].startswith("--- Request [score=9.00] [REF_x.log_t0_0] [source=ranked:signal] [file=x.log] [request_key=t0] [type=api_request] [lines 1-2] [a -> b] ---\nChunk Reference: [REF_x.log_t0_0]\nOriginal Log Reference: x.log, lines 1-2\nboot\n")
+    assert "[request_key=error_line]" in text[4] and "[source=ranked:fallback]" in text[3] and text[7].endswith("\nA Failed x")
+    assert text[5].endswith("e" * 10 + "\n... [truncated] ...") and text[5].count("e" * 7_994) == 1 and text[6].endswith("\n" + "b" * 2_000 + "\n... [truncated] ...")
+
+
+def test_report_cuts_where_the_budget_ends(spark):
+    def plain(rows, file_cap, cap):
+        out = ""
+        for _, name, c, sub, status, n, high, valid, text in rows:
+            if not valid or not text.strip():
+                continue
+            text = text if len(text) <= file_cap else text[:file_cap] + rules.FINDINGS_TRUNCATED
+            out += f"\n\n{'=' * 50}\n=== FILE: {name} | Category: {c}/{sub} | Status: {status} | Chunks: {n} | High-anomaly: {high} ===\n{'=' * 50}\n{text}\n"
+            if len(out) > cap:
+                return out[:cap] + rules.EVIDENCE_TRUNCATED
+        return out
+
+    rows = [(k, f"f{k}", "api_request", "x", "ok", k, 0, k != 2, "" if k == 4 else "y" * (90 * k + 1)) for k in range(9)]
+    schema = "position long, source_file string, category string, subcategory string, status string, chunk_count long, high_count long, valid boolean, text string"
+    for file_cap, cap in ((200, 900), (10_000, 900), (50, 10_000), (200, 1)):
+        got = "".join(r.text for r in evidence.report(spark.createDataFrame(rows, schema), file_cap=file_cap, cap=cap).orderBy("position").collect())
+        assert got == plain(rows, file_cap, cap)
 
 
 def test_followups(spark):
-    assert followup.fallback_intent("When did it start?").name == "timeline" and followup.fallback_intent("give an overview").broad
-    items = [{"item_id": i, "source": "api_ref", "source_file": "f" + str(i % 2), "fused": 1.0 - i / 10, "snippet": "s" * 50} for i in range(8)]
-    assert [x["item_id"] for x in followup.broad_choice(items)] == [0, 1, 2, 3]
-    assert len(followup.evidence_block(items, cap=100)) == 100
-    df = spark.createDataFrame([(1, "api_ref", "f", "A timeout and a Timeout", 3.0), (2, "debug", "f", "fine", 0.0)], "item_id long, source string, source_file string, content string, anomaly_score double")
-    got = followup.fused(followup.candidates(df, ["timeout"]), ["timeout"]).collect()
-    assert len(got) == 1 and got[0].n_hits == 2 and abs(got[0].fused - (0.85 + 0.08 + 0.08)) < 1e-9
+    assert followup.fallback_intent("When did it start?").ask_type == "timeline" and followup.fallback_intent("") is None
+    broad = followup.fallback_intent("what are the other problems")
+    assert (broad.ask_type, broad.confidence, broad.must_include) == ("summary", 0.62, rules.ISSUE_TERMS[:6]) and broad.broad
+    assert followup.fallback_intent("who called the login service of the second node at night?") is None and followup.fallback_intent("why?").confidence == 0.55
+    assert followup.fallback_intent("and?", [{"role": "user", "content": "the exception"}]).ask_type == "errors"
+    assert followup.search_terms(broad, "other Problems")[:3] == ["what", "are", "the"] and "denied" in followup.search_terms(broad, "other problems")
+    items = [{"item_id": i, "source": "api_ref", "source_file": "f" + str(i % 4), "fused": 1.0 - i / 10, "snippet": "s" * 50, "relevance": 0.5, "anomaly_score": 0.0} for i in range(12)]
+    assert [x["item_id"] for x in followup.broad_choice(items)] == [0, 1, 2, 3, 4, 5]  # six of this source when the question is broad
+    assert len(followup.evidence_block(items[:1], cap=30)) == 30 and followup.evidence_block(items, cap=140) == "\n\n".join(f"[{k}] (api_ref) {'s' * 50}" for k in range(2))
+    assert "| 0 | api_ref |" in followup.evidence_table(items[:1]) and followup.evidence_table([]).startswith("No evidence")
+    prompt = "see [REF_a] A timeout and a Timeout [REF_b] fine [REF_a] timeout " + "x" * 900
+    ready = followup.candidates(followup.reference_items(spark.createDataFrame([("f", prompt)], "source_file string, prompt string")), ["timeout"])
+    assert {(r.item_id, r.n_hits, round(r.relevance, 6)) for r in ready.collect()} == {("REF_a", 3, 1.0), ("REF_b", 1, 0.65)}
+    none = followup.candidates(followup.reference_items(spark.createDataFrame([("f", prompt)], "source_file string, prompt string")), ["nothing (like) it"])
+    assert {r.relevance for r in none.collect()} == {0.45}
+    df = spark.createDataFrame([("x", "api_ref", "f", "A timeout", 3.0), ("y", "raw_log", "f", "fine", 0.0), ("z", "else", "f", "", 0.0)], "item_id string, source string, source_file string, snippet string, anomaly_score double")
+    got = {r.item_id: r for r in followup.fused(followup.candidates(df, ["timeout"]), ["timeout", ""]).collect()}
+    assert abs(got["x"].fused - (0.65 + 0.08 + 0.08)) < 1e-9 and abs(got["y"].fused - 0.3 * 0.75) < 1e-9 and abs(got["z"].fused - 0.45 * 0.5) < 1e-9
+
+
+def test_exceptions_on_loud_lines_only(spark):
+    lines = ["INFO FooError seen", "ERROR BarException and BarException", "INFO HSM QuxError", "  at a.BazException.x(Y.java:1)"]
+    df = spark.createDataFrame([(i, None, f"t{i}", x) for i, x in enumerate(lines)], "line_no long, ts timestamp_ntz, thread string, clean string")
+    assert {(r.exception, r["count"]) for r in profile.exceptions(df, S).collect()} == {("BarException", 2), ("QuxError", 1), ("a.BazException", 1)}
