@@ -30,18 +30,19 @@ def number_spans(rows: DataFrame, keys: list[str], order: str, is_start: Column,
 
 
 def compact_ranges(numbers: Column, most: int = 8) -> Column:
-    """A sorted array of line numbers as 1-3, 5-6 and so on, at most ``most`` ranges and how many more."""
-    def step(state: Column, n: Column) -> Column:
-        tail = F.element_at(state, -1)
-        grows = (F.size(state) > 0) & (tail["b"] == n - 1)
-        return F.when(grows, F.concat(F.slice(state, 1, F.size(state) - 1), F.array(F.struct(tail["a"].alias("a"), n.alias("b"))))).otherwise(F.concat(state, F.array(F.struct(n.alias("a"), n.alias("b")))))
-
-    kind = "array<struct<a:bigint,b:bigint>>"
-    guarded = lambda s, n: F.when(F.size(s) == 0, F.array(F.struct(n.alias("a"), n.alias("b")))).otherwise(step(s, n))
-    ranges = F.aggregate(F.array_sort(F.array_distinct(numbers)).cast("array<bigint>"), F.array().cast(kind), guarded)
-    shown = F.transform(F.slice(ranges, 1, most), lambda r: F.when(r["a"] == r["b"], r["a"].cast("string")).otherwise(F.concat_ws("-", r["a"].cast("string"), r["b"].cast("string"))))
-    more = F.size(ranges) - most
-    return F.concat(F.array_join(shown, ", "), F.when(more > 0, F.concat(F.lit(", ... +"), more.cast("string"), F.lit(" ranges"))).otherwise(""))
+    """An array of line numbers from 1 as 1-3, 5-6 and so on, at most ``most`` ranges and how many more.
+
+    A range starts where the number before is missing and ends where the next
+    one is, so starts and ends pair off: linear in the numbers.
+    """
+    def ranges(n: Column) -> Column:
+        starts = F.filter(n, lambda x, i: (i == 0) | (F.get(n, i - 1) != x - 1))
+        ends = F.filter(n, lambda x, i: (i == F.size(n) - 1) | (F.get(n, i + 1) != x + 1))
+        return F.zip_with(starts, ends, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat_ws("-", a.cast("string"), b.cast("string"))))
+
+    sorted_ = F.array_sort(F.array_distinct(F.filter(numbers, lambda x: x > 0))).cast("array<bigint>")
+    shown = F.transform(F.array(F.get(F.transform(F.array(sorted_), ranges), F.lit(0))), lambda r: F.concat(F.array_join(F.slice(r, 1, most), ", "), F.when(F.size(r) > most, F.concat(F.lit(", ... +"), (F.size(r) - most).cast("string"), F.lit(" ranges"))).otherwise("")))
+    return F.get(shown, F.lit(0))
 
 
 def islands(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
