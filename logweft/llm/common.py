@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +17,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def work_dir(spark: SparkSession, what: str) -> str:
     """A new folder in the cluster's shared folder, which is ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is used.
+    Where that setting is absent and Spark runs in this one process (tests, a
+    laptop), a temporary folder serves; on a cluster its absence is an error,
+    as executors cannot see the driver's own folders.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = tempfile.mkdtemp(prefix="logweft-")
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="logweft-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
 
 
@@ -51,6 +54,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def let(value: Column, body) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(numbers: Column, levels: int = 15) -> Column:
+    """The running sums of an array of numbers, each with all before it.
+
+    Level k adds to every place the three that are 4^k, 2 * 4^k and 3 * 4^k
+    before it, so n places take log4(n) levels of work n each; an array that is
+    short ends early.  15 levels are enough for a billion places.
+    """
+    def level(k: int, sums: Column) -> Column:
+        step = 4**k
+        if k == levels:
+            return sums
+        before = lambda i, m: F.when(i >= m * step, F.get(sums, i - m * step)).otherwise(0)
+        added = F.transform(sums, lambda x, i: x + before(i, 1) + before(i, 2) + before(i, 3))
+        return F.when(F.size(sums) > step, let(added, lambda a: level(k + 1, a))).otherwise(sums)
+
+    return let(F.transform(numbers, lambda x: x.cast("bigint")), lambda a: level(0, a))
