@@ -4,21 +4,30 @@ Every five-word shingle is hashed once.  The top bits of a hash name its bin,
 and a bin keeps its least hash: with the hashes sorted, that is the first of
 each bin.  An empty bin takes the value of another, found by probing the bins
 in a pseudo-random order of its own until one is filled; the order is the same
-for every document, so like documents borrow alike.  Of each bin's value the
+for every document, so like documents borrow alike.  It is a permutation
+(``START + t * STEP``, odd steps), so a filled bin is always found, and how far
+along a bin is can be told without probing.  Of each bin's value the
 low ``BITS`` bits are kept.  Two fingerprints agree by chance in 1 of 2^BITS
 bins, which the estimate corrects for.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import let
 
-BINS_LOG2, BITS, WORDS, PROBES = 7, 8, 5, 24
+BINS_LOG2, BITS, WORDS = 7, 8, 5
 BINS = 1 << BINS_LOG2
+#: For each bin where its probing starts and how it steps (odd), drawn once from a fixed seed.
+_RNG = random.Random(20240229)
+START, STEP = [_RNG.randrange(BINS) for _ in range(BINS)], [_RNG.randrange(BINS) | 1 for _ in range(BINS)]
+#: So many probes are tried one by one; where all fail, the first filled bin along the order is worked out instead.
+TRIED = 16
 
 
 def words_of(text: Column) -> Column:
@@ -40,12 +49,16 @@ def bin_of(h: Column) -> Column:
 
 def densified(least: Column) -> Column:
     """From each filled bin's least hash to the low bits of all bins."""
+    starts, steps, backs = (F.array(*map(F.lit, x)) for x in (START, STEP, [pow(a, -1, BINS) for a in STEP]))
+    wrapped = lambda c: c.bitwiseAND(F.lit(BINS - 1))
+
     def filled(bins: Column) -> Column:
         def value(j: Column) -> Column:
-            # Short-circuits at the first filled bin; a document with very few filled ones falls back on the nearest in hash order.
-            probes = [F.try_element_at(bins, F.pmod(F.xxhash64(j, F.lit(t)), F.lit(BINS))) for t in range(PROBES)]
-            last = F.array_min(F.transform(least, lambda h: F.struct(F.xxhash64(j, bin_of(h), F.lit(-1)).alias("at"), h.alias("h"))))["h"]
-            return F.coalesce(F.try_element_at(bins, j), *probes, last)
+            at = j.cast("int")
+            probes = [F.try_element_at(bins, wrapped(F.get(starts, at) + t * F.get(steps, at)).cast("bigint")) for t in range(TRIED)]  # short-circuits at the first filled bin
+            turn = lambda h: wrapped((bin_of(h) - F.get(starts, at)) * F.get(backs, at))
+            first = F.array_min(F.transform(least, lambda h: F.struct(turn(h).alias("turn"), h.alias("h"))))["h"]
+            return F.coalesce(F.try_element_at(bins, j), *probes, first)
 
         return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(BINS - 1).cast("bigint")), lambda j: value(j).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
 
