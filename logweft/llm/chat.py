@@ -4,9 +4,10 @@ A turn is written as its role's opening mark, its text and the closing mark.
 Inside texts a backslash, ``<`` and ``[`` can be written ``\e``, ``\l`` and
 ``\b``.  A text is first left as it is; if it holds a control string or one of
 these escapes, its backslashes and control strings are escaped; if the parser
-still does not give the source back, every backslash, ``<`` and ``[`` is.  Two
-turns never run into each other, because every turn was shown to end at its
-own closing mark.
+still does not give the source back, every backslash, ``<`` and ``[`` is.  Then
+the whole conversation is read back and compared, role by role and text by
+text; one that is not identical has all its texts escaped in full and is
+compared once more, and what still differs is an error, never a silent row.
 
 The parser is one regular expression over the whole conversation, and it sees
 nothing but the output.
@@ -18,7 +19,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .common import let, running
 
 #: The template's marks by role, fixed values; any other role is named in its mark.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -88,15 +90,35 @@ def loss_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(formatted, s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))), "")
 
 
-def format_turns(rows: DataFrame, *, role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``rows`` with ``_lw_role``, ``_lw_open``, ``_lw_body`` and ``_lw_close``."""
-    role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    a, b = opening(role), closing(role)
+TURNS = "array<struct<role:string,text:string>>"
+
+
+def written(role: Column, text: Column) -> Column:
+    """A turn's body: as little escaped as gives the turn back."""
     plain = ~any_of(text, [*CONTROLS, "\\e", "\\l", "\\b", "\\g"])
     first = F.when(plain, text).otherwise(escaped_controls(text))
-    marked = rows.withColumns({"_lw_role": role, "_lw_open": a, "_lw_close": b, "_lw_first": first})
-    good = returns(F.concat("_lw_open", "_lw_first", "_lw_close"), F.col("_lw_role"), text)
-    return marked.withColumn("_lw_body", F.when(good, F.col("_lw_first")).otherwise(escaped_all(text))).drop("_lw_first")
+    return let(first, lambda body: F.when(returns(F.concat(opening(role), body, closing(role)), role, text), body).otherwise(escaped_all(text)))
+
+
+def read_back(formatted: Column) -> Column:
+    """array<struct(role, text)> as the parser finds it, or null."""
+    return F.transform(parse(formatted), lambda t: F.struct(t["role"].alias("role"), unescaped(t["body"]).alias("text"))).cast(TURNS)
+
+
+def rendered(turns: Column, bodies: Column) -> Column:
+    """struct(formatted, turns, loss_spans) of turns (role, text) with these bodies; turns are null where they are not read back."""
+    pieces = F.flatten(F.zip_with(turns, bodies, lambda t, b: F.array(opening(t["role"]), b, closing(t["role"]))))
+
+    def whole(p: Column) -> Column:
+        def spans(ends: Column) -> Column:
+            span = lambda t, i: F.when(t["role"] == "assistant", F.struct(F.get(ends, 3 * i).alias("start"), F.get(ends, 3 * i + 1).alias("end")))
+            return F.filter(F.transform(turns, span), lambda s: s.isNotNull())
+
+        text = F.array_join(p, "")
+        return F.struct(text.alias("formatted"), let(running(F.transform(p, lambda x: F.length(x))), spans).alias("loss_spans"))
+
+    made = let(pieces, whole)
+    return let(made, lambda m: F.struct(m["formatted"].alias("formatted"), F.when(F.coalesce(read_back(m["formatted"]) == turns, F.lit(False)), turns).alias("turns"), m["loss_spans"].alias("loss_spans")))
 
 
 def format_conversations(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -110,13 +132,11 @@ def format_conversations(rows: DataFrame, *, conv_col: str = "conv_id", turn_col
     own.  Other columns are not read, so they cannot clash.  A conversation
     is one string by definition, so its turns meet in one task.
     """
-    bare = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    done = format_turns(bare)
-    by_turn = Window.partitionBy("conv").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
-    size = F.length("_lw_open") + F.length("_lw_body") + F.length("_lw_close")
-    placed = done.select("conv", "_lw_role", F.row_number().over(by_turn).alias("at"), F.concat("_lw_open", "_lw_body", "_lw_close").alias("turn"), F.sum(size.cast("long")).over(by_turn.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.length("_lw_body").alias("body"), F.length("_lw_close").alias("close"))
-    span = F.struct((F.col("upto") - F.col("close") - F.col("body")).alias("start"), (F.col("upto") - F.col("close")).alias("end"))
-    whole = placed.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("at", "turn"))).alias("all"), F.array_sort(F.collect_list(F.when(F.col("_lw_role") == "assistant", span))).alias("loss_spans"))
-    text = whole.select("conv", F.array_join(F.transform("all", lambda t: t["turn"]), "").alias("formatted"), "loss_spans")
-    turns = F.transform(parse(F.col("formatted")), lambda t: F.struct(t["role"].alias("role"), unescaped(t["body"]).alias("text")))
-    return text.select(F.col("conv").alias(conv_col), "formatted", turns.alias("turns"), "loss_spans")
+    row = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    whole = rows.select(F.col(conv_col).alias("conv"), row.alias("row")).groupBy("conv").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    told = F.transform("rows", lambda r: F.struct(F.coalesce(r["role"], F.lit("")).alias("role"), F.coalesce(r["text"], F.lit("")).alias("text"))).cast(TURNS)
+    first = whole.select("conv", told.alias("source")).withColumn("done", rendered(F.col("source"), F.transform("source", lambda t: written(t["role"], t["text"]))))
+    again = rendered(F.col("source"), F.transform("source", lambda t: escaped_all(t["text"])))
+    done = first.withColumn("done", F.when(F.col("done.turns").isNotNull(), F.col("done")).otherwise(again))
+    lost = F.raise_error(F.lit("a conversation cannot be read back from its formatted text")).cast(TURNS)
+    return done.select(F.col("conv").alias(conv_col), "done.formatted", F.coalesce("done.turns", lost).alias("turns"), "done.loss_spans")
