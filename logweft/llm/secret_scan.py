@@ -1,12 +1,15 @@
 r"""Secrets: a pattern proposes candidates, a random forest removes false positives.
 
-The forest is trained with Spark ML from labelled findings and then turned
-into one column expression, so that scoring candidates needs neither a shuffle
-nor Python: every document is scanned, scored and reported in one projection.
-
-Features of a candidate: its length, changes of character class along it,
-repeated characters, shares of digits, capitals and vowels, coverage by
-dictionary words, signs of a path, and the words beside it.
+The forest is trained with Spark ML from a table of labelled findings (value,
+before, path, label) and then turned into one column expression, so that
+scoring candidates needs neither a shuffle nor Python: every document is
+scanned, scored and reported in one projection.  ``labelled_findings`` makes
+such a table where there is none.
+
+Features of a candidate: its length, transitions between character classes and
+between letters as words have them, repeated characters, shares of digits,
+capitals and vowels, coverage by dictionary words, signs of a path, what the
+path of its document says, and the words beside it.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, running
 
 #: What a secret's name ends in; whatever stands before it belongs to the name.
 NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|auth[_-]?key|credential|key|pat|sig)"
@@ -53,25 +56,31 @@ DICTIONARY = (
 SYLLABLES = "an ar be ber ci cion de der di do ein en ent er est ge gen ha heit in ing ir keit le les lich lo ly ment no nt on or os ous que ra re sch se so st te ter th ti tion to tra un ung us ver wh".split()
 #: Bound of the generated training set, and the forest's size.
 FIT_ROWS, TREES, DEPTH, SEED = 6_000, 16, 7, 11
-FEATURES = ["chars", "changes", "repeats", "digits", "capitals", "vowels", "words", "slashes", "dots", "hexlike", "assigned", "secretish", "benign", "prefix"]
+FEATURES = ["chars", "changes", "pairs", "repeats", "digits", "capitals", "vowels", "words", "slashes", "dots", "hexlike", "assigned", "secretish", "benign", "prefix", "in_tests", "in_settings"]
+#: What a document's path says of its contents.
+TEST_PATHS, SETTING_PATHS = ("test", "spec", "mock", "fixture", "example", "sample", "docs"), (".env", "config", "conf/", "settings", "secret", "credential", ".pem", ".yml", ".yaml", ".properties")
+#: Pairs of letters that dictionary words have, by the first one.
+LETTER_PAIRS = {a: sorted({y for w in DICTIONARY for x, y in zip(w, w[1:]) if x == a}) for a in "abcdefghijklmnopqrstuvwxyz"}
+WORD_PAIR = "(?=" + "|".join(f"{a}[{''.join(b)}]" for a, b in LETTER_PAIRS.items() if b) + ")"
 
 
-def features(value: Column, before: Column) -> dict[str, Column]:
-    """before: the text just before the candidate, the assignment included."""
+def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
+    """before: the text just before the candidate, the assignment included; path: of its document, empty if unknown."""
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     kinds = F.translate(value, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
 
     def left_by(pattern: str, text: Column = value) -> Column:
         return F.length(F.regexp_replace(text, pattern, "")).cast("double")
 
-    near = F.lower(before)
+    near, place = F.lower(before), F.lower(path)
 
-    def any_near(words: tuple[str, ...]) -> Column:
-        return reduce(lambda a, b: a | b, [F.contains(near, F.lit(w)) for w in words]).cast("double")
+    def any_near(words: tuple[str, ...], where: Column = near) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(where, F.lit(w)) for w in words]).cast("double")
 
     return {
         "chars": F.least(n, F.lit(200.0)),
         "changes": (left_by(r"(a)(?=a)|(A)(?=A)|(0)(?=0)", kinds) - 1) / n,
+        "pairs": (F.length(F.regexp_replace(F.lower(value), WORD_PAIR, "#")) - F.length(value)).cast("double") / n,
         "repeats": 1 - left_by(r"(.)(?=\1)") / n,
         "digits": 1 - left_by("[0-9]") / n,
         "capitals": 1 - left_by("[A-Z]") / n,
@@ -84,16 +93,19 @@ def features(value: Column, before: Column) -> dict[str, Column]:
         "secretish": any_near(SECRET_WORDS),
         "benign": any_near(BENIGN_WORDS),
         "prefix": value.rlike(f"^(?:AKIA|ASIA|gh[pousr]_|xox[abpr]-|sk_live_|sk-|AIza|glpat-|eyJ|{WEBHOOK})").cast("double"),
+        "in_tests": any_near(TEST_PATHS, place),
+        "in_settings": any_near(SETTING_PATHS, place),
     }
 
 
 def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
-    """A bounded set of generated findings (value, before, label), the same each time.
+    """A bounded set of generated findings (value, before, path, label, template), the same each time.
 
     Real credentials are strings drawn evenly from an alphabet, with the
     prefixes and assignments that issuers and programs give them; false ones
     are placeholders, words, numbers, paths, checksums, identifiers, and long
-    words, titles and names without a digit.
+    words, titles and names without a digit.  Most paths say nothing; of those
+    that do, settings go more with real ones and tests with false ones.
     """
     def drawn(alphabet: str, least: int, most: int | None = None) -> Column:
         size = F.lit(least) if most is None else F.pmod(F.xxhash64("id", F.lit("size")), F.lit(most - least + 1)) + least
@@ -128,12 +140,22 @@ def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
         (F.replace(F.initcap(words(" ")), F.lit(" "), F.lit("")), F.concat(talk, F.when(F.col("id") % 3 == 0, named).otherwise("")), 0),
         (F.upper(F.when(F.col("id") % 2 == 0, spoken).otherwise(F.concat_ws("_", pick(SYLLABLES, "k"), word("g"), pick(["key", "id", "api", "url"], "i"), pick(["key", "id", "no", "base"], "j")))), F.concat(talk, pick(["", "export ", "\n", "with "], "shell")), 0),
     ]
-    return reduce(DataFrame.unionByName, [spark.range(k, rows, len(cases), 1).select(v.alias("value"), b.alias("before"), F.lit(float(label)).alias("label")) for k, (v, b, label) in enumerate(cases)])
+    tests, settings = pick(["src/test/login_test.py", "docs/example.md", "spec/fixtures/a.json", "samples/app.rb"], "tests"), pick(["deploy/.env", "conf/app.properties", "settings.py", "config/prod.yml"], "settings")
+    roll = F.pmod(F.xxhash64("id", F.lit("roll")), F.lit(20))
+    path = lambda label: F.when(roll < (3 if label else 1), settings).when(roll < 4, tests).otherwise(pick(["", "web", "forum", "src/main/app.py", "crawl"], "place"))
+    one = lambda k, v, b, label: spark.range(k, rows, len(cases), 1).select(v.alias("value"), b.alias("before"), path(label).alias("path"), F.lit(float(label)).alias("label"), F.lit(k).alias("template"))
+    return reduce(DataFrame.unionByName, [one(k, *case) for k, case in enumerate(cases)])
 
 
 def train(findings: DataFrame, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
-    """A forest from (value, before, label): per tree nested (feature, threshold, left, right), or a leaf's share of secrets."""
-    x = findings.where("value is not null and label is not null").select("label", *(c.alias(n) for n, c in features(F.col("value"), F.coalesce("before", F.lit(""))).items()))
+    """A forest from labelled findings (value, before, path, label): per tree nested (feature, threshold, left, right), or a leaf's share of secrets.
+
+    Rows without a value or a label are left out; a missing ``before`` or
+    ``path`` is empty.  All findings meet on one executor, so their number is
+    the caller's to bound.
+    """
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in findings.columns else F.lit("") for c in ("before", "path")]
+    x = findings.where("value is not null and label is not null").select(F.col("label").cast("double").alias("label"), *(c.alias(n) for n, c in features(F.col("value"), *known).items()))
     x = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(x).select("label", "features").coalesce(1)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=2).fit(x)
 
@@ -158,34 +180,37 @@ def vote(forest: list, x: Column) -> Column:
     return reduce(lambda a, b: a + b, map(tree, forest)) / F.lit(float(len(forest)))
 
 
-def find_secrets(docs: DataFrame, forest: list, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+def find_secrets(docs: DataFrame, forest: list, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, least: float = 0.5) -> DataFrame:
     """``id_col``, n_candidates, and secrets: array<struct(start, end, value, score)> with scores of ``least`` or more.
 
-    Offsets are code points, the end exclusive.  Null and empty texts have no
-    candidates.  Each row stands on its own, so null and repeated ids pass;
-    other columns are not read, so they cannot clash.
+    Offsets are code points, the end exclusive.  ``path_col`` names the column
+    with a document's path, if there is one; a null path is empty.  Null and
+    empty texts have no candidates.  Each row stands on its own, so null and
+    repeated ids pass; other columns are not read, so they cannot clash.
     """
     kind = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
     text = F.col("text")
 
     def placed(hits: Column) -> Column:
-        def step(state: Column, x: Column) -> Column:
-            a = state["at"] + F.length(x["gap"])
-            end = a + F.coalesce(F.length(x["hit"]), F.lit(0))
-            name = F.length(F.regexp_extract(x["hit"], "^" + ASSIGNED, 0))
-            before = F.concat(F.substring(x["gap"], F.greatest(F.length(x["gap"]) - 31, F.lit(1)), F.lit(32)), F.substring(x["hit"], F.lit(1), name))
-            span = F.struct((a + name).alias("start"), end.alias("end"), F.substring(x["hit"], name + 1, F.length(x["hit"])).alias("value"), before.alias("before"))
-            return F.struct(end.alias("at"), F.when(x["hit"].isNotNull(), F.concat(state["out"], F.array(span).cast(kind))).otherwise(state["out"]).alias("out"))
+        gaps = F.split(text, CANDIDATE, -1)
+        pieces = F.flatten(F.zip_with(gaps, hits, lambda g, h: F.array(g, F.coalesce(h, F.lit("")))))
+
+        def found(p: Column, ends: Column) -> Column:
+            def one(hit: Column, i: Column) -> Column:
+                gap, name = F.get(p, 2 * i), F.length(F.regexp_extract(hit, "^" + ASSIGNED, 0))
+                before = F.concat(F.right(gap, F.lit(32)), F.substring(hit, F.lit(1), name))
+                return F.struct((F.get(ends, 2 * i) + name).alias("start"), F.get(ends, 2 * i + 1).alias("end"), F.substring(hit, name + 1, F.length(hit)).alias("value"), before.alias("before"))
+
+            return F.transform(hits, one).cast(kind)
 
-        zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
-        parts = F.arrays_zip(F.split(text, CANDIDATE, -1).alias("gap"), hits.alias("hit"))
-        return F.when(F.size(hits) > 0, F.aggregate(parts, zero, step, lambda s: s["out"])).otherwise(F.array().cast(kind))
+        return F.when(F.size(hits) > 0, let(pieces, lambda p: let(running(F.transform(p, lambda x: F.length(x))), lambda e: found(p, e)))).otherwise(F.array().cast(kind))
 
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = src.select("id", let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), placed).alias("found"))
+    path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), path.alias("path"))
+    candidates = src.select("id", "path", let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), placed).alias("found"))
 
     def scored(c: Column) -> Column:
-        x = F.struct(*(f.alias(n) for n, f in features(c["value"], c["before"]).items()))
+        x = F.struct(*(f.alias(n) for n, f in features(c["value"], c["before"], F.col("path")).items()))
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), let(x, lambda v: vote(forest, v)).alias("score"))
 
-    return found.select(F.col("id").alias(id_col), F.size("found").cast("long").alias("n_candidates"), F.filter(F.transform("found", scored), lambda s: s["score"] >= least).alias("secrets"))
+    return candidates.select(F.col("id").alias(id_col), F.size("found").cast("long").alias("n_candidates"), F.filter(F.transform("found", scored), lambda s: s["score"] >= least).alias("secrets"))
