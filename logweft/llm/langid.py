@@ -97,13 +97,8 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("id").isNotNull())
     rows = rows.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
-    share = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(float(fit_docs)) / F.col("count")).alias("share"))
-    parts = {r.lang: r.share for r in share.collect()}  # a row for each language
-    if not parts:
-        return []
-    cut = F.lit(False)
-    for lang, part in parts.items():
-        cut |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(part * 1_000_000)))
+    share = rows.groupBy("lang").count().select("lang", (F.least(F.lit(1.0), F.lit(float(fit_docs)) / F.col("count")) * 1_000_000).cast("long").alias("_share"))
+    drawn = rows.join(share, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("_share"))
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +112,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             g, n = summed(got)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], names=schema.names)
 
-    counts = rows.where(cut).select("lang", "text").mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = drawn.select("lang", "text").mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
     top = counts.withColumn("r", place).where(F.col("r") < size)
     return [(r.lang, r.gram, r.r) for r in top.collect()]  # ``size`` rows for each language
@@ -147,20 +142,27 @@ def identify(docs: DataFrame, profiles: list[tuple[str, int, int]], *, id_col: s
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, profiles: list[tuple[str, int, int]], *, text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """``docs``, columns as they were, without the rows whose language is undetermined.
+def keep_identified(docs: DataFrame, profiles: list[tuple[str, int, int]], *, text_col: str = "text", lang_col: str | None = None, floor: float = 0.0, size: int = SIZE) -> DataFrame:
+    """``docs``, columns as they were, without the rows whose language cannot be told.
 
-    Those are the texts without a letter: with any profile, a text with one has
-    a nearest language.  Where nothing was learnt every row stays.
+    Those are the texts without a letter, and the texts whose nearness to the
+    nearest language is not over ``floor``: at 0 those that share no n-gram
+    with any profile, as texts in an unknown script.  A row that stays gets
+    the language found where ``lang_col`` is named and null.  Where nothing
+    was learnt every row stays as it is.
     """
     if not profiles:
         return docs
-    held = docs.sparkSession.sparkContext.broadcast(profiles)
-    at = docs.columns.index(text_col)
+    held = docs.sparkSession.sparkContext.broadcast(profiles)  # size x languages rows
+    at, to = docs.columns.index(text_col), docs.columns.index(lang_col) if lang_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Profiles(held.value, size)
         for b in batches:
-            yield b.filter(pa.array([p.predict(t.as_py())[0] != UNKNOWN for t in b.column(at)], pa.bool_()))
+            got = [p.predict(t.as_py()) for t in b.column(at)]
+            if to is not None:
+                known = [x if x is not None else lang for x, (lang, _) in zip(b.column(to).to_pylist(), got, strict=True)]
+                b = b.set_column(to, b.schema.field(to), pa.array(known, b.schema.field(to).type))
+            yield b.filter(pa.array([lang != UNKNOWN and score > floor for lang, score in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
