@@ -27,6 +27,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words a worker keeps counted; beyond it the table is emptied. It bounds memory and changes no result.
 CACHE = 300_000
+#: Longer words are never kept, so that the table is bounded in bytes too.
+LONGEST = 64
 _WORKER: dict = {}
 
 
@@ -83,7 +85,9 @@ class Counter:
             if (got := get(w)) is None:
                 if len(cache) >= CACHE:
                     cache.clear()
-                got = cache[w] = self.word(SPACE + w)
+                got = self.word(SPACE + w)
+                if len(w) <= LONGEST:
+                    cache[w] = got
             tokens += got[0]
             score += got[1]
         return tokens, score
