@@ -11,8 +11,8 @@ from logweft.llm.common import read, saved
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
-    return langid.keep_identified(docs, langid.learn(docs))
+    """Documents whose language can be told; one without a label gets the language found."""
+    return langid.keep_identified(docs, langid.learn(docs), lang_col="lang")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
