@@ -3,19 +3,28 @@
 A word is a run of ``[0-9a-z]`` or non-ASCII characters after A-Z is
 lower-cased.  A benchmark item's windows are all its runs of ``width`` words;
 an item with fewer words is one window.  The windows of a block of items go to
-every executor as a hash table; each document is scanned once per block.  The
-size of a block is bounded by ``block_windows``: a benchmark with more windows
-is taken in several blocks, whose results are merged per document, so no
-broadcast grows with the benchmark.
+every executor as sorted 64-bit hashes, each with where in the block it
+stands; a document's windows are hashed the same way, and where hashes meet
+the words themselves are compared.
+
+The size of a block is bounded by ``block_words``, and with it what is
+broadcast and what a worker holds (some 20 bytes a word besides the words).  A
+benchmark with more words is taken in several blocks: documents get a number
+and are written once, each block leaves the (number, spans, items) of its hits
+only, and those are put together at the end.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
+from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,11 +32,10 @@ from pyspark.sql import types as T
 from .common import saved
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-FOUND = [
-    T.StructField("n_words", T.LongType()),
-    T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
-    T.StructField("items", T.ArrayType(T.StringType())),
-]
+#: Words of a benchmark in one block; words a worker keeps hashed, and the longest of them (bounds of memory only).
+BLOCK_WORDS, CACHE, LONGEST = 2_000_000, 250_000, 64
+STEP = np.uint64(0x9E3779B97F4A7C15)
+SPANS, ITEMS = T.ArrayType(T.ArrayType(T.LongType())), T.ArrayType(T.StringType())
 #: In a Python worker: the table of the last broadcast block, which later tasks reuse.
 _LAST: dict = {}
 
@@ -36,57 +44,72 @@ def words(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode("utf-8", "replace").lower()) if text else []
 
 
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        got = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            self[word] = got
+        return got
+
+
+HASHES = WordHashes()
+
+
+def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` word hashes."""
+    out = h[: len(h) - n + 1].copy()
+    for i in range(1, n):
+        out = out * STEP + h[i : len(h) - n + 1 + i]
+    return out
+
+
 class WindowSet:
-    """The windows of some benchmark items, by exact word sequence."""
+    """The windows of some benchmark items; hashes find them, words decide."""
 
     def __init__(self, items: list[tuple[str, str | None]], width: int):
-        vocab: dict[bytes, int] = {}
-        self.vocab = vocab
-        #: By length in words: window as the bytes of its word numbers -> its items.
-        self.by_width: dict[int, dict[bytes, list[str]]] = {}
-        for item, text in items:
-            w = words(text)
-            if not w:
-                continue
+        self.items = [(i, w) for i, text in items if (w := words(text))]
+        #: By length in words: the windows' hashes, ascending, and the item and place of each.
+        self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for k, (_, w) in enumerate(self.items):
             n = min(width, len(w))
-            row = b"".join(vocab.setdefault(x, len(vocab)).to_bytes(4, "little") for x in w)
-            table = self.by_width.setdefault(n, {})
-            for i in range(len(w) - n + 1):
-                found = table.setdefault(row[4 * i : 4 * (i + n)], [])
-                if not found or found[-1] != item:
-                    found.append(item)
+            h = window_hashes(np.fromiter(map(HASHES.__getitem__, w), np.uint64, len(w)), n)
+            found.setdefault(n, []).append((h, np.full(len(h), k, np.int32), np.arange(len(h), dtype=np.int32)))
+        for n, parts in found.items():
+            h, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.by_width[n] = h[order], item[order], place[order]
 
     def scan(self, w: list[bytes]) -> tuple[list[list[int]], list[str]]:
         """The hit word spans [start, end), merged, and the items whose windows occur."""
-        if not w:
-            return [], []
-        get, runs, start = self.vocab.get, [], -1
-        known = [get(x, -1) for x in w]
-        # Only runs of benchmark words can hold a window.
-        shortest = min(self.by_width, default=1 << 30)
-        known.append(-1)
-        for i, x in enumerate(known):
-            if x < 0:
-                if start >= 0 and i - start >= shortest:
-                    runs.append((start, i))
-                start = -1
-            elif start < 0:
-                start = i
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
-        for a, b in runs:
-            row = b"".join(x.to_bytes(4, "little") for x in known[a:b])
-            for n, table in self.by_width.items():
-                for i in range(b - a - n + 1):
-                    if found := table.get(row[4 * i : 4 * (i + n)]):
-                        spans.append((a + i, a + i + n))
-                        items.update(found)
+        if not w or not self.by_width:
+            return [], []
+        own = np.fromiter(map(HASHES.__getitem__, w), np.uint64, len(w))
+        for n, (h, item, place) in self.by_width.items():
+            if len(w) < n:
+                continue
+            x = window_hashes(own, n)
+            lo = np.searchsorted(h, x)
+            for a in np.flatnonzero(h[np.minimum(lo, len(h) - 1)] == x).tolist():
+                hit, window, k = False, w[a : a + n], int(lo[a])
+                while k < len(h) and h[k] == x[a]:  # one window of many items
+                    name, v = self.items[item[k]]
+                    if name not in items or not hit:
+                        if v[place[k] : place[k] + n] == window:
+                            hit = True
+                            items.add(name)
+                    k += 1
+                if hit:
+                    spans.append((a, a + n))
         return merged(spans), sorted(items)
 
 
 def window_set(held, width: int) -> WindowSet:
-    key = (held.value is _LAST.get("block"), width)
-    if key != (True, _LAST.get("width")):
+    if _LAST.get("block") is not held.value or _LAST.get("width") != width:
         _LAST.update(block=held.value, width=width, table=WindowSet(held.value, width))
     return _LAST["table"]
 
@@ -101,129 +124,114 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_windows: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of about ``block_windows`` words, one block in the driver at a time."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The items in blocks of about ``block_words`` words, one block in the driver at a time."""
     block, size = [], 0
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null")
     for r in rows.toLocalIterator():
         block.append((r.i, r.t))
         size += 1 + (len(r.t) // 2 if r.t else 0)
-        if size >= block_windows:
+        if size >= block_words:
             yield block
             block, size = [], 0
-    if block:
-        yield block
+    yield block
+
+
+def scanned(held, width: int, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """n_words, spans and items of some texts."""
+    table, found = window_set(held, width), []
+    for text in texts:
+        w = words(text.as_py())
+        found.append((len(w), *table.scan(w)))
+    n, spans, items = zip(*found, strict=True) if found else ((), (), ())
+    return pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))
+
+
+def found_in(docs: DataFrame, carry: list[str], benchmark: DataFrame, *, text_col: str, item_id_col: str, item_text_col: str, width: int, block_words: int) -> DataFrame:
+    """(row, n_words, spans, items): the ``carry`` columns of each row of ``docs`` as a struct, and what the benchmark has in common with its text."""
+    row = F.struct(*carry).alias("row")
+    every = blocks(benchmark, item_id_col, item_text_col, block_words)
+    first, second = next(every), next(every, None)
+    if second is None:
+        inside = carry.index(text_col) if text_col in carry else None  # a text that is carried is not sent twice
+        sent = docs.select(row) if inside is not None else docs.select(row, F.col(text_col).cast("string").alias("text"))
+        schema = T.StructType([T.StructField("row", sent.schema["row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", ITEMS)])
+        held = docs.sparkSession.sparkContext.broadcast(first)
 
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = b.column(1) if inside is None else b.column(0).field(inside)
+                yield pa.RecordBatch.from_arrays([b.column(0), *scanned(held, width, texts)], names=schema.names)
 
-def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-    item_id_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_windows: int = 20_000_000,
-) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, n_words, n_hit, items (sorted strings), spans (word ranges).
+        return sent.mapInArrow(scan, schema)
+    numbered = saved(docs.select(F.monotonically_increasing_id().alias("number"), F.col(text_col).cast("string").alias("text"), row), "decontam-docs")
+    hits = [saved(block_hits(numbered, b, width), "decontam-block") for b in chain((first, second), every)]
+    together = reduce(DataFrame.unionByName, hits).groupBy("number").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = numbered.select("number", "row", word_count("text").alias("n_words")).join(together, "number", "left")
+    return joined.select("row", "n_words", merged_spans(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"), F.coalesce("items", F.array().cast(ITEMS)).alias("items"))
 
-    Null texts have no words; a null or repeated ``id_col`` is carried as it
-    is, each row on its own.  Null item ids are left out; repeated item ids
-    count as one item.  Other columns of ``docs`` are not read, so they cannot
-    clash.  An empty benchmark hits nothing.
-    """
-    spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("id", id_type), *FOUND])
-    first = list(islice(blocks(benchmark, item_id_col, item_text_col, block_windows), 2))
-    if len(first) > 1:
-        out = many_blocks(src, schema, benchmark, item_id_col, item_text_col, width, block_windows)
-    else:
-        held = spark.sparkContext.broadcast(first[0] if first else [])
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = window_set(held, width)
-            for b in batches:
-                n, spans, items = [], [], []
-                for text in b.column(1):
-                    w = words(text.as_py())
-                    s, i = table.scan(w)
-                    n.append(len(w))
-                    spans.append(s)
-                    items.append(i)
-                yield pa.RecordBatch.from_arrays([b.column(0), *found_arrays(n, spans, items)], names=schema.names)
-
-        out = src.mapInArrow(scan, schema)
-    length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    return out.select(F.col("id").alias(id_col), "n_words", length.alias("n_hit"), "items", "spans")
+def block_hits(numbered: DataFrame, block: list[tuple[str, str | None]], width: int) -> DataFrame:
+    """(number, spans, items) of the rows that a block's windows hit."""
+    schema = T.StructType([T.StructField("number", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", ITEMS)])
+    held = numbered.sparkSession.sparkContext.broadcast(block)
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, spans, items = scanned(held, width, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), spans, items], names=schema.names).filter(pa.array([len(x) > 0 for x in items], pa.bool_()))
 
-def found_arrays(n: list, spans: list, items: list) -> list[pa.Array]:
-    return [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
+    return numbered.select("number", "text").mapInArrow(scan, schema)
 
 
-def many_blocks(src: DataFrame, schema: T.StructType, benchmark: DataFrame, item_id_col: str, item_text_col: str, width: int, block_windows: int) -> DataFrame:
-    """Block after block, carrying the spans and items found so far.
+@F.pandas_udf(T.LongType())
+def word_count(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: len(words(t)))
 
-    Each round is written to the shared folder, so a lost executor costs at
-    most one round and plans stay short.
-    """
-    spark = src.sparkSession
-    state = src.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<array<bigint>>"), "items": F.array().cast("array<string>")})
-    wide = T.StructType([schema["id"], T.StructField("text", T.StringType()), *FOUND])
-    for block in blocks(benchmark, item_id_col, item_text_col, block_windows):
-        held = spark.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            table = window_set(held, width)
-            for b in batches:
-                n, spans, items = [], [], []
-                for text, s0, i0 in zip(b.column(1), b.column(3), b.column(4), strict=True):
-                    w = words(text.as_py())
-                    s, i = table.scan(w)
-                    n.append(len(w))
-                    spans.append(merged([*map(tuple, s0.as_py()), *map(tuple, s)]))
-                    items.append(sorted({*i0.as_py(), *i}))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found_arrays(n, spans, items)], names=wide.names)
 
-        state = saved(state.mapInArrow(scan, wide), "decontam-block")
-        held.unpersist()
-    return state.drop("text")
+@F.pandas_udf(SPANS)
+def merged_spans(spans: pd.Series) -> pd.Series:
+    return spans.map(lambda s: merged([tuple(map(int, x)) for x in s]))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; columns as they were.
+OPTIONS = {"item_id_col": "item_id", "item_text_col": "text", "width": 10, "block_words": BLOCK_WORDS}
 
-    The scan is fused with the filter: no join back, no shuffle.
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, n_words, n_hit, items (sorted strings), spans (word ranges).
+
+    Null texts have no words; a null or repeated ``id_col`` is carried as it
+    is, each row on its own.  Null item ids are left out; repeated item ids
+    count as one item.  Other columns of ``docs`` are not read, so they cannot
+    clash.  An empty benchmark hits nothing.  Options: item_id_col,
+    item_text_col, width, block_words.
     """
-    return _filtered(docs, benchmark, spans_only=False, **options)
+    found = found_in(docs, [id_col], benchmark, text_col=text_col, **OPTIONS | options)
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return found.select(F.col("row")[id_col].alias(id_col), "n_words", length.alias("n_hit"), "items", "spans")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` with every hit word span, and what stands between its words, cut from the text."""
-    return _filtered(docs, benchmark, spans_only=True, **options)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark window; rows and columns as they were."""
+    found = found_in(docs, docs.columns, benchmark, text_col=text_col, **OPTIONS | options)
+    return found.where(F.size("spans") == 0).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
-def _filtered(docs: DataFrame, benchmark: DataFrame, *, spans_only: bool, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_windows: int = 20_000_000) -> DataFrame:
-    spark, at = docs.sparkSession, docs.columns.index(text_col)
-    out = docs
-    for k, block in enumerate(blocks(benchmark, item_id_col, item_text_col, block_windows)):
-        held = spark.sparkContext.broadcast(block)
+def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with every hit word span, and what stands between its words, cut from the text."""
+    found = found_in(docs, docs.columns, benchmark, text_col=text_col, **OPTIONS | options)
+    cut = F.when(F.size("spans") > 0, without(F.col("row")[text_col], F.col("spans"))).otherwise(F.col("row")[text_col])
+    return found.select(*((cut if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
 
-        def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            table = window_set(held, width)
-            for b in batches:
-                texts = [t.as_py() for t in b.column(at)]
-                if spans_only:
-                    cut = pa.array([cut_spans(t, table.scan(words(t))[0]) for t in texts], b.schema.field(at).type)
-                    yield pa.RecordBatch.from_arrays([cut if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
-                else:
-                    yield b.filter(pa.array([not table.scan(words(t))[0] for t in texts], pa.bool_()))
-
-        out = out.mapInArrow(keep, docs.schema)
-        if k:
-            out = saved(out, "decontam-block")
-    return out
+
+@F.pandas_udf(T.StringType())
+def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([cut_spans(t, s) for t, s in zip(texts, spans, strict=True)])
 
 
 def cut_spans(text: str | None, spans: list[list[int]]) -> str | None:
     """``text`` without the characters from the first to the last word of each span."""
-    if not spans or text is None:
+    if text is None:
         return text
     raw = text.encode("utf-8", "replace")
     at = [m.span() for m in WORD.finditer(raw.lower())]
