@@ -137,10 +137,10 @@ def dropped(pairs: DataFrame, often: DataFrame, total: int) -> DataFrame:
 
 
 def cut(docs: DataFrame, *, id_col: str, text_col: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(row, text, lines, gone): each row of ``docs`` as a struct, the text that stays, and how many lines it had and lost."""
+    """(row, text, lines, gone): each row of ``docs`` as a struct without its text, the text that stays, and how many lines it had and lost."""
     pairs, often, total = repeated_keys(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs, batches=batches, fanout=fanout)
     lost = dropped(pairs, often, total).select(F.col("id").alias("lost_id"), "keys")
-    held = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    held = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(True).alias("_"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col)).alias("row"))
     joined = held.join(lost, F.col("id") == F.col("lost_id"), "left")
     lines = split_lines(F.col("text"))
     both = F.arrays_zip(lines.alias("line"), keys_of(lines, min_chars).alias("key"))
@@ -161,10 +161,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     carried in a struct, so no name of theirs can clash.
     """
     done = cut(docs, id_col=id_col, text_col=text_col, **options)
-    return done.select(*((F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
+    return done.select(*((F.col("text") if c == text_col else F.col("row")[f"c{k}"]).alias(c) for k, c in enumerate(docs.columns)))
 
 
 def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``id_col``, n_lines (before), n_dropped, kept_text; rules as in ``dedup_lines``, a null text becomes empty."""
     done = cut(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options)
-    return done.select(F.col("row")[id_col].alias(id_col), F.col("lines").alias("n_lines"), F.col("gone").alias("n_dropped"), F.coalesce(F.col("text"), F.lit("")).alias("kept_text"))
+    return done.select(F.col("row")["c0"].alias(id_col), F.col("lines").alias("n_lines"), F.col("gone").alias("n_dropped"), F.coalesce(F.col("text"), F.lit("")).alias("kept_text"))
