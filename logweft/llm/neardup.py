@@ -50,7 +50,7 @@ SIZE, DEPTH, AGREE, REGION = 96, 4, 56, 2048
 #: Bytes of a sort key: the order, its prefix, and all minima in half bytes.
 KEY = 1 + DEPTH + SIZE // 2
 #: Shingles of a cluster that one task holds, at least and at most, and into how many blocks it is dealt between the two (plans only, no results).
-LEAST, BLOCK, SPREAD = 50_000, 2_000_000, 64
+LEAST, BLOCK, SPREAD = 8_000, 2_000_000, 64
 #: Words a worker keeps hashed, and the longest of them (bounds of memory only).
 CACHE, LONGEST = 250_000, 64
 #: Odd multipliers and masks of the minima, drawn once from a fixed seed.
