@@ -493,12 +493,28 @@ def test_decontamination_against_all_windows(spark, block):
     items = [(i, " ".join(r.choices(pool, k=r.choice([0, 2, 4, 10, 11, 16])))) for i in range(25)] + [(99, None), (98, "")]
     docs = [(i, ", ".join(r.choices(pool, k=5)) + " " + r.choice([t for _, t in items if t]).upper() + " - " + " ".join(r.choices(pool, k=4))) for i in range(40)] + [(100, None), (101, ""), (None, items[3][1])]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {x.doc_id: (x.n_words, x.n_hit, list(x["items"])) for x in decontam.find_contamination(d, b, block_windows=block).collect()}
+    got = {x.doc_id: (x.n_words, x.n_hit, list(x["items"])) for x in decontam.find_contamination(d, b, block_words=block).collect()}
     assert got == {i: brute_hits(t, items) for i, t in docs}
-    kept = {x.doc_id for x in decontam.remove_contaminated(d, b, block_windows=block).collect()}
+    kept = {x.doc_id for x in decontam.remove_contaminated(d, b, block_words=block).collect()}
     assert kept == {i for i in got if not got[i][1]}
-    cut = decontam.remove_spans(d, b, block_windows=block).collect()
-    assert len(cut) == len(docs)
+    cut = decontam.remove_spans(d, b, block_words=block).collect()
+    assert len(cut) == len(docs) and {x.doc_id: x.text for x in cut if x.doc_id not in kept} == {i: brute_cut(t, items) for i, t in docs if i not in kept}
+
+
+def brute_cut(doc, items, width=10):
+    """The text without the stretches from the first to the last word of each run of hit words."""
+    at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), doc))]
+    w = [re.sub("[A-Z]", lambda m: m[0].lower(), doc)[a:b] for a, b in at]
+    spans = []
+    for _, t in items:
+        v = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        n = min(width, len(v))
+        spans += [(a, a + n) for k in range(len(v) - n + 1 if n else 0) for a in range(len(w) - n + 1) if w[a : a + n] == v[k : k + n]]
+    out, last = [], 0
+    for a, b in decontam.merged(spans):
+        out.append(doc[last : at[a][0]])
+        last = at[b - 1][1]
+    return "".join([*out, doc[last:]])
 
 
 # --- 8 ---
