@@ -13,12 +13,14 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import rules
-from .gaps import minute, seconds, with_previous
+from .gaps import lagged, minute, seconds, with_previous
 from .tables import pivot
 
+#: Spans in one stretch of time that is counted apart.
+STRETCH = 20
+
 
 def log_gap_rows(events: DataFrame, *, least: float = rules.GAP_SECONDS, top: int | None = 10) -> DataFrame:
     """Silences between consecutive log lines, the longest first."""
@@ -42,11 +44,12 @@ def divergence_rows(metrics: DataFrame, events: DataFrame, *, unit: str = "minut
 def correlation_rows(metrics: DataFrame, *, deltas: tuple[float, float] = (5, 2), levels: tuple[float, float] = (100, 20), top: int | None = 15) -> DataFrame:
     """Snapshots in which threads and connections rose together or are both high.
 
-    The window runs over pivoted snapshots, one row per timestamp.
+    Snapshots are pivoted, one row per timestamp, before each looks at the one
+    before it.
     """
     p = pivot(metrics, {"jvm.threadCount": "thread_count", "dbcp.ActiveConnections": "active_conns", "hibernate.sessionCount": "hibernate_sessions"}).where("thread_count is not null or active_conns is not null")
-    by_time = Window.orderBy(F.asc_nulls_last("timestamp"))
-    d = p.withColumn("thread_delta", F.col("thread_count") - F.lag("thread_count").over(by_time)).withColumn("conn_delta", F.col("active_conns") - F.lag("active_conns").over(by_time))
+    near = lagged(p, "timestamp", ["thread_count", "active_conns"])
+    d = near.select(*p.columns, (F.col("thread_count") - F.col("prev_thread_count")).alias("thread_delta"), (F.col("active_conns") - F.col("prev_active_conns")).alias("conn_delta"))
     out = d.where(((F.col("thread_delta") > deltas[0]) & (F.col("conn_delta") > deltas[1])) | ((F.col("thread_count") > levels[0]) & (F.col("active_conns") > levels[1])))
     return out if top is None else out.orderBy(F.asc_nulls_last("timestamp")).limit(top)
 
@@ -63,11 +66,25 @@ def result_count_rows(events: DataFrame, *, top: int = 5) -> DataFrame:
     return events.where("has_count_rows").orderBy(F.desc_nulls_last("result_count"), F.asc_nulls_last("timestamp")).limit(top).select("timestamp", "raw_line", "result_count")
 
 
-def burst_rows(events: DataFrame, *, span: str = "30 SECONDS", least: int = 5, top: int | None = 10, authz_only: bool = True) -> DataFrame:
-    """Lines of one method signature within ``span`` before each, itself included."""
-    src = events.where("method_sig is not null and timestamp is not null" + (" and has_entry_authz" if authz_only else ""))
-    burst = F.expr(f"count(*) over (partition by method_sig order by timestamp range between interval {span} preceding and current row)")
-    out = src.select("timestamp", F.col("method_sig").alias("signature"), burst.alias("burst")).where(F.col("burst") > least)
+def burst_counts(rows: DataFrame, key: str, span: int, out: str, at: str = "timestamp") -> DataFrame:
+    """``rows`` (``at`` not null) with how many rows of their key lie within ``span`` seconds before each, itself included.
+
+    A key's time is cut into stretches of ``STRETCH`` spans, which are counted
+    apart, so one very frequent key does not meet in one task; a row near a
+    stretch's end is lent to the next one.
+    """
+    width = span * STRETCH * 1_000_000
+    micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {at})")
+    own, upto = F.floor(micros / width), F.floor((micros + span * 1_000_000) / width)
+    dealt = rows.withColumn("_own", own).withColumn("_stretch", F.explode(F.sequence("_own", upto)))
+    count = F.expr(f"count(*) over (partition by {key}, _stretch order by {at} range between interval {span} seconds preceding and current row)")
+    return dealt.withColumn(out, count).where("_stretch = _own").drop("_stretch", "_own")
+
+
+def burst_rows(events: DataFrame, *, span: int = 30, least: int = 5, top: int | None = 10, authz_only: bool = True) -> DataFrame:
+    """Lines of one method signature within ``span`` seconds before each, itself included."""
+    src = events.where("method_sig is not null and timestamp is not null" + (" and has_entry_authz" if authz_only else "")).select("timestamp", F.col("method_sig").alias("signature"))
+    out = burst_counts(src, "signature", span, "burst").where(F.col("burst") > least)
     return out if top is None else out.orderBy(F.desc("burst"), "timestamp", "signature").limit(top)
 
 

@@ -7,23 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def with_previous(rows: DataFrame, at: str, out: str = "prev_ts", partitions: int | None = None) -> DataFrame:
-    """``rows`` (``at`` not null) with the next smaller value of ``at``, as LAG over a global order gives it.
+def lagged(rows: DataFrame, at: str, carry: list[str], partitions: int | None = None) -> DataFrame:
+    """``rows`` with prev_<c> of the carried columns, as LAG over a global order of ``at`` (nulls last) gives them.
 
     Values are cut into ranges at approximate quantiles (exactness is not
     needed of them); LAG runs inside each range, and the first row of a range
-    takes the greatest value of the ranges before, a table with one row for
-    each range.
+    takes the last of the ranges before, from a table with one row for each
+    range.  Where ``at`` repeats, rows carry what is equal among them.
     """
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.select(F.percentile_approx(at, [i / n for i in range(1, n)], 1_000)).first()[0] if n > 1 else []
     ranged = rows.withColumn("_range", range_of(F.col(at), [F.expr(f"timestamp_ntz'{c}'") for c in sorted(set(cuts or []))]))
-    inside = Window.partitionBy("_range").orderBy(at)
-    led = ranged.withColumn("_prev", F.lag(at).over(inside))
-    tops = ranged.groupBy("_range").agg(F.max(at).alias("_top"))
-    edge = tops.select(F.col("_range").alias("_of"), F.lag("_top").over(Window.orderBy("_range")).alias("_edge"))  # one row for each range
+    held, inside = F.struct(*carry), Window.partitionBy("_range").orderBy(F.asc_nulls_last(at))
+    led = ranged.withColumns({"_prev": F.lag(held).over(inside), "_first": F.row_number().over(inside) == 1})
+    last = ranged.groupBy("_range").agg(F.max_by(held, at).alias("_last"))
+    edge = last.select(F.col("_range").alias("_of"), F.lag("_last").over(Window.orderBy("_range")).alias("_edge"))  # one row for each range
     joined = led.join(F.broadcast(edge), F.col("_range") == F.col("_of"))
-    return joined.withColumn(out, F.coalesce("_prev", "_edge")).drop("_range", "_prev", "_edge", "_of")
+    before = F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_prev"))
+    return joined.select(*rows.columns, *(before[c].alias(f"prev_{c}") for c in carry))
+
+
+def with_previous(rows: DataFrame, at: str, out: str = "prev_ts", partitions: int | None = None) -> DataFrame:
+    """``rows`` (``at`` not null) with the value of ``at`` in the row before."""
+    return lagged(rows, at, [at], partitions).withColumnRenamed(f"prev_{at}", out)
 
 
 def range_of(value: Column, cuts: list[Column], first: int = 0) -> Column:

@@ -1,12 +1,15 @@
 """Every operator as a query over the driver's tables, each with its DuckDB equivalent.
 
-The tables hold no server logs, so ``events`` is written out as log lines
-(``log_lines``) and read back through the parser; the SQL side builds the same
+The tables hold no server logs, so ``events`` gives the lines of one
+(``log_lines``), which go through the parser; the SQL side builds the same
 lines.  Events are minutes apart, so spans of seconds become minutes or hours.
+``catalog_files`` has the queries over files that are written and read.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +19,7 @@ from ..functions import extract, rules
 from ..functions.parse import in_window, parse_lines, session_label
 from ..functions.schema import LogSchema
 from ..functions.signals import RetrievalSignals
-from ..operators import classify, coverage, detect, evidence, followup, profile, references, spans, tables
+from ..operators import coverage, detect, evidence, followup, profile, references, spans, tables
 from ..operators.gaps import minute
 from ..sources import files
 from . import sql as adhoc
@@ -78,12 +81,35 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
     return parse_lines(log_lines(spark, sf), SCHEMA)
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder that all executors see; a temporary one only where Spark runs in this one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="logweft-")
+    return f"{base.rstrip('/')}/logs-{uuid.uuid4().hex[:12]}"
+
+
+_LOADED: dict[tuple[str, str], str] = {}
+
+
+def loaded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The two log tables, parsed and written once for a session and its tables, as any analysis does before it asks."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LOADED:
+        rows, at = parsed(spark, sf), folder(spark)
+        tables.save(tables.log_events(rows, ["line_no"]), tables.server_metrics(rows), at)
+        _LOADED[key] = at
+    return tables.load(spark, _LOADED[key])
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.log_events(parsed(spark, sf), ["line_no"])
+    return loaded(spark, sf)[0]
 
 
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.server_metrics(parsed(spark, sf))
+    return loaded(spark, sf)[1]
 
 
 def six(c: str) -> F.Column:
@@ -99,17 +125,17 @@ def parse_log_lines(spark, sf):
 
 @query(f"WITH {L} SELECT line_no, {', '.join(rules.FLAGS)} FROM log")
 def flag_columns(spark, sf):
-    return events(spark, sf).select("line_no", *rules.FLAGS)
+    return tables.log_events(parsed(spark, sf), ["line_no"]).select("line_no", *rules.FLAGS)
 
 
 @query(f"WITH {L} SELECT line_no, method_sig, coalesce(latency_ms, -1) AS latency_ms, coalesce(result_count, -1) AS result_count, scheduled_op_name FROM log")
 def extracted_values(spark, sf):
-    return events(spark, sf).select("line_no", "method_sig", *(F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("latency_ms", "result_count")), "scheduled_op_name")
+    return tables.log_events(parsed(spark, sf), ["line_no"]).select("line_no", "method_sig", *(F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("latency_ms", "result_count")), "scheduled_op_name")
 
 
 @query(f"WITH {L} SELECT timestamp, thread, metric_name, metric_value, CASE WHEN lower(metric_name) LIKE 'am.tomcat.%' THEN 'Tomcat' WHEN lower(metric_name) LIKE 'hibernate.%' THEN 'Hibernate' WHEN lower(metric_name) LIKE 'dbcp.%' THEN 'DBCP' WHEN contains(lower(metric_name), 'deliverymanager') THEN 'deliveryManager' WHEN lower(metric_name) LIKE 'eventmanager.%' THEN 'eventManager' ELSE 'System Information' END AS category FROM met")
 def metric_rows(spark, sf):
-    return metrics(spark, sf).select("timestamp", "thread", "metric_name", "metric_value", "category")
+    return tables.server_metrics(parsed(spark, sf)).select("timestamp", "thread", "metric_name", "metric_value", "category")
 
 
 SIG = r"""sig AS (SELECT *, CASE WHEN NOT regexp_matches(raw_line, '(?i)\b(count|rows?|returned|lapse|rolevalidator|checkcredentialrole|getrelationsbyobj|getcredential|ucmrepository|eviction|cache|findbyfilter|ldap|jdbc|sql)') THEN NULL
@@ -153,10 +179,10 @@ def error_lines(spark, sf):
     return parsed(spark, sf).select("line_no", extract.is_error(c, SIGNALS).alias("is_error"), extract.anomaly_score(c, SIGNALS).alias("anomaly_score"))
 
 
-@query(f"WITH {L} SELECT line_no, replace(replace(replace(raw, '=', ' = '), '&', '+'), '+', ' ') AS decoded FROM l WHERE event_type = 'view'")
+@query(f"WITH {L} SELECT line_no, replace(replace(replace(raw, '=', ' = '), '&', '+'), '+', ' ') AS decoded FROM l")
 def url_decode(spark, sf):
     text = F.replace(F.replace(F.col("clean"), F.lit("="), F.lit("%20%3D+")), F.lit("&"), F.lit("%2B"))
-    return parsed(spark, sf).where(F.contains("clean", F.lit("View.java"))).select("line_no", extract.decode_urls(text).alias("decoded"))
+    return parsed(spark, sf).select("line_no", extract.decode_urls(text).alias("decoded"))
 
 
 @query(f"WITH {L} SELECT line_no, ts FROM l WHERE ts IS NULL OR (ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-06 23:59:59.999999')")
@@ -221,7 +247,7 @@ def top_counts(spark, sf):
 
 @query(f"WITH {L}, b AS (SELECT timestamp, method_sig AS signature, count(*) OVER (PARTITION BY method_sig ORDER BY timestamp RANGE BETWEEN INTERVAL 60 MINUTE PRECEDING AND CURRENT ROW) AS burst FROM log WHERE has_entry_authz AND method_sig IS NOT NULL) SELECT * FROM b WHERE burst > 2")
 def method_bursts(spark, sf):
-    return detect.burst_rows(events(spark, sf), span="60 MINUTES", least=2, top=None)
+    return detect.burst_rows(events(spark, sf), span=3_600, least=2, top=None)
 
 
 @query(f"WITH {L} SELECT timestamp, thread_count, busy_threads, response_time FROM piv WHERE thread_count > 80 AND (busy_threads IS NULL OR busy_threads < thread_count * 0.3) AND (response_time IS NULL OR response_time > 500)")
@@ -272,13 +298,6 @@ def coverage_bounds(spark, sf):
     return one(events(spark, sf), "log").unionByName(one(metrics(spark, sf), "metrics"))
 
 
-@query(f"WITH {L}, s AS (SELECT CASE event_type WHEN 'view' THEN 'log_gap' WHEN 'click' THEN 'high_volume_indicator' WHEN 'error' THEN 'runtime_stall_indicator' WHEN 'purchase' THEN 'metric_correlation' ELSE 'endpoint_breadth' END AS f, count(*) / 20000.0 AS strength FROM l GROUP BY 1), w(f, archetype, weight) AS (VALUES {', '.join(f"('{f}', '{a}', {w})" for f, ws in rules.FAMILY_WEIGHTS.items() for a, w in ws.items())}) SELECT archetype, round(CAST(least(1.0, sum(strength * weight)) AS DOUBLE), 6) AS score FROM s JOIN w USING (f) GROUP BY 1")
-def archetype_scores(spark, sf):
-    family = F.expr("CASE event_type WHEN 'view' THEN 'log_gap' WHEN 'click' THEN 'high_volume_indicator' WHEN 'error' THEN 'runtime_stall_indicator' WHEN 'purchase' THEN 'metric_correlation' ELSE 'endpoint_breadth' END")
-    strength = table(spark, sf, "events").groupBy(family.alias("signal_family")).agg((F.count("*") / 20000.0).alias("strength"))
-    return classify.base_scores(strength, classify.weight_table(spark)).select("archetype", six("score"))
-
-
 # --- profile ---
 
 @query(f"WITH {L}, x AS (SELECT line_no, ts, thread, unnest(regexp_extract_all(raw, '\\b([A-Za-z_][A-Za-z0-9_.$]*(?:Exception|Error))\\b', 1)) AS exception FROM l), p AS (SELECT exception, thread, min(line_no) AS f FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY exception ORDER BY f, thread) AS k FROM p), t AS (SELECT exception, string_agg(thread, ',' ORDER BY thread) AS affected_threads FROM r WHERE k <= 10 GROUP BY 1), b AS (SELECT exception, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM x GROUP BY 1) SELECT exception, n, first_seen, last_seen, affected_threads FROM b JOIN t USING (exception)")
@@ -344,10 +363,10 @@ def first_seen_dedup(spark, sf):
     return evidence.first_seen(rows, "key", "doc_id").select("doc_id")
 
 
-@query("WITH r AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents) SELECT doc_id, lang, n_chars FROM r WHERE k <= CASE lang WHEN 'en' THEN 8 WHEN 'de' THEN 3 WHEN 'fr' THEN 2 ELSE 12 END ORDER BY n_chars DESC, doc_id LIMIT 12")
+@query("WITH r AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents) SELECT doc_id, lang, n_chars FROM r WHERE k <= CASE lang WHEN 'en' THEN 8 WHEN 'de' THEN 3 WHEN 'fr' THEN 4 ELSE 2 END ORDER BY n_chars DESC, doc_id LIMIT 12")
 def source_caps(spark, sf):
     rows = documents(spark, sf).select(F.col("doc_id").alias("item_id"), F.col("lang").alias("source"), "n_chars")
-    return followup.source_caps(rows, "n_chars", caps={"en": 8, "de": 3, "fr": 2}).select(F.col("item_id").alias("doc_id"), F.col("source").alias("lang"), "n_chars")
+    return followup.source_caps(rows, "n_chars", caps={"en": 8, "de": 3, "fr": 4}).select(F.col("item_id").alias("doc_id"), F.col("source").alias("lang"), "n_chars")
 
 
 @query("WITH t AS (SELECT source, max(doc_id) AS total FROM documents GROUP BY 1), b AS (SELECT source, total, unnest(range(0, 4)) AS bucket FROM t), r AS (SELECT source, bucket, bucket * total // 4 + 1 AS first_line, (bucket + 1) * total // 4 AS last_line FROM b), s AS (SELECT source, doc_id AS line FROM documents WHERE n_chars % 5 = 0) SELECT r.source AS source_file, CAST(bucket AS BIGINT) AS bucket, CAST(first_line AS BIGINT) AS first_line, CAST(last_line AS BIGINT) AS last_line, count(line) AS selected FROM r LEFT JOIN s ON r.source = s.source AND line BETWEEN first_line AND last_line GROUP BY ALL")
@@ -378,16 +397,9 @@ def metadata_summary(spark, sf):
     return coverage.summary(rows)
 
 
-@query("SELECT doc_id, n_hits, round(least(1.0, 0.45 + 0.2 * n_hits), 6) AS relevance, round(least(1.0, 0.45 + 0.2 * n_hits) * CASE lang WHEN 'en' THEN 1.0 ELSE 0.5 END + CASE WHEN n_chars / 1000.0 >= 2.5 THEN 0.08 ELSE 0 END, 6) AS fused FROM (SELECT *, CAST(len(regexp_extract_all(lower(text), 'password')) + len(regexp_extract_all(lower(text), 'token')) AS BIGINT) AS n_hits FROM documents) WHERE n_hits > 0")
-def followup_candidates(spark, sf):
-    rows = documents(spark, sf).select(F.col("doc_id").alias("item_id"), F.when(F.col("lang") == "en", "api_ref").otherwise("other").alias("source"), F.col("source").alias("source_file"), F.col("text").alias("content"), (F.col("n_chars") / 1000).alias("anomaly_score"))
-    got = followup.fused(followup.candidates(rows, ["password", "token"]), [])
-    return got.select(F.col("item_id").alias("doc_id"), F.col("n_hits").cast("long").alias("n_hits"), six("relevance"), six("fused"))
-
-
 @query(f"WITH {L} SELECT thread, count(*) FILTER (WHERE has_count_rows) AS n_counts, max(latency_ms) AS worst FROM log GROUP BY 1")
 def adhoc_sql(spark, sf):
-    tables.register(tables.log_events(parsed(spark, sf)), metrics(spark, sf))
+    loaded(spark, sf)
     text = "-- latency by thread\nSELECT le.thread, COUNT(*) FILTER (WHERE has_count_rows = TRUE) AS n_counts, MAX(latency_ms) AS worst FROM log_events le GROUP BY le.thread"
     return adhoc.run(spark, text)
 
@@ -402,10 +414,7 @@ def as_of_join(spark, sf):
 
 # --- benchmark pairs: scans of raw text against columns worked out once ---
 
-def saved_events(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf)
-
-
+#: The benchmark's own patterns of a method signature and of an operation.
 SIG_RE, OP_RE = r"([A-Za-z0-9_\.]+(?:\.java)?:\d+)", r"([A-Za-z0-9_]+(?:TO|Job|Index|Task)[A-Za-z0-9_]*)"
 
 
@@ -421,7 +430,7 @@ def legacy_top_extreme_latencies(spark, sf):
 
 @query(f"WITH {L} SELECT line_no, latency_ms FROM log WHERE has_latency ORDER BY latency_ms DESC NULLS LAST, line_no LIMIT 50")
 def flag_top_extreme_latencies(spark, sf):
-    return saved_events(spark, sf).where("has_latency").select("line_no", "latency_ms").orderBy(F.desc_nulls_last("latency_ms"), "line_no").limit(50)
+    return events(spark, sf).where("has_latency").select("line_no", "latency_ms").orderBy(F.desc_nulls_last("latency_ms"), "line_no").limit(50)
 
 
 @query(f"WITH {L} SELECT line_no, TRY_CAST(regexp_extract(raw, '(\\d{{3,}})', 1) AS BIGINT) AS result_count FROM l WHERE raw LIKE '%Count%' OR raw LIKE '%rows%' OR raw LIKE '%returned%' ORDER BY result_count DESC NULLS LAST, line_no LIMIT 50")
@@ -432,20 +441,19 @@ def legacy_top_result_counts(spark, sf):
 
 @query(f"WITH {L} SELECT line_no, result_count FROM log WHERE has_count_rows ORDER BY result_count DESC NULLS LAST, line_no LIMIT 50")
 def flag_top_result_counts(spark, sf):
-    return saved_events(spark, sf).where("has_count_rows").select("line_no", "result_count").orderBy(F.desc_nulls_last("result_count"), "line_no").limit(50)
+    return events(spark, sf).where("has_count_rows").select("line_no", "result_count").orderBy(F.desc_nulls_last("result_count"), "line_no").limit(50)
 
 
 @query(f"WITH {L} SELECT line_no, regexp_extract(raw, '{SIG_RE}', 1) AS method_sig, count(*) OVER (PARTITION BY regexp_extract(raw, '{SIG_RE}', 1) ORDER BY ts RANGE BETWEEN INTERVAL 60 MINUTE PRECEDING AND CURRENT ROW) AS burst_count FROM l WHERE raw LIKE '% - entry%' OR raw LIKE '%RoleValidator%' ORDER BY burst_count DESC, line_no LIMIT 50")
 def legacy_entry_authz_bursts(spark, sf):
     rows = legacy(spark, sf).where("contains(raw_line, ' - entry') or contains(raw_line, 'RoleValidator')").withColumn("method_sig", F.regexp_extract("raw_line", SIG_RE, 1))
-    burst = F.expr("count(*) over (partition by method_sig order by timestamp range between interval 60 minutes preceding and current row)")
-    return rows.select("line_no", "method_sig", burst.alias("burst_count")).orderBy(F.desc("burst_count"), "line_no").limit(50)
+    return detect.burst_counts(rows.select("line_no", "method_sig", "timestamp"), "method_sig", 3_600, "burst_count").drop("timestamp").orderBy(F.desc("burst_count"), "line_no").limit(50)
 
 
 @query(f"WITH {L} SELECT line_no, method_sig, count(*) OVER (PARTITION BY method_sig ORDER BY timestamp RANGE BETWEEN INTERVAL 60 MINUTE PRECEDING AND CURRENT ROW) AS burst_count FROM log WHERE has_entry_authz AND method_sig IS NOT NULL ORDER BY burst_count DESC, line_no LIMIT 50")
 def flag_entry_authz_bursts(spark, sf):
-    burst = F.expr("count(*) over (partition by method_sig order by timestamp range between interval 60 minutes preceding and current row)")
-    return saved_events(spark, sf).where("has_entry_authz and method_sig is not null").select("line_no", "method_sig", burst.alias("burst_count")).orderBy(F.desc("burst_count"), "line_no").limit(50)
+    rows = events(spark, sf).where("has_entry_authz and method_sig is not null").select("line_no", "method_sig", "timestamp")
+    return detect.burst_counts(rows, "method_sig", 3_600, "burst_count").drop("timestamp").orderBy(F.desc("burst_count"), "line_no").limit(50)
 
 
 @query(f"WITH {L} SELECT line_no, raw AS raw_line FROM l WHERE raw ILIKE '%jdbc%' OR raw ILIKE '%ldap%' OR raw ILIKE '%hibernate%' OR raw ILIKE '%connection%wait%' OR raw ILIKE '%staleobject%' ORDER BY line_no LIMIT 200")
@@ -455,7 +463,7 @@ def legacy_backend_dependency_signals(spark, sf):
 
 @query(f"WITH {L} SELECT line_no, raw_line FROM log WHERE has_jdbc OR has_ldap OR has_hibernate OR has_connection_wait OR has_staleobject ORDER BY line_no LIMIT 200")
 def flag_backend_dependency_signals(spark, sf):
-    return saved_events(spark, sf).where("has_jdbc or has_ldap or has_hibernate or has_connection_wait or has_staleobject").select("line_no", "raw_line").orderBy("line_no").limit(200)
+    return events(spark, sf).where("has_jdbc or has_ldap or has_hibernate or has_connection_wait or has_staleobject").select("line_no", "raw_line").orderBy("line_no").limit(200)
 
 
 @query(f"WITH {L} SELECT count(DISTINCT regexp_extract(raw, '{SIG_RE}', 1)) AS endpoint_count FROM l WHERE ts > (SELECT max(ts) - INTERVAL '1 hour' FROM l)")
@@ -467,7 +475,7 @@ def legacy_endpoint_breadth_late(spark, sf):
 
 @query(f"WITH {L} SELECT count(DISTINCT method_sig) AS endpoint_count FROM log WHERE timestamp > (SELECT max(timestamp) - INTERVAL '1 hour' FROM log)")
 def flag_endpoint_breadth_late(spark, sf):
-    rows = saved_events(spark, sf).select("timestamp", "method_sig")
+    rows = events(spark, sf).select("timestamp", "method_sig")
     return rows.crossJoin(F.broadcast(rows.agg(F.max("timestamp").alias("last")))).where("timestamp > last - interval 1 hour").agg(F.countDistinct("method_sig").alias("endpoint_count"))  # one row
 
 
@@ -478,4 +486,4 @@ def legacy_recurring_scheduled_ops(spark, sf):
 
 @query(f"WITH {L} SELECT scheduled_op_name AS op_name, count(*) AS op_count FROM log WHERE has_scheduled AND scheduled_op_name IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
 def flag_recurring_scheduled_ops(spark, sf):
-    return saved_events(spark, sf).where("has_scheduled and scheduled_op_name is not null").groupBy(F.col("scheduled_op_name").alias("op_name")).agg(F.count("*").alias("op_count")).orderBy(F.desc("op_count"), "op_name").limit(50)
+    return events(spark, sf).where("has_scheduled and scheduled_op_name is not null").groupBy(F.col("scheduled_op_name").alias("op_name")).agg(F.count("*").alias("op_count")).orderBy(F.desc("op_count"), "op_name").limit(50)

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from ..functions import rules
 
+#: File splits whose starts are broadcast (some 300 bytes each).
+SPLITS = 200_000
 LINES = "source_path string, source_file string, line_no bigint, raw string"
 
 
@@ -34,7 +36,8 @@ def read_lines(spark: SparkSession, paths: str | list[str], *, recursive: bool =
     Files are split and read in parallel (``\n``, ``\r`` and ``\r\n`` end lines,
     bad bytes become U+FFFD).  Ordinals need no pass over one whole file in one
     task: lines are counted per split, splits are added up, and a line's number
-    is its place in its split plus what comes before.
+    is its place in its split plus what comes before.  That is a row for each
+    split, broadcast while there are under ``SPLITS`` of them.
     """
     text = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(paths).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
     if recursive:
@@ -43,7 +46,8 @@ def read_lines(spark: SparkSession, paths: str | list[str], *, recursive: bool =
     sizes = text.groupBy("source_path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("source_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("source_path", "_block", "_first", before.alias("_before"))
-    joined = text.join(F.broadcast(starts), ["source_path", "_block"])  # a row for each file split
+    few = text.rdd.getNumPartitions() + len(text.inputFiles()) <= SPLITS
+    joined = text.join(F.broadcast(starts) if few else starts, ["source_path", "_block"])
     return joined.select("source_path", "source_file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "raw")
 
 

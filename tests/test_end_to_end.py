@@ -10,7 +10,7 @@ import __spark_entry__
 from logweft.functions.dates import query_context
 from logweft.functions.schema import detect
 from logweft.operators import tables
-from logweft.plans import catalog, sql, workflow
+from logweft.plans import catalog, catalog_files, sql, workflow  # noqa: F401  importing registers the queries over files
 from logweft.sources import files, prompts
 from logweft.streaming import monitor
 
