@@ -336,14 +336,19 @@ def decided(tasks: DataFrame) -> DataFrame:
 
 
 def typical(big: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cluster, leader): the document nearest to the commonest byte in each position of its cluster's signatures."""
+    """(cluster, leader): the document nearest to the commonest byte in each position of its cluster's signatures.
+
+    Members meet the commonest bytes by cluster and block, so that a cluster
+    is never whole in one task; only each task's best goes on.
+    """
     sig = big.join(classes.groupBy(F.col("rep").alias("_id")).agg(F.max("sig").alias("sig")), "_id")
     bytes_ = F.transform(F.sequence(F.lit(1), F.lit(SIZE)), lambda i: F.hex(F.substring(F.col("sig"), i, F.lit(1))))
-    rows = sig.select("cluster", "_id", bytes_.alias("bytes"))
-    common = rows.select("cluster", F.posexplode("bytes").alias("at", "byte")).groupBy("cluster", "at", "byte").count().groupBy("cluster", "at").agg(F.max_by("byte", F.struct("count", "byte")).alias("byte"))
-    mode = common.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "byte"))), lambda x: x["byte"]).alias("mode"))
+    rows = sig.select("cluster", "block", "blocks", "_id", bytes_.alias("bytes"))
+    common = rows.select("cluster", "blocks", F.posexplode("bytes").alias("at", "byte")).groupBy("cluster", "blocks", "at", "byte").count().groupBy("cluster", "blocks", "at").agg(F.max_by("byte", F.struct("count", "byte")).alias("byte"))
+    mode = common.groupBy("cluster", "blocks").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "byte"))), lambda x: x["byte"]).alias("mode"))
+    dealt = mode.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "mode")
     same = F.size(F.filter(F.zip_with("bytes", "mode", lambda x, y: x == y), lambda x: x))
-    return rows.join(mode, "cluster").groupBy("cluster").agg(F.max_by("_id", F.struct(same, -F.col("_id"))).alias("leader"))
+    return rows.join(dealt, ["cluster", "block"]).groupBy("cluster").agg(F.max_by("_id", F.struct(same, -F.col("_id"))).alias("leader"))
 
 
 def confirmed_links(docs: DataFrame, placed: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
