@@ -25,10 +25,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, saved, work_dir
+from .common import BLANKS, ascii_lower, let, saved, work_dir
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 7, 3
 RUN = "key binary, n long, last long"
+#: So many keys of one text are looked through one by one.
+FEW = 64
 
 
 class LineRuns:
@@ -136,6 +138,19 @@ def dropped(pairs: DataFrame, often: DataFrame, total: int) -> DataFrame:
     return reduce(DataFrame.unionByName, lost).groupBy("id").agg(F.collect_set(F.lower(F.hex("key"))).alias("keys"))
 
 
+def without(lines: Column, keys: Column) -> Column:
+    """``lines`` (line, key) whose key is null or not among ``keys``.
+
+    Many keys are dealt by their first two digits, so that a long text of
+    repeated lines takes a 256th of the comparisons.
+    """
+    few = F.filter(lines, lambda z: z["key"].isNull() | ~F.array_contains(keys, z["key"]))
+    head = lambda k: F.conv(F.substring(k, 1, 2), 16, 10).cast("int")
+    dealt = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda d: F.filter(keys, lambda k: head(k) == d))
+    many = let(dealt, lambda b: F.filter(lines, lambda z: z["key"].isNull() | ~F.array_contains(F.get(b, head(z["key"])), z["key"])))
+    return F.when(F.size(keys) <= FEW, few).otherwise(many)
+
+
 def cut(docs: DataFrame, *, id_col: str, text_col: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """(row, text, lines, gone): each row of ``docs`` as a struct without its text, the text that stays, and how many lines it had and lost."""
     pairs, often, total = repeated_keys(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs, batches=batches, fanout=fanout)
@@ -144,7 +159,7 @@ def cut(docs: DataFrame, *, id_col: str, text_col: str, min_chars: int = MIN_CHA
     joined = held.join(lost, F.col("id") == F.col("lost_id"), "left")
     lines = split_lines(F.col("text"))
     both = F.arrays_zip(lines.alias("line"), keys_of(lines, min_chars).alias("key"))
-    kept = F.transform(F.filter(both, lambda z: z["key"].isNull() | ~F.array_contains(F.col("keys"), z["key"])), lambda z: z["line"])
+    kept = F.transform(without(both, F.col("keys")), lambda z: z["line"])
     done = joined.select("row", "text", F.when(F.col("keys").isNotNull(), kept).alias("kept"), F.size(lines).cast("long").alias("lines"))
     gone = F.coalesce(F.when(F.col("kept").isNotNull(), F.col("lines") - F.size("kept")), F.lit(0)).cast("long")
     return done.select("row", F.coalesce(F.array_join("kept", "\n"), F.col("text")).alias("text"), "lines", gone.alias("gone"))

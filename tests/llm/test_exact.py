@@ -255,6 +255,13 @@ def test_line_dedup_against_counts(spark, batches, fanout):
     assert sorted(got, key=str) == sorted(brute_lines(rows), key=str)
 
 
+def test_line_dedup_with_many_repeated_lines(spark):
+    lines = [f"line number {k} of a long text of lines that all repeat" for k in range(3_000)]
+    rows = [(i, "\n".join(lines if i % 2 else lines[::-1])) for i in range(5)] + [(9, "\n".join(lines[:100] + ["alone, a line that stands in this text and in no other one"]))]
+    got = rows_of(linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted(got) == sorted(brute_lines(rows))
+
+
 def batch_of(spark, keys):
     return spark.createDataFrame([(bytes([k]), 1, k) for k in keys], linededup.RUN)
 
