@@ -36,12 +36,20 @@ def budget_prefix(rows: DataFrame, order: str, size: str, cap: int) -> DataFrame
     return rows.withColumn("used", F.sum(F.col(size).cast("bigint")).over(run)).where(F.col("used") <= cap)
 
 
+RANKED_BY = ["signal_candidate", "iam_critical", "has_error_signal", "anomaly_score"]
+
+
 def ranked(docs: DataFrame, top: int, radius: int, most: int) -> DataFrame:
-    """At most ``most`` documents, seeds and neighbours, with their rank from 0."""
-    near = neighbours(seeds(docs, top), ["source_file", "primary_key"], "row_id", "is_seed", radius).where("near")
-    best = near.orderBy(F.desc("is_seed"), F.desc("signal_candidate"), F.desc("iam_critical"), F.desc("has_error_signal"), F.desc("anomaly_score"), "row_id").limit(most)
-    order = Window.orderBy(F.desc("is_seed"), F.desc("signal_candidate"), F.desc("iam_critical"), F.desc("has_error_signal"), F.desc("anomaly_score"), "row_id")  # over ``most`` rows
-    return best.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint"))
+    """At most ``most`` documents, seeds and neighbours, with is_seed and their rank from 0.
+
+    Seeds and neighbours are found on keys and scores alone; contents are
+    looked up for the few that are chosen.
+    """
+    slim = docs.select("row_id", "source_file", "primary_key", *RANKED_BY)
+    order = [F.desc("is_seed"), *map(F.desc, RANKED_BY), F.asc("row_id")]
+    near = neighbours(seeds(slim, top), ["source_file", "primary_key"], "row_id", "is_seed", radius).where("near").orderBy(*order).limit(most)
+    best = near.select("row_id", "is_seed", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint").alias("rank"))  # ``most`` rows
+    return docs.join(F.broadcast(best), "row_id")
 
 
 @dataclass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,9 +17,7 @@ def lagged(rows: DataFrame, at: str, carry: list[str], partitions: int | None =
     takes the last of the ranges before, from a table with one row for each
     range.  Where ``at`` repeats, rows carry what is equal among them.
     """
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.select(F.percentile_approx(at, [i / n for i in range(1, n)], 1_000)).first()[0] if n > 1 else []
-    ranged = rows.withColumn("_range", range_of(F.col(at), [F.expr(f"timestamp_ntz'{c}'") for c in sorted(set(cuts or []))]))
+    ranged = rows.withColumn("_range", place(rows, at, partitions))
     held, inside = F.struct(*carry), Window.partitionBy("_range").orderBy(F.asc_nulls_last(at))
     led = ranged.withColumns({"_prev": F.lag(held).over(inside), "_first": F.row_number().over(inside) == 1})
     last = ranged.groupBy("_range").agg(F.max_by(held, at).alias("_last"))
@@ -27,6 +27,13 @@ def lagged(rows: DataFrame, at: str, carry: list[str], partitions: int | None =
     return joined.select(*rows.columns, *(before[c].alias(f"prev_{c}") for c in carry))
 
 
+def place(rows: DataFrame, at: str, partitions: int | None = None) -> Column:
+    """Which of ``partitions`` ranges of about as many rows each a row's ``at`` (a time or a number) is in; nulls are in the last."""
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.select(F.percentile_approx(at, [i / n for i in range(1, n)], 1_000)).first()[0] if n > 1 else []
+    return range_of(F.col(at), [F.expr(f"timestamp_ntz'{c}'") if isinstance(c, datetime) else F.lit(c) for c in sorted(set(cuts or []))])
+
+
 def with_previous(rows: DataFrame, at: str, out: str = "prev_ts", partitions: int | None = None) -> DataFrame:
     """``rows`` (``at`` not null) with the value of ``at`` in the row before."""
     return lagged(rows, at, [at], partitions).withColumnRenamed(f"prev_{at}", out)

@@ -424,3 +424,29 @@ def selected_bounds(spark, sf):
     rows = documents(spark, sf).select("doc_id", F.when(i % 3 == 0, F.concat((i + 7).cast("string"), F.lit(", "), i.cast("string"))).otherwise("").alias("error_line_ranges"), F.when(i % 3 < 2, "4-6, 12").otherwise("").alias("line_ranges"), F.lit(9).alias("start_line"), F.lit(11).alias("end_line"))
     first, last = coverage.row_bounds()
     return rows.select("doc_id", first.cast("long").alias("first_line"), last.cast("long").alias("last_line"))
+
+
+# --- entities of every kind, diagnostic text ---
+
+ENTITY_LINE = """CASE event_id % 8 WHEN 0 THEN 'set a= ' || (event_id % 50) WHEN 1 THEN 'see conf/app' || (event_id % 9) || '.yml' WHEN 2 THEN 'path: /etc/x' || (event_id % 7) || '.cfg'
+WHEN 3 THEN 'id 3F2504e0-4f89-41d3-9a0c-0305e82c33' || lpad(CAST(event_id % 60 AS VARCHAR(2)), 2, '0') WHEN 4 THEN 'failed ERR-' || (1000 + event_id % 20) WHEN 5 THEN 'got http  ' || (400 + event_id % 10) || ' twice'
+WHEN 6 THEN 'tok ' || repeat('Q', 30) || chr(65 + CAST(event_id % 20 AS INTEGER)) || ' end' ELSE 'txId: ' || (event_id % 40) END"""
+
+
+@query("""WITH n AS (SELECT event_id AS line_no, event_id % 8 AS k, event_id AS i FROM events), m AS (
+SELECT line_no, 0 AS kind, 'property' AS type, 'a=' || (i % 50) AS value FROM n WHERE k = 0 UNION ALL SELECT line_no, 1, 'file_path', 'conf/app' || (i % 9) || '.yml' FROM n WHERE k = 1
+UNION ALL SELECT line_no, 1, 'file_path', 'etc/x' || (i % 7) || '.cfg' FROM n WHERE k = 2 UNION ALL SELECT line_no, 2, 'file_path', '/etc/x' || (i % 7) || '.cfg' FROM n WHERE k = 2
+UNION ALL SELECT line_no, 3, 'uuid', '3F2504e0-4f89-41d3-9a0c-0305e82c33' || lpad(CAST(i % 60 AS VARCHAR), 2, '0') FROM n WHERE k = 3 UNION ALL SELECT line_no, 4, 'error_code', 'ERR-' || (1000 + i % 20) FROM n WHERE k = 4
+UNION ALL SELECT line_no, 5, 'http_status', 'HTTP ' || (400 + i % 10) FROM n WHERE k = 5 UNION ALL SELECT line_no, 6, 'token_id', repeat('Q', 30) || chr(CAST(65 + i % 20 AS INTEGER)) FROM n WHERE k = 6
+UNION ALL SELECT line_no, 7, 'session_id', 'txId=' || (i % 40) FROM n WHERE k = 7),
+f AS (SELECT *, row_number() OVER (PARTITION BY lower(value) ORDER BY line_no, kind) AS r FROM m) SELECT type, value, line_no FROM f WHERE r = 1 ORDER BY line_no, kind LIMIT 200""")
+def entities_of_every_kind(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("line_no"), F.expr(ENTITY_LINE.replace("VARCHAR(2)", "STRING")).alias("clean"))
+    return profile.entities(rows, SCHEMA).select("type", "value", "line_no")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '  at a.B(C.java:1)' ELSE lang || chr(10) || source END AS said FROM documents")
+def diagnostic_text(spark, sf):
+    """Blank lines and stack frames left out; a text of nothing else is kept as it is."""
+    text = F.when(F.col("doc_id") % 9 == 0, F.lit("  at a.B(C.java:1)")).otherwise(F.concat("lang", F.lit("  \n   at com.X.y(Z.java:"), F.col("doc_id").cast("string"), F.lit(")\n\n\t... 12 more\n  "), "source", F.lit(" ")))
+    return documents(spark, sf).select("doc_id", extract.diagnostic_text(text).alias("said"))

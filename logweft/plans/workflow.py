@@ -9,8 +9,10 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,8 @@ from ..operators import classify, coverage, detect, evidence, followup, profile,
 from ..sources import files
 from . import sql, wording
 
+#: Files of an API analysis that are worked on together.
+AT_ONCE = 4
 Ask = Callable[[list[dict[str, str]]], str]
 Progress = Callable[[str], None]
 
@@ -143,13 +147,22 @@ def api_analysis(out: FileReport, parsed: DataFrame, signals: RetrievalSignals,
 
 
 def run_pipeline(spark: SparkSession, paths: list[str], *, mode: str = "api_request", context: QueryContext | None = None, signals: RetrievalSignals | None = None, ticket: str = "", ask: Ask | None = None, progress: Progress = lambda _: None, folder: str | None = None) -> tuple[str, list[FileReport]]:
-    """All log files below the paths; an invalid window stops the run, a failed file does not."""
+    """All log files below the paths; an invalid window stops the run, a failed file does not.
+
+    Files of an API analysis go to the cluster a few at a time, so that the
+    small jobs of one fill the gaps of another; the server analysis registers
+    its tables by name and takes one file after the other.
+    """
     found = [f for p in paths for f in files.find_logs(p)]
-    reports = []
-    for f in found:
-        reports.append(analyze_file(spark, f, mode=mode, context=context, signals=signals, ticket=ticket, ask=ask, progress=progress, folder=folder))
-        if reports[-1].status == "invalid_window":
-            return f"The query window does not fit the log: {reports[-1].reason}", reports
+    one = partial(analyze_file, spark, mode=mode, context=context, signals=signals, ticket=ticket, ask=ask, progress=progress, folder=folder)
+    reports: list[FileReport] = []
+    with ThreadPoolExecutor(AT_ONCE if mode == "api_request" else 1) as pool:
+        tasks = [pool.submit(one, f) for f in found]
+        for t in tasks:
+            reports.append(t.result())
+            if reports[-1].status == "invalid_window":
+                pool.shutdown(cancel_futures=True)
+                return f"The query window does not fit the log: {reports[-1].reason}", reports
     return consolidate(spark, reports, ask, mode=mode), reports
 
 

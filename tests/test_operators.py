@@ -177,6 +177,29 @@ def test_stitched_lag_is_lag(spark):
     assert with_previous(df.where("false"), "t").count() == 0
 
 
+def test_lag_of_values_and_as_of(spark):
+    from logweft.operators.gaps import lagged
+    from logweft.plans import sql
+
+    df = spark.range(900).select(F.when(F.col("id") < 899, F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, pmod(id * 7919, 9001))")).alias("t"), F.when(F.col("id") % 4 > 0, F.col("id")).alias("v"))
+    rows = sorted(df.collect(), key=lambda r: (r.t is None, r.t))
+    want = {(r.t, r.v, p.v) for p, r in zip(rows, rows[1:])} | {(rows[0].t, rows[0].v, None)}
+    assert {tuple(r) for r in lagged(df, "t", ["v"], partitions=7).select("t", "v", "prev_v").collect()} == want
+    r = random.Random(8)
+    left = [(i, r.choice(["hot"] * 8 + ["a", "b", None]), r.randint(0, 400)) for i in range(300)]
+    right = [(r.choice(["hot"] * 8 + ["a", None]), 2 * k, r.choice([None, k])) for k in range(200)]
+    got = sql.as_of(spark.createDataFrame(left, "i long, k string, at long"), spark.createDataFrame(right, "k string, at long, v long"), on="at", by=["k"], value="v").collect()
+    assert {(x.i, x.v) for x in got} == {(i, next((v for q, t, v in reversed(right) if q == k and t <= at and v is not None), None) if k else None) for i, k, at in left} and len(got) == len(left)
+
+
+def test_bursts_against_counts(spark):
+    r = random.Random(9)
+    rows = [(r.choice(["hot"] * 6 + ["x"]), r.randint(0, 4_000_000) / 1000) for _ in range(500)]
+    df = spark.createDataFrame(rows, "key string, s double").withColumn("timestamp", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(s as decimal(18, 6)))"))
+    got = detect.burst_counts(df, "key", 30, "n").collect()
+    assert len(got) == len(rows) and all(x.n == sum(k == x.key and x.s - 30 <= s <= x.s for k, s in rows) for x in got)
+
+
 def test_scores_and_classification(spark):
     sig = [detect.Signal("high_volume_indicator", "x", 0.9)]
     s = classify.scores(spark, sig, [{"signal_type": "authz_loop_candidate"}])
