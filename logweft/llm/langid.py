@@ -23,6 +23,8 @@ from pyspark.sql.window import Window
 SIZE = 400
 #: Learning reads about so many documents of a language at most, drawn by a hash of their id.
 FIT_DOCS = 2_000
+#: There are some 200 languages with enough text to tell them by; profiles of so many fit any worker.
+MOST_LANGS = 1_000
 UNKNOWN = "und"
 _LETTER: list[np.ndarray] = []
 
@@ -93,12 +95,16 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """Profiles from labelled rows: those with a language and, by the id's crc32, not held out.
 
     At most about ``fit_docs`` documents of each language are read (all of a
-    language that has no more), chosen by a hash of the id; whole texts.
+    language that has no more), chosen by a hash of the id; whole texts.  More
+    than ``MOST_LANGS`` different labels are an error: that column holds no
+    languages, and the profiles of so many would not fit a worker.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("id").isNotNull())
     rows = rows.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
     share = rows.groupBy("lang").count().select("lang", (F.least(F.lit(1.0), F.lit(float(fit_docs)) / F.col("count")) * 1_000_000).cast("long").alias("_share"))
-    drawn = rows.join(share, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("_share"))
+    if share.limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGS} values")
+    drawn = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("_share"))
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
