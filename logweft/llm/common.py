@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,24 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, kept while a worker meets them again; bounded in entries and in their length, with no effect on results."""
+
+    MOST, LONGEST = 250_000, 64
+
+    def __missing__(self, word: bytes) -> int:
+        got = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = got
+        return got
+
+
+#: One table for all operators of a worker.
+HASHES = WordHashes()
+
+
 def work_dir(spark: SparkSession, what: str) -> str:
     """A new folder in the cluster's shared folder, which is ``spark.checkpoint.dir``.
 

@@ -24,16 +24,15 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import HASHES, saved
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Words of a benchmark in one block; words a worker keeps hashed, and the longest of them (bounds of memory only).
-BLOCK_WORDS, CACHE, LONGEST = 2_000_000, 250_000, 64
+#: Words of a benchmark in one block.
+BLOCK_WORDS = 2_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SPANS, ITEMS = T.ArrayType(T.ArrayType(T.LongType())), T.ArrayType(T.StringType())
 #: In a Python worker: the table of the last broadcast block, which later tasks reuse.
@@ -44,19 +43,6 @@ def words(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode("utf-8", "replace").lower()) if text else []
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        got = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= LONGEST:
-            self[word] = got
-        return got
-
-
-HASHES = WordHashes()
-
-
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of ``n`` word hashes."""
     out = h[: len(h) - n + 1].copy()

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import HASHES, saved
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -51,8 +51,6 @@ SIZE, DEPTH, AGREE, REGION = 96, 4, 56, 2048
 KEY = 1 + DEPTH + SIZE // 2
 #: Shingles of a cluster that one task holds, at least and at most, and into how many blocks it is dealt between the two (plans only, no results).
 LEAST, BLOCK, SPREAD = 8_000, 2_000_000, 64
-#: Words a worker keeps hashed, and the longest of them (bounds of memory only).
-CACHE, LONGEST = 250_000, 64
 #: Odd multipliers and masks of the minima, drawn once from a fixed seed.
 _RNG = np.random.default_rng(20240229)
 MULTIPLIERS = _RNG.integers(0, 2**63, SIZE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,19 +58,6 @@ MASKS = _RNG.integers(0, 2**63, SIZE, np.uint64)
 STEP, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        got = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= LONGEST:
-            self[word] = got
-        return got
-
-
-HASHES = WordHashes()
-
-
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted hashes of a text's distinct shingles.
 
@@ -369,9 +354,11 @@ def confirmed_links(docs: DataFrame, placed: DataFrame, classes: DataFrame, id_c
     core = saved(decided(first), "core-links")
     rest = big_texts.join(core.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_anti")
     # The rest in blocks of queries, as many as its own shingles fill.
-    share = rest.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n")), "id").groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("asking"))
-    queries = rest.join(share, "cluster").withColumn("y", F.pmod(F.xxhash64("id", F.lit("q")), F.col("asking")).cast("int"))
-    second = big_texts.join(share, "cluster").select("cluster", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("y"), F.lit(False).alias("asks"), "id", "text")
+    # Rows meet their cluster's figures by block too, so that no cluster is whole in one task.
+    asking = rest.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n")), "id").groupBy("cluster", "blocks").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("asking"))
+    share = saved(asking.select("cluster", every.alias("block"), "asking"), "asking")
+    queries = rest.join(share, ["cluster", "block"]).withColumn("y", F.pmod(F.xxhash64("id", F.lit("q")), F.col("asking")).cast("int"))
+    second = big_texts.join(share, ["cluster", "block"]).select("cluster", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("y"), F.lit(False).alias("asks"), "id", "text")
     second = second.unionByName(queries.select("cluster", every.alias("x"), "y", F.lit(True).alias("asks"), "id", "text"))
     return sure.unionByName(core).unionByName(saved(decided(second), "rest-links"))
 
