@@ -68,3 +68,14 @@ def test_empty_benchmark(spark, odd):
 
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from logweft.llm import common
+
+    none = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(getConf=lambda: none, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        common.work_dir(SimpleNamespace(conf=none, sparkContext=context), "x")
