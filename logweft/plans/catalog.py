@@ -91,6 +91,17 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/logs-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to a shared folder and read again."""
+    at = folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.request_documents(parsed(spark, sf), SIGNALS, keep=stored)
+
+
 _LOADED: dict[tuple[str, str], str] = {}
 
 
@@ -320,13 +331,13 @@ n AS (SELECT *, sum(s) OVER (PARTITION BY thread ORDER BY line_no) AS span FROM
 
 @query(f"{SPANS} SELECT thread AS primary_key, min(line_no) AS start_line, max(line_no) AS end_line, count(*) AS line_count, max(x) = 0 AS unmatched_exit, md5(string_agg(raw, chr(10) ORDER BY line_no)) AS content_md5 FROM o WHERE span > 0 AND before = 0 GROUP BY thread, span")
 def request_spans(spark, sf):
-    docs = spans.request_documents(parsed(spark, sf), SIGNALS).where("key_type = 'api_request'")
+    docs = requests(spark, sf).where("key_type = 'api_request'")
     return docs.select("primary_key", "start_line", "end_line", F.col("line_count").cast("long").alias("line_count"), "unmatched_exit", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
 @query(f"{SPANS} SELECT line_no AS start_line, thread AS primary_key, regexp_matches(raw, 'ERROR|Exception') AS has_error_signal FROM o WHERE NOT (span > 0 AND before = 0) AND (regexp_matches(raw, 'ERROR|Exception|FATAL|Failed|Refused|CRITICAL') OR x = 1)")
 def signal_events(spark, sf):
-    return spans.request_documents(parsed(spark, sf), SIGNALS).where("key_type = 'api_signal_event'").select("start_line", "primary_key", "has_error_signal")
+    return requests(spark, sf).where("key_type = 'api_signal_event'").select("start_line", "primary_key", "has_error_signal")
 
 
 @query(f"{SPANS}, r AS (SELECT thread, s, x, sum(s - x) OVER (PARTITION BY thread ORDER BY line_no) AS run FROM m), p AS (SELECT sum(s) AS entries, sum(x) AS exits, greatest(0, -min(run)) AS ue FROM r GROUP BY thread) SELECT CAST(sum(exits - ue) AS BIGINT) AS matched_requests, CAST(sum(entries - (exits - ue)) AS BIGINT) AS unmatched_entries, CAST(sum(ue) AS BIGINT) AS unmatched_exits, round(CAST(sum(entries - (exits - ue)) + sum(ue) AS DOUBLE) / (sum(exits - ue) + sum(entries - (exits - ue)) + sum(ue)), 6) AS error_rate FROM p")

@@ -20,7 +20,7 @@ from ..operators import classify, coverage, detect, evidence, followup, profile,
 from ..sources import files
 from ..streaming import monitor
 from . import sql as adhoc
-from .catalog import SCHEMA, SIGNALS, L, documents, events, folder, metrics, parsed, query, six, table
+from .catalog import SCHEMA, SIGNALS, L, documents, events, folder, metrics, query, requests, six, table
 
 NODES = 6
 #: Each node's way of writing times: for Spark and for DuckDB.
@@ -205,12 +205,12 @@ f AS (SELECT *, CASE WHEN closed = 1 THEN end_line ELSE lead(start_line) OVER (P
 
 @query(f"{FLUSH} SELECT start_line, thread || '_req_' || (row_number() OVER (ORDER BY flush NULLS LAST, start_line) - 1) AS request_span_id FROM f")
 def request_span_ids(spark, sf):
-    return spans.request_documents(parsed(spark, sf), SIGNALS).where("key_type = 'api_request'").select("start_line", "request_span_id")
+    return requests(spark, sf).where("key_type = 'api_request'").select("start_line", "request_span_id")
 
 
 @query(f"{FLUSH}, single AS (SELECT line_no FROM o WHERE NOT (span > 0 AND before = 0) AND (regexp_matches(raw, 'ERROR|Exception|FATAL|Failed|Refused|CRITICAL') OR x = 1)) SELECT start_line, thread AS request_key, 'request' AS request_level FROM f UNION ALL SELECT line_no, 'error_line', 'line' FROM single")
 def request_metadata(spark, sf):
-    return evidence.metadata_rows(spans.request_documents(parsed(spark, sf), SIGNALS)).select("start_line", "request_key", "request_level")
+    return evidence.metadata_rows(requests(spark, sf)).select("start_line", "request_key", "request_level")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'lines ' || doc_id || '-' || (doc_id + 2) WHEN doc_id % 4 = 1 THEN 'lines 7, 9' WHEN doc_id % 4 = 2 AND doc_id % 3 = 0 THEN 'line ' || doc_id WHEN doc_id % 4 = 2 THEN 'lines ' || doc_id || '-' || (doc_id + 5) ELSE 'lines unavailable' END AS line_ref FROM documents")
@@ -450,3 +450,20 @@ def diagnostic_text(spark, sf):
     """Blank lines and stack frames left out; a text of nothing else is kept as it is."""
     text = F.when(F.col("doc_id") % 9 == 0, F.lit("  at a.B(C.java:1)")).otherwise(F.concat("lang", F.lit("  \n   at com.X.y(Z.java:"), F.col("doc_id").cast("string"), F.lit(")\n\n\t... 12 more\n  "), "source", F.lit(" ")))
     return documents(spark, sf).select("doc_id", extract.diagnostic_text(text).alias("said"))
+
+
+@query(f"""WITH {L}, gap AS (SELECT max((epoch_us(timestamp) - epoch_us(prev)) / 1e6) AS g FROM (SELECT timestamp, lag(timestamp) OVER (ORDER BY timestamp) AS prev FROM log)),
+dv AS (SELECT max(m) AS m FROM (SELECT date_trunc('minute', timestamp) AS t, count(*) AS m FROM met GROUP BY 1) LEFT JOIN (SELECT date_trunc('minute', timestamp) AS t, count(*) AS n FROM log GROUP BY 1) USING (t) WHERE m >= 2 AND coalesce(n, 0) <= 1),
+d AS (SELECT timestamp, thread_count, active_conns, thread_count - lag(thread_count) OVER (ORDER BY timestamp) AS td, active_conns - lag(active_conns) OVER (ORDER BY timestamp) AS cd FROM piv WHERE thread_count IS NOT NULL OR active_conns IS NOT NULL),
+co AS (SELECT count(*) AS c, count(*) FILTER (WHERE td > 0 AND cd > 0) AS moved FROM (SELECT * FROM d WHERE (td > 5 AND cd > 2) OR (thread_count > 100 AND active_conns > 20) ORDER BY timestamp LIMIT 15)),
+b AS (SELECT min(timestamp) AS a, max(timestamp) AS z FROM log), br AS (SELECT count(DISTINCT CASE WHEN timestamp <= a + (z - a) / 3 THEN method_sig END) AS early, count(DISTINCT CASE WHEN timestamp >= a + 2 * (z - a) / 3 THEN method_sig END) AS late FROM log, b),
+bu AS (SELECT max(n) AS n FROM (SELECT count(*) OVER (PARTITION BY method_sig ORDER BY timestamp RANGE BETWEEN INTERVAL 30 SECOND PRECEDING AND CURRENT ROW) AS n FROM log WHERE has_entry_authz AND method_sig IS NOT NULL) WHERE n > 5),
+st AS (SELECT least(10, count(*)) AS n FROM piv WHERE thread_count > 80 AND (busy_threads IS NULL OR busy_threads < thread_count * 0.3) AND (response_time IS NULL OR response_time > 500)),
+f AS (SELECT 'log_gap' AS family, CASE WHEN g >= 120 THEN g / 360 END AS s FROM gap UNION ALL SELECT 'runtime_stall_indicator', m / 10.0 FROM dv UNION ALL SELECT 'metric_correlation', CASE WHEN c > 0 THEN moved / c + 0.2 END FROM co
+UNION ALL SELECT 'endpoint_breadth', CASE WHEN late / greatest(early, 1) > 3 THEN late / greatest(early, 1) / 10 WHEN late <= 3 AND early <= 5 THEN 0.6 ELSE 0.35 END FROM br UNION ALL SELECT 'high_volume_indicator', least(5, count(*)) / 5 FROM log WHERE has_count_rows
+UNION ALL SELECT 'high_volume_indicator', n / 50 FROM bu UNION ALL SELECT 'high_volume_indicator', max(n) / 5000 FROM (SELECT count(*) AS n FROM log GROUP BY date_trunc('minute', timestamp)) UNION ALL SELECT 'runtime_stall_indicator', CASE WHEN n > 0 THEN n / 5 + 0.2 END FROM st)
+SELECT family, round(CAST(greatest(0, least(1, s)) AS DOUBLE), 6) AS strength FROM f WHERE least(1, s) >= 0.3""")
+def signals_found(spark, sf):
+    """All detectors together, by strength."""
+    found = detect.signal_frame(spark, detect.broad_signals(events(spark, sf), metrics(spark, sf)))
+    return found.select(F.col("signal_family").alias("family"), six("strength"))
