@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,31 @@ def bursts(parsed: DataFrame, *, span: str = "30 seconds", slide: str = "5 secon
     return rows.withWatermark("at", late).groupBy(F.window("at", span, slide), "method_sig").agg(F.count("*").alias("burst")).where(F.col("burst") > least).select(F.col("window.start").alias("start"), "method_sig", "burst")
 
 
+def requests_of(rows: pd.DataFrame, began: str | None, lines: int) -> tuple[pd.DataFrame, tuple[str | None, int] | None]:
+    """The requests that end in some rows (ts, is_start, is_end) of a thread, and what stays open: (began, lines) or None.
+
+    Starts cut the rows into stretches, the first of which goes on with the
+    request that is open; a stretch's request ends at its first end mark, or
+    unmatched where the next stretch starts.
+    """
+    starts, ends = np.flatnonzero(rows["is_start"]), np.flatnonzero(rows["is_end"])
+    first = np.concatenate([[0], starts])
+    upto = np.concatenate([starts, [len(rows)]])
+    at = np.searchsorted(ends, first)
+    end = np.where(at < len(ends), ends[np.minimum(at, len(ends) - 1)] if len(ends) else 0, len(rows))
+    closed = end < upto
+    size = np.where(closed, end + 1, upto) - first
+    size[0] += lines
+    is_open = np.arange(len(first)) > 0
+    is_open[0] = lines > 0  # before any start, rows outside a request are no part of one
+    times = rows["ts"].iloc[starts]
+    started = [began, *(None if pd.isna(t) else str(t) for t in times)]
+    last = len(first) - 1
+    done = is_open & (closed | (np.arange(len(first)) < last))
+    out = pd.DataFrame({"started": [started[k] for k in np.flatnonzero(done)], "lines": size[done], "unmatched_exit": ~closed[done]})
+    return out, (started[last], int(size[last])) if is_open[last] and not closed[last] else None
+
+
 def open_requests(parsed: DataFrame, signals: RetrievalSignals, *, idle: str = "10 minutes") -> DataFrame:
     """Requests as they end, per file and thread, in arrival order; an idle open request is let go as unmatched.
 
@@ -45,27 +71,18 @@ def open_requests(parsed: DataFrame, signals: RetrievalSignals, *, idle: str = "
     millis = {"minutes": 60_000, "seconds": 1_000}[idle.split()[1]] * int(idle.split()[0])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out, (began, lines) = [], state.get if state.exists else (None, 0)
+        began, lines = state.get if state.exists else (None, 0)
         if state.hasTimedOut:
             state.remove()
             yield pd.DataFrame({"source_path": [key[0]], "thread": [key[1]], "started": [began], "lines": [lines], "unmatched_exit": [True]})
             return
-        for b in batches:
-            for r in b.itertuples(index=False):
-                if r.is_start:
-                    if lines:
-                        out.append((began, lines, True))
-                    began, lines = None if pd.isna(r.ts) else str(r.ts), 0
-                if r.is_start or lines:
-                    lines += 1
-                    if r.is_end:
-                        out.append((began, lines, False))
-                        began, lines = None, 0
-        if lines:
-            state.update((began, lines))
+        rows = pd.concat(list(batches), ignore_index=True)
+        out, left = requests_of(rows, began, lines)
+        if left:
+            state.update(left)
             state.setTimeoutDuration(millis)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"source_path": [key[0]] * len(out), "thread": [key[1]] * len(out), "started": [x[0] for x in out], "lines": [x[1] for x in out], "unmatched_exit": [x[2] for x in out]})
+        yield out.assign(source_path=key[0], thread=key[1])[["source_path", "thread", "started", "lines", "unmatched_exit"]]
 
     return rows.groupBy("source_path", "thread").applyInPandasWithState(step, "source_path string, thread string, started string, lines long, unmatched_exit boolean", "began string, lines long", "append", GroupStateTimeout.ProcessingTimeTimeout)

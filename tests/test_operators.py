@@ -305,3 +305,31 @@ def test_exceptions_on_loud_lines_only(spark):
     lines = ["INFO FooError seen", "ERROR BarException and BarException", "INFO HSM QuxError", "  at a.BazException.x(Y.java:1)"]
     df = spark.createDataFrame([(i, None, f"t{i}", x) for i, x in enumerate(lines)], "line_no long, ts timestamp_ntz, thread string, clean string")
     assert {(r.exception, r["count"]) for r in profile.exceptions(df, S).collect()} == {("BarException", 2), ("QuxError", 1), ("a.BazException", 1)}
+
+
+def test_requests_of_a_stream_against_a_row_loop():
+    import pandas as pd
+
+    from logweft.streaming.monitor import requests_of
+
+    def plain(rows, began, lines):
+        out = []
+        for r in rows.itertuples(index=False):
+            if r.is_start:
+                if lines:
+                    out.append((began, lines, True))
+                began, lines = None if pd.isna(r.ts) else str(r.ts), 0
+            if r.is_start or lines:
+                lines += 1
+                if r.is_end:
+                    out.append((began, lines, False))
+                    began, lines = None, 0
+        return out, (began, lines) if lines else None
+
+    r = random.Random(11)
+    for _ in range(400):
+        n = r.randint(0, 12)
+        rows = pd.DataFrame({"ts": pd.Series([r.choice([pd.Timestamp(2024, 1, 1, 0, k), pd.NaT]) for k in range(n)], dtype="datetime64[ns]"), "is_start": [r.random() < 0.3 for _ in range(n)], "is_end": [r.random() < 0.3 for _ in range(n)]}).astype({"is_start": bool, "is_end": bool})
+        held = r.choice([(None, 0), ("x", 3)])
+        out, left = requests_of(rows, *held)
+        assert ([tuple(x) for x in out[["started", "lines", "unmatched_exit"]].astype(object).where(lambda d: d.notna(), None).itertuples(index=False)], left) == plain(rows, *held)
