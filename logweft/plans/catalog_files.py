@@ -462,7 +462,7 @@ st AS (SELECT least(10, count(*)) AS n FROM piv WHERE thread_count > 80 AND (bus
 f AS (SELECT 'log_gap' AS family, CASE WHEN g >= 120 THEN g / 360 END AS s FROM gap UNION ALL SELECT 'runtime_stall_indicator', m / 10.0 FROM dv UNION ALL SELECT 'metric_correlation', CASE WHEN c > 0 THEN moved / c + 0.2 END FROM co
 UNION ALL SELECT 'endpoint_breadth', CASE WHEN late / greatest(early, 1) > 3 THEN late / greatest(early, 1) / 10 WHEN late <= 3 AND early <= 5 THEN 0.6 ELSE 0.35 END FROM br UNION ALL SELECT 'high_volume_indicator', least(5, count(*)) / 5 FROM log WHERE has_count_rows
 UNION ALL SELECT 'high_volume_indicator', n / 50 FROM bu UNION ALL SELECT 'high_volume_indicator', max(n) / 5000 FROM (SELECT count(*) AS n FROM log GROUP BY date_trunc('minute', timestamp)) UNION ALL SELECT 'runtime_stall_indicator', CASE WHEN n > 0 THEN n / 5 + 0.2 END FROM st)
-SELECT family, round(CAST(greatest(0, least(1, s)) AS DOUBLE), 6) AS strength FROM f WHERE least(1, s) >= 0.3""")
+SELECT family, round(CAST(greatest(0, least(1, s)) AS DOUBLE), 6) AS strength FROM f WHERE s IS NOT NULL AND least(1, s) >= 0.3""")
 def signals_found(spark, sf):
     """All detectors together, by strength."""
     found = detect.signal_frame(spark, detect.broad_signals(events(spark, sf), metrics(spark, sf)))
