@@ -102,7 +102,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     return spans.request_documents(parsed(spark, sf), SIGNALS, keep=stored)
 
 
-_LOADED: dict[tuple[str, str], str] = {}
+_LOADED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def loaded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -111,8 +111,8 @@ def loaded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     if key not in _LOADED:
         rows, at = parsed(spark, sf), folder(spark)
         tables.save(tables.log_events(rows, ["line_no"]), tables.server_metrics(rows), at)
-        _LOADED[key] = at
-    return tables.load(spark, _LOADED[key])
+        _LOADED[key] = tables.load(spark, at)
+    return _LOADED[key]
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -410,7 +410,7 @@ def metadata_summary(spark, sf):
 
 @query(f"WITH {L} SELECT thread, count(*) FILTER (WHERE has_count_rows) AS n_counts, max(latency_ms) AS worst FROM log GROUP BY 1")
 def adhoc_sql(spark, sf):
-    loaded(spark, sf)
+    tables.register(*loaded(spark, sf))
     text = "-- latency by thread\nSELECT le.thread, COUNT(*) FILTER (WHERE has_count_rows = TRUE) AS n_counts, MAX(latency_ms) AS worst FROM log_events le GROUP BY le.thread"
     return adhoc.run(spark, text)
 
