@@ -9,6 +9,7 @@ from collections.abc import Callable
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -73,6 +74,37 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def numbered(rows: DataFrame, group: str, order: list[str], what: str) -> DataFrame:
+    """``rows``, written in the order of (``group``, ``order``), with ``_row``, an id that ascends in this order.
+
+    Rows are cut into ranges, so a group with most of the rows spans many
+    tasks; ``places`` counts inside groups.  What compares equal in all of
+    ``order`` gets its ids in any order.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = rows.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order)
+    return saved(cut.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), what)
+
+
+def places(rows: DataFrame, group: str) -> DataFrame:
+    """Rows of ``numbered`` (any of its columns, ``_part`` and ``_row`` among them) with ``place``, their number in the group from 0, and ``of``, the size of the group.
+
+    The only table joined has a row for each group and each range that the
+    group is in, so a large group is counted range by range.
+    """
+    parts = rows.groupBy(group, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    inside = Window.partitionBy(group)
+    earlier = inside.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(group, "_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(inside).alias("of"))
+    kept = [c for c in rows.columns if c not in ("_part", "place", "of")]
+    return rows.join(parts, [group, "_part"]).select(*kept, (F.col("_row") - F.col("_first") + F.col("_before")).alias("place"), "of")
+
+
+def group_key(value: Column) -> Column:
+    """A value of any simple type as a text that is never null and sorts null first, then as the value's own text does, bytewise."""
+    return F.when(value.isNull(), "").otherwise(F.concat(F.lit("="), value.cast("string")))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

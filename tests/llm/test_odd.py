@@ -67,7 +67,7 @@ def test_empty_benchmark(spark, odd):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
 
 
 def test_a_cluster_without_a_shared_folder_is_refused():
