@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from .gaps import lagged, minute, seconds, with_previous
+from .gaps import lagged, minute, quantiles, seconds, with_previous
 from .tables import pivot
 
 #: Spans in one stretch of time that is counted apart.
@@ -111,8 +111,13 @@ def recurring_rows(events: DataFrame, *, unit: str = "hour", least: int = 2, ste
 def onset_rows(metrics: DataFrame, *, response: float = 200, threads: float = 20, conns: float = 5, queue: float = 10, top: int | None = 20) -> DataFrame:
     """The first snapshots that leave the medians of the whole log behind."""
     p = pivot(metrics, {"am.auth.responseTime": "response_time", "jvm.threadCount": "thread_count", "dbcp.ActiveConnections": "active_conns", "eventManager.threadPoolQueueSize": "queue_size"})
-    mid = p.agg(*(F.expr(f"percentile_cont(0.5) within group (order by {c})").alias(n) for c, n in (("response_time", "rt_p50"), ("thread_count", "tc_p50"), ("active_conns", "ac_p50"))))
-    out = p.crossJoin(F.broadcast(mid)).where(  # one row
+    p = p.persist()
+    try:
+        mid = {c: F.lit(v).cast("double") for c, v in quantiles(p, ["response_time", "thread_count", "active_conns"]).items()}
+    finally:
+        p.unpersist()
+    p = p.withColumns({"rt_p50": mid["response_time"], "tc_p50": mid["thread_count"], "ac_p50": mid["active_conns"]})
+    out = p.where(
         ((F.col("response_time") > F.col("rt_p50") * 2) & (F.col("response_time") > response)) | (F.col("thread_count") > F.col("tc_p50") + threads) | (F.col("active_conns") > F.col("ac_p50") + conns) | (F.col("queue_size") > queue))
     return out if top is None else out.orderBy(F.asc_nulls_last("timestamp")).limit(top)
 

@@ -186,12 +186,33 @@ def test_workflow_with_a_model(spark, log):
     ("SELECT java_method('java.lang.System', 'getProperty', 'user.dir')", False), ("SELECT reflect('java.lang.System', 'exit', 1)", False), ("SELECT 1 ORDER BY try_reflect('a', 'b')", False), ("SELECT input_file_name() FROM log_events", False),
     ("SELECT sum(1) OVER w FROM log_events WINDOW w AS (PARTITION BY reflect('a', 'b'))", False), ("SELECT transform(array(1), x -> reflect('a', 'b'))", False), ("SELECT * FROM range(5)", False), ("SELECT * FROM IDENTIFIER('log_events')", False),
     ("SELECT TRANSFORM(raw_line) USING 'cat' FROM log_events", False), ("SELECT current_user()", False), ("SELECT no_such_function(1)", False), ("EXECUTE IMMEDIATE 'SELECT 1'", False), ("TABLE log_events", True),
+    ("SELECT IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.dir')", False), ("SELECT IDENTIFIER('java_' || 'method')('java.lang.System', 'getProperty', 'user.dir')", False), ("SELECT IDENTIFIER('try_' || 'reflect')('a', 'b')", False),
+    ("SELECT 1 WHERE IDENTIFIER('reflect')('a', 'b') = 1", False), ("SELECT IDENTIFIER('thread') FROM log_events", False), ("SELECT sum(IDENTIFIER('abs')(1)) OVER (ORDER BY 1) FROM log_events", False), ("SELECT :p", False), ("SELECT x FROM VALUES (IDENTIFIER('reflect')('a', 'b')) AS t(x)", False),
+    ("SELECT thread, count(*) FROM log_events GROUP BY ROLLUP (thread) HAVING count(*) > 1 ORDER BY 2 DESC NULLS LAST", True), ("SELECT trim(BOTH 'x' FROM thread), substring(thread FROM 1 FOR 2), timestampdiff(SECOND, timestamp, timestamp) FROM log_events WHERE thread LIKE ANY ('a', 'b') AND latency_ms IS DISTINCT FROM 1", True),
+    ("SELECT lag(latency_ms) OVER (ORDER BY timestamp RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first(thread) IGNORE NULLS, percentile_cont(0.5) WITHIN GROUP (ORDER BY latency_ms), transform(array(1), x -> x + 1)[0], CAST('1' AS INT), struct(1, 2) FROM log_events GROUP BY ALL", True),
 ])
 def test_guard(spark, text, ok):
     assert (sql.rejection(spark, text) is None) == ok, sql.rejection(spark, text)
     assert ok or sql.execute(spark, text).rows == -1
 
 
+def test_guard_looks_at_what_names_mean(spark, log, tmp_path):
+    """A registered function of other code, and a name that came to mean something else, are refused on the analysed plan."""
+    from pyspark.sql.types import StringType
+
+    parsed = workflow.parsed_file(spark, log)[1]
+    tables.register(tables.log_events(parsed), tables.server_metrics(parsed))
+    spark.udf.register("shout", lambda x: x, StringType())
+    (tmp_path / "f").write_text("secret")
+    for text in ("SELECT shout(thread) FROM log_events", "SELECT thread FROM log_events WHERE shout('a') = 'a'"):
+        assert sql.rejection(spark, text) and sql.execute(spark, text).rows == -1
+        assert sql.analysed(spark, text)[0] is None
+    for text in (f"SELECT * FROM text.`{tmp_path}/f`", "SELECT * FROM range(3)", "SELECT java_method('java.lang.System', 'getProperty', 'user.dir')", "SELECT (SELECT count(*) FROM log_events WHERE input_file_name() = 1)", f"SELECT 1 WHERE EXISTS (SELECT * FROM text.`{tmp_path}/f`)"):
+        assert sql.analysed(spark, text)[0] is None, text
+    text = "WITH a AS (SELECT thread FROM log_events), b AS (SELECT * FROM a) SELECT count(*) AS n FROM a JOIN b ON a.thread = b.thread WHERE a.thread IN (SELECT thread FROM server_metrics)"
+    assert sql.analysed(spark, text)[1] is None and sql.execute(spark, text).rows == 1
+
+
 @pytest.mark.parametrize("text,want", [
     ("SELECT thread_count FROM server_metrics", "SELECT thread_count FROM server_metrics_wide AS server_metrics"),
     ("SELECT m.thread_count FROM server_metrics m -- server_metrics", "SELECT m.thread_count FROM server_metrics_wide m -- server_metrics"),

@@ -3,12 +3,13 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from logweft.functions import rules
 from logweft.functions.schema import LogSchema
 from logweft.functions.signals import RetrievalSignals
-from logweft.operators import classify, coverage, detect, evidence, followup, profile, references, spans, tables
+from logweft.operators import classify, coverage, detect, evidence, followup, gaps, profile, references, spans, tables
 
 S = RetrievalSignals()
 
@@ -54,6 +55,85 @@ def test_request_spans_against_fold(spark):
     assert order == sorted(order) and sorted(r.row_id for r in got) == list(range(len(got)))
 
 
+@pytest.mark.parametrize("block", [1, 3, 7])
+def test_spans_of_one_thread_in_many_blocks(spark, block):
+    """A file of one thread, cut into blocks of a few lines: as the fold has it, and identifiers in the order in which requests end."""
+    rows = [(p, f, no, ts, "a", clean) for p, f, no, ts, _, clean in traces(5, 12)]
+    got = spans.request_documents(spark.createDataFrame(rows, SCHEMA), S, block=block).collect()
+    for path in {r[0] for r in rows}:
+        folded = fold([r for r in rows if r[0] == path])
+        mine = [r for r in got if r.source_path == path]
+        assert {(r.key_type, r.start_line, r.end_line, r.line_count, r.unmatched_exit) for r in mine} == {(k, x[0], x[-1], len(x), u) for k, _, x, u in folded}
+        for kind, prefix in (("api_request", "a_req_"), ("api_signal_event", "event_")):
+            assert {r.request_span_id: r.start_line for r in mine if r.key_type == kind} == {f"{prefix}{n}": x[0] for n, x in enumerate(x for k, _, x, _ in folded if k == kind)}
+    health = [spans.health(spark.createDataFrame([(1, k, int(" - entry" in r[5]), int(" - exit" in r[5])) for k, r in enumerate(rows)], "k int, n long, s int, e int"), ["k"], "n", "s", "e", b).first() for b in (block, 10**6)]
+    assert health[0] == health[1]
+
+
+def test_spans_of_one_thread_are_dealt(spark):
+    """The blocks of one thread are different groups of the scan."""
+    rows = spark.range(1, 4001).select(F.lit("/f").alias("source_path"), F.lit("f").alias("source_file"), F.col("id").alias("line_no"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("t").alias("thread"), F.when(F.col("id") % 10 == 1, "x - entry").otherwise("x").alias("clean"))
+    numbered = spans.number_spans(rows.withColumn("k", F.lit(1)), ["k"], "line_no", F.col("clean").contains("entry"), F.lit(False), 100)
+    assert numbered.agg(F.max("span_no")).first()[0] == 400
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert numbered.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_islands_over_blocks(spark):
+    r = random.Random(9)
+    rows = [(k, n) for k in "ab" for n in range(1, 300) if r.random() < 0.8]
+    for block in (1, 4, 50, 10**6):
+        got = {tuple(x) for x in spans.islands(spark.createDataFrame(rows, "k string, n long"), ["k"], "n", block).collect()}
+        want = set()
+        for k in "ab":
+            own = sorted({n for j, n in rows if j == k})
+            first = [n for n in own if n - 1 not in set(own)]
+            last = [n for n in own if n + 1 not in set(own)]
+            want |= {(k, a, z) for a, z in zip(first, last)}
+        assert got == want
+    texts = {x.k: x.t for x in spans.range_texts(spans.islands(spark.createDataFrame(rows, "k string, n long"), ["k"], "n"), ["k"], "t").collect()}
+    assert texts == {x.k: x.t for x in spark.createDataFrame(rows, "k string, n long").groupBy("k").agg(spans.compact_ranges(F.collect_list("n")).alias("t")).collect()}
+
+
+@pytest.mark.parametrize("few", [1, 40, 10_000])
+def test_exact_quantiles(spark, monkeypatch, few):
+    """Against sorting, with frequent values, nulls, an even and an odd number of values, and none."""
+    from statistics import median
+
+    monkeypatch.setattr(gaps, "FEW", few)
+    monkeypatch.setattr(gaps, "RANGES", 8)
+    r = random.Random(few)
+    columns = {"a": [r.gauss(0, 1e6) for _ in range(801)], "b": [float(r.choice([1, 1, 1, 2, 5])) for _ in range(900)], "c": [None] * 5, "d": [r.choice([None, -1.5, r.random() ** 20]) for _ in range(900)], "e": [7.0], "f": [1.0, 2.0], "g": [float(k // 2) for k in range(1000)]}
+    n = max(map(len, columns.values()))
+    rows = list(zip(*(v + [None] * (n - len(v)) for v in columns.values())))
+    got = gaps.quantiles(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(4), list(columns))
+    for c, values in columns.items():
+        real = [v for v in values if v is not None]
+        assert got[c] == (pytest.approx(median(real)) if real else None), c
+
+
+def test_interval_lookup(spark):
+    """20,000 ranges: built at once, right at every cut, and about even."""
+    import time
+
+    cuts = sorted({k * 3 for k in range(20_000)})
+    t = time.time()
+    column = gaps.range_of(F.col("v"), cuts)
+    plan = spark.range(0, 60_010).select(F.col("id").alias("v")).withColumn("r", column)
+    plan._jdf.queryExecution().optimizedPlan()
+    assert time.time() - t < 3
+    got = plan.where("r <> least(v div 3 + 1, 20000)").count()
+    assert got == 0
+    assert [x.r for x in spark.createDataFrame([(None,), (-1,), (0,)], "v long").select(gaps.range_of(F.col("v"), cuts).alias("r")).collect()] == [20_000, 0, 1]
+    values = spark.range(400_000).select((F.col("id") * F.col("id") % 1_000_003).alias("v"))
+    sizes = values.groupBy(gaps.place(values, "v", 2_000).alias("r")).count().agg(F.max("count"), F.min("count"), F.count("*")).first()
+    assert sizes[0] < 400 and sizes[1] > 100 and sizes[2] == 2_000
+
+
 def test_request_health_against_counter(spark):
     rows = traces(2, 20)
     open_, m, ux = {}, 0, 0
