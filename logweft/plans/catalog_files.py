@@ -7,7 +7,6 @@ lines without a timestamp and lines over 2,000 characters.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,7 @@ from ..operators import classify, coverage, detect, evidence, followup, profile,
 from ..sources import files
 from ..streaming import monitor
 from . import sql as adhoc
-from .catalog import SCHEMA, SIGNALS, L, documents, events, folder, metrics, query, requests, six, table
+from .catalog import SCHEMA, SIGNALS, L, documents, events, folder, log_lines, metrics, query, requests, six, stored, table
 
 NODES = 6
 #: Each node's way of writing times: for Spark and for DuckDB.
@@ -170,29 +169,69 @@ def saved_tables(spark, sf):
     return log.groupBy("thread").agg(F.count("*").alias("n"), F.count_if("has_latency").alias("with_latency")).crossJoin(F.broadcast(met.agg(F.count("*").alias("metric_rows"))))  # one row
 
 
-def _streamed(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+# --- streams: the lines of six nodes, replayed in files, some of which bring lines of long ago ---
+
+SLICES = 5
+#: Which file a line comes in: six days each, and every 97th line two files late.
+SLICE = f"least(div_(day(ts) - 1, 6), {SLICES - 1}) + CASE WHEN event_id % 97 = 0 AND day(ts) <= 18 THEN 2 ELSE 0 END"
+_REPLAYED: dict[tuple[str, str], str] = {}
+
+
+def replay_folder(spark: SparkSession, sf: str) -> str:
+    """``slice=I/node=K``: files that arrive one slice after the other, each line with its number, and a last line from much later."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _REPLAYED:
+        when = table(spark, sf, "events").select((F.col("event_id") + 1).alias("line_no"), F.expr(SLICE.replace("div_(day(ts) - 1, 6)", "(day(ts) - 1) div 6")).alias("slice"))
+        lines = log_lines(spark, sf).join(when, "line_no").select("slice", "line_no", ((F.col("line_no") - 1) % NODES).alias("node"), F.concat(F.lit("[Line "), F.col("line_no").cast("string"), F.lit("] "), "raw").alias("value"))
+        end = spark.createDataFrame([(SLICES, 0, 0, "[Line 0] 2025-01-01 00:00:00.000 [end] INFO closed")], lines.schema)
+        at = folder(spark)
+        lines = stored(lines.unionByName(end))
+        for k in range(SLICES + 1):  # one after the other: a stream takes files by their age
+            lines.where(F.col("slice") == k).repartition(NODES, "node").sortWithinPartitions("node", "line_no").select("value", "node").write.partitionBy("node").text(f"{at}/slice={k}")
+        _REPLAYED[key] = at
+    return _REPLAYED[key]
+
+
+def replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """The parsed stream, a slice in each batch."""
+    rows = monitor.read_log_stream(spark, replay_folder(spark, sf), SCHEMA, recursiveFileLookup="true", maxFilesPerTrigger=str(NODES))
+    return rows.withColumns({"line_no": F.regexp_extract("raw", r"^\[Line (\d+)\]", 1).cast("long"), "source_path": F.concat(F.lit("node"), F.regexp_extract("source_path", r"node=(\d+)", 1))})
+
+
+def streamed(df: DataFrame, spark: SparkSession) -> DataFrame:
     """What a query over a stream has written once all files are in."""
-    name = f"{name}_{uuid.uuid4().hex[:8]}"
-    running = df.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", folder(spark)).trigger(availableNow=True).start()
+    at = folder(spark)
+    running = monitor.start_into(df, f"{at}/out", f"{at}/checkpoint")
     running.awaitTermination()
-    return spark.table(name)
+    return monitor.emitted(spark, f"{at}/out", df)
 
 
-def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    return monitor.read_log_stream(spark, f"{log_folder(spark, sf)}/node=0", SCHEMA)
+#: The replay in DuckDB.  A batch drops what lies behind the newest time of all batches up to the second last, less the lateness allowed.
+STREAM = f"""WITH {L}, b AS (SELECT l.*, (line_no - 1) % {NODES} AS node, CAST({SLICE.replace("event_id", "(line_no - 1)").replace("div_(day(ts) - 1, 6)", "(day(ts) - 1) // 6")} AS BIGINT) AS batch FROM l),
+mark AS (SELECT x.batch, (SELECT max(y.ts) FROM b y WHERE y.batch <= x.batch - 2) AS newest FROM (SELECT DISTINCT batch FROM b) x)"""
 
 
-@query(f"WITH {X} SELECT date_trunc('minute', ts) AS minute, count(*) AS lines, count(*) FILTER (WHERE is_error) AS errors FROM x WHERE node = 0 AND ts IS NOT NULL GROUP BY 1")
+@query(f"{STREAM}, r AS (SELECT b.*, date_trunc('hour', ts) AS hour, newest FROM b JOIN mark USING (batch)) SELECT hour AS minute, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(raw, 'ERROR|Exception|FATAL|Failed|Refused|CRITICAL')) AS errors FROM r WHERE newest IS NULL OR hour + INTERVAL 1 HOUR > newest - INTERVAL 1 DAY GROUP BY 1")
 def stream_minute_counts(spark, sf):
-    return _streamed(monitor.minute_counts(_stream(spark, sf)), spark, "minutes").select(F.col("minute").cast("timestamp_ntz").alias("minute"), "lines", "errors")
+    """Hours of all six nodes, in append mode: lines that come more than a day late are dropped."""
+    return streamed(monitor.minute_counts(replayed(spark, sf), late="1 day", width="1 hour"), spark).select(F.col("minute").cast("timestamp_ntz").alias("minute"), "lines", "errors")
 
 
-@query(f"WITH {X}, s AS (SELECT ts, unnest(range(0, 2)) AS k FROM x WHERE node = 0 AND ts IS NOT NULL), w AS (SELECT to_timestamp(floor(epoch(ts) / 1800) * 1800 - k * 1800) AS start FROM s) SELECT CAST(start AT TIME ZONE 'UTC' AS TIMESTAMP) AS start, count(*) AS n FROM w GROUP BY 1 HAVING count(*) > 2")
+@query(f"{STREAM}, r AS (SELECT b.*, date_trunc('day', ts) - k * INTERVAL 1 DAY AS start, newest, nullif(regexp_extract(raw, '([A-Za-z][A-Za-z0-9_\\.]*(?:\\.java)?:\\d+)', 1), '') AS sig FROM b JOIN mark USING (batch), range(5) t(k) WHERE contains(raw, '.java:') OR contains(raw, '(')) SELECT start, sig AS method_sig, count(*) AS burst FROM r WHERE sig IS NOT NULL AND (newest IS NULL OR start + INTERVAL 5 DAY > newest - INTERVAL 1 DAY) GROUP BY 1, 2 HAVING count(*) > 3")
 def stream_sliding_counts(spark, sf):
-    """Windows of an hour every half hour, as the burst detector has them over a stream."""
-    rows = _stream(spark, sf).where("ts is not null").withColumn("at", F.col("ts").cast("timestamp"))
-    counts = rows.withWatermark("at", "1 minute").groupBy(F.window("at", "1 hour", "30 minutes")).agg(F.count("*").alias("n")).where("n > 2")
-    return _streamed(counts.select(F.col("window.start").alias("start"), "n"), spark, "sliding").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    """Method signatures seen more than three times in five days, every day, over the lines of six nodes."""
+    got = monitor.bursts(replayed(spark, sf), span="5 days", slide="1 day", least=3, late="1 day")
+    return streamed(got, spark).select(F.col("start").cast("timestamp_ntz").alias("start"), "method_sig", "burst")
+
+
+@query(f"""{STREAM}, m AS (SELECT *, CAST(regexp_matches(lower(raw), ' - entry|:entry| entry,') AS INT) AS s, CAST(regexp_matches(lower(raw), ' - exit|:exit| exit,|lapse\\(ms\\)=') AS INT) AS x FROM b),
+n AS (SELECT *, sum(s) OVER (PARTITION BY node, thread ORDER BY line_no) AS span FROM m), o AS (SELECT *, coalesce(sum(x) OVER (PARTITION BY node, thread, span ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)
+SELECT 'node' || node AS source_path, thread, min(line_no) AS start_line, max(line_no) AS end_line, count(*) AS lines, max(x) = 0 AS unmatched_exit FROM o WHERE span > 0 AND before = 0 GROUP BY node, thread, span""")
+def stream_open_requests(spark, sf):
+    """Requests of every node and thread as keyed state with event-time timers; lines that come late within 20 days are put in order."""
+    spark.conf.set(*monitor.STORE)
+    got = monitor.open_requests(replayed(spark, sf), SIGNALS, late="20 days", idle="100 days")
+    return streamed(got, spark)
 
 
 # --- requests: identifiers in the order in which requests end, metadata, line references ---
