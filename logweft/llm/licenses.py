@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,25 +77,38 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(_BETWEEN, low) if w]
 
 
-def _positions(spark, templates: list[Template]) -> DataFrame:
-    """(gram, template, at, size, label, phrase): every k-gram of every template; and the empty gram, which stands for a text as such."""
-    rows = [("", -1, 0, 0, "", False)]
+def _positions(spark: SparkSession, templates: list[Template]) -> DataFrame:
+    """(k, gram, hash, start, template, at, size, label, phrase): every k-gram of every template; ``start`` hashes its first two words."""
+    rows = []
     for t, template in enumerate(templates):
         words = words_of(template.text)
         k = LONG if len(words) >= LONG else SHORT
         if len(words) < SHORT:
             raise ValueError(f"a template needs {SHORT} words: {template.text!r}")
-        rows += [(" ".join(words[i : i + k]), t, i, len(words), template.label, template.phrase) for i in range(len(words) - k + 1)]
-    return spark.createDataFrame(rows, "gram string, template int, at int, size int, label string, phrase boolean").withColumn("hash", F.xxhash64("gram"))
+        rows += [(k, " ".join(words[i : i + k]), words[i : i + k], t, i, len(words), template.label, template.phrase) for i in range(len(words) - k + 1)]
+    grams = spark.createDataFrame(rows, "k int, gram string, words array<string>, template int, at int, size int, label string, phrase boolean")
+    whole = F.when(F.col("k") == SHORT, _hash(F.col("words"), SHORT)).otherwise(_hash(F.col("words"), LONG))
+    return grams.select("k", "gram", whole.alias("hash"), _hash(F.col("words"), SHORT).alias("start"), "template", "at", "size", "label", "phrase")
 
 
-def _grams(words: Column) -> Column:
-    """The empty gram, all of two words, all of five words."""
-    def all_of(k: int) -> Column:
-        made = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.concat_ws(" ", *(F.get(words, i + j) for j in range(k))))
-        return F.when(F.size(words) >= k, made).otherwise(F.array().cast("array<string>"))
+def _hash(words: Column, k: int, at: Column | int = 0) -> Column:
+    """The hash of the ``k`` words from ``at`` on."""
+    return F.xxhash64(*(F.get(words, (at if isinstance(at, Column) else F.lit(at)) + j) for j in range(k)))
 
-    return F.concat(F.array(F.lit("")), all_of(SHORT), all_of(LONG))
+
+def _grams(words: Column, starts: list[int]) -> Column:
+    """(hash, place, said) of the k-grams of a text that can join.
+
+    Every two words in a row are hashed; where a template's k-gram starts with
+    the same hash, the k-grams of both lengths leave the row, spelled out.
+    """
+    places = F.when(F.size(words) >= SHORT, F.sequence(F.lit(0), F.size(words) - SHORT)).otherwise(F.array().cast("array<int>"))
+    kept = F.filter(places, lambda i: _hash(words, SHORT, i).isin(starts))
+
+    def gram(i: Column, k: int) -> Column:
+        return F.struct(_hash(words, k, i).alias("hash"), i.alias("place"), F.concat_ws(" ", *(F.get(words, i + j) for j in range(k))).alias("said"))
+
+    return F.flatten(F.transform(kept, lambda i: F.array(gram(i, SHORT), gram(i, LONG))))
 
 
 def scan(docs: DataFrame, templates: list[Template] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,13 +126,14 @@ def scan(docs: DataFrame, templates: list[Template] | None = None, doc_id: str =
     hash and compared as words.  No text is shuffled: what leaves the scan is
     one row for each gram that is found, and one for each text.
     """
-    spark = docs.sparkSession
+    positions = _positions(docs.sparkSession, templates or PHRASES + NOTICES)
+    starts = [r.start for r in positions.select("start").distinct().collect()]  # as many as the templates' words
     low = F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), _BETWEEN)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.array_remove(low, "").alias("words"))
-    grams = rows.select("doc_id", "row", F.size("words").alias("n_words"), F.posexplode(_grams(F.col("words"))).alias("pos", "said"))
-    start = F.when(F.col("pos") < F.greatest("n_words", F.lit(1)), F.col("pos") - 1).otherwise(F.col("pos") - F.greatest("n_words", F.lit(1)))
-    found = grams.withColumn("hash", F.xxhash64("said")).join(F.broadcast(_positions(spark, templates or PHRASES + NOTICES)), "hash").where("said = gram")
-    found = found.select("doc_id", "row", "n_words", "template", "label", "phrase", "size", "at", F.when(F.col("template") >= 0, start - F.col("at")).otherwise(0).alias("diagonal"))
+    grams = rows.select("doc_id", "row", F.size("words").alias("n_words"), F.explode_outer(_grams(F.col("words"), starts)).alias("g")).select("doc_id", "row", "n_words", "g.*")
+    met = grams.join(F.broadcast(positions), (grams.hash == positions.hash) & (grams.said == positions.gram), "left")
+    # A text without any is there with no template.
+    found = met.select("doc_id", "row", "n_words", F.coalesce("template", F.lit(-1)).alias("template"), "label", "phrase", "size", "at", (F.col("place") - F.col("at")).alias("diagonal"))
 
     one = ["doc_id", "row", "n_words", "template", "label", "phrase", "size"]
     lines = found.groupBy(*one, "diagonal").agg(F.collect_set("at").alias("ats"))
