@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import extract, rules
 from ..functions.parse import any_contains, unicode
+from .gaps import total_before
 from .references import line_reference_column
 
 
@@ -121,8 +122,9 @@ def report(findings: DataFrame, *, file_cap: int = rules.REDUCE_FILE_CHARS, cap:
     head = F.format_string(f"\n\n{bar}\n=== FILE: %s | Category: %s/%s | Status: %s | Chunks: %d | High-anomaly: %d ===\n{bar}\n", "source_file", "category", "subcategory", "status", "chunk_count", "high_count")
     said = findings.where(F.col("valid") & (F.trim(F.regexp_replace(own, r"\s+", " ")) != ""))
     one = said.select("position", F.concat(head, body, F.lit("\n")).alias("text"))
-    run = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file of a run
-    before = one.withColumn("_before", F.coalesce(F.sum(F.length("text").cast("bigint")).over(run), F.lit(0)))
+    # Sizes say which files fit; texts are looked up for those, which the budget bounds.
+    sizes = total_before(one.select("position", F.length("text").cast("bigint").alias("_size")), "position", "_size", "_before").where(F.col("_before") <= cap)
+    before = one.join(F.broadcast(sizes.select("position", "_before")), "position")
     left = (F.lit(cap) - F.col("_before")).cast("int")
     text = F.when(F.length("text") > left, F.concat(F.substring(F.col("text"), F.lit(1), left), F.lit(rules.EVIDENCE_TRUNCATED))).otherwise(F.col("text"))
-    return before.where(F.col("_before") <= cap).select("position", text.alias("text"))
+    return before.select("position", text.alias("text"))

@@ -136,6 +136,16 @@ def evidence_block(items: list[dict], cap: int = rules.FOLLOWUP_CHARS, each: int
     return "\n\n".join(kept)
 
 
+def block_of(items: DataFrame, order: list[Column], cap: int = rules.FOLLOWUP_CHARS, each: int = rules.FOLLOWUP_ITEM_CHARS) -> DataFrame:
+    """``evidence_block`` of a few chosen items (item_id, source, snippet) in a total order, as one row (block); no row if there are none."""
+    text = F.concat(F.lit("["), F.col("item_id").cast("string"), F.lit("] ("), "source", F.lit(") "), F.substring("snippet", 1, each))
+    by = Window.orderBy(*order)  # what a follow-up has chosen: a dozen rows
+    rows = items.select("*", text.alias("_t")).select("_t", F.row_number().over(by).alias("_k"), F.sum(F.length("_t") + 2).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("_used"))
+    shown = F.when((F.col("_k") == 1) & (F.col("_used") > cap), F.substring("_t", 1, cap)).otherwise(F.col("_t"))
+    kept = rows.where((F.col("_used") <= cap) | (F.col("_k") == 1)).groupBy().agg(F.array_sort(F.collect_list(F.struct("_k", shown.alias("t")))).alias("x"))
+    return kept.where(F.size("x") > 0).select(F.array_join(F.transform("x", lambda x: x["t"]), "\n\n").alias("block"))
+
+
 def evidence_table(items: list[dict]) -> str:
     """The chosen items as a Markdown table."""
     if not items:

@@ -91,6 +91,16 @@ def numbered(rows: DataFrame, order: list[Column], name: str, keep: Callable[[Da
     return joined.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_base")).alias(name))
 
 
+def total_before(rows: DataFrame, at: str, size: str, out: str) -> DataFrame:
+    """``rows`` (``at`` unique and not null) with the sum of ``size`` over all rows before it: sums inside ranges, and a row for each range for what comes before."""
+    ranged = rows.withColumn("_range", place(rows, at))
+    sums = ranged.groupBy("_range").agg(F.sum(size).alias("_sum"))
+    upto = Window.unboundedPreceding, -1
+    base = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(*upto)), F.lit(0)).alias("_base"))  # one row for each range
+    inside = F.coalesce(F.sum(size).over(Window.partitionBy("_range").orderBy(at).rowsBetween(*upto)), F.lit(0))
+    return ranged.withColumn("_inside", inside).join(F.broadcast(base), "_range").select(*rows.columns, (F.col("_inside") + F.col("_base")).alias(out))
+
+
 def quantiles(rows: DataFrame, columns: list[str], at: float = 0.5) -> dict[str, float | None]:
     """Exact continuous quantiles of some numeric columns, as PERCENTILE_CONT gives them; None where a column has no value.
 

@@ -11,6 +11,7 @@ from ..functions.parse import unicode
 from ..functions.schema import LogSchema
 from ..functions.signals import RetrievalSignals
 from .spans import request_health
+from .tables import stored
 
 
 def totals(parsed: DataFrame, signals: RetrievalSignals) -> DataFrame:
@@ -88,19 +89,40 @@ def _prefixed(prefix: str):
 def entities(parsed: DataFrame, schema: LogSchema | None = None, most: int = rules.ENTITY_MAX) -> DataFrame:
     """The first ``most`` entities: type, value, line_excerpt, line_no.
 
-    An entity is a repeat if its value, lower-cased, or its typed key came
-    before.  First the earliest of each value is kept, then of those the
-    earliest of each key.  Key and value say the same but for tokens, whose
-    key is their first 40 characters; there a token that was itself a repeat
-    by its key does not hide a later equal value of another type, a case that
-    needs two types to match one string of 24 letters.
+    In order, an entity is kept unless its value, lower-cased, or its typed key
+    is that of one kept before.
     """
     rows = parsed.select("line_no", F.substring("clean", 1, 200).alias("line_excerpt"), F.explode(entity_matches(F.col("clean"), schema)).alias("m")).select("line_no", "line_excerpt", "m.*")
     place = F.struct("line_no", "kind", "at")
     firsts = rows.groupBy(F.lower("value").alias("_v"), "key").agg(F.min_by(F.struct("type", "value", "line_excerpt", "line_no", "kind", "at"), place).alias("x"), F.min(place).alias("_p"))
-    by_value = firsts.groupBy("_v").agg(F.min_by(F.struct("x", "key", "_p"), "_p").alias("y")).select("_v", "y.*")
-    by_key = by_value.groupBy("key").agg(F.min_by(F.struct("x", "_p"), "_p").alias("y")).select("y.x.*", "y._p")
-    return by_key.orderBy("_p").limit(most).select("type", "value", "line_excerpt", "line_no", "kind", "at")
+    return first_of_two(firsts, "_v", "key", "_p", most).select("x.*").orderBy("line_no", "kind", "at").limit(most).select("type", "value", "line_excerpt", "line_no", "kind", "at")
+
+
+def first_of_two(rows: DataFrame, a: str, b: str, place: str, most: int | None = None) -> DataFrame:
+    """The rows that stay if, in the order of ``place`` (unique), each is kept unless its ``a`` or its ``b`` is that of one kept before.
+
+    A row that comes first of its ``a`` and of its ``b`` is kept whatever
+    happens elsewhere, and everything that shares either with it goes; what is
+    left is looked at again until nothing is.  A round decides at least the
+    first row of all, and in practice nearly all rows, as chains of rows that
+    share one key with the next are short.  Each round's remainder is written,
+    so plans do not grow.  With ``most``, rounds end once the first ``most``
+    rows are certain.
+    """
+    left, kept = stored(rows), None
+    while True:
+        firsts = left.join(left.groupBy(a).agg(F.min(place).alias("_a")), a).join(left.groupBy(b).agg(F.min(place).alias("_b")), b)
+        new = stored(firsts.where((F.col(place) == F.col("_a")) & (F.col(place) == F.col("_b"))).select(*rows.columns))
+        kept = new if kept is None else kept.unionByName(new)
+        left = stored(left.join(new.select(a), a, "left_anti").join(new.select(b), b, "left_anti"))
+        open_from = left.agg(F.min(place)).first()[0]
+        if open_from is None:
+            return kept
+        if most is not None:
+            bound = left.agg(F.min(place).alias("_open"))  # one row
+            certain = kept.join(F.broadcast(bound), F.col(place) < F.col("_open")).limit(most).count()
+            if certain >= most:
+                return kept
 
 
 def profile(parsed: DataFrame, signals: RetrievalSignals, schema: LogSchema | None = None) -> dict:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, rules
@@ -53,6 +55,28 @@ def register(events: DataFrame, metrics: DataFrame) -> None:
     wide(metrics).createOrReplaceTempView("server_metrics_wide")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder that all executors see; a temporary one only where Spark runs in this one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="logweft-")
+    return f"{base.rstrip('/')}/logs-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to a shared folder and read again: lineage ends here."""
+    at = folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 READY = "_READY"
 
 
@@ -64,21 +88,34 @@ def _versions(spark: SparkSession, folder: str):
     return fs, sorted(p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, READY)))
 
 
-def save(events: DataFrame, metrics: DataFrame, folder: str) -> None:
-    """Both tables as Parquet, near in time within a file, so that row-group statistics prune.
+#: Columns of log_events that point lookups ask for: each file has Bloom filters of them.
+LOOKED_UP = ("method_sig", "scheduled_op_name")
+
+
+def save(events: DataFrame, metrics: DataFrame, folder: str) -> dict[str, dict]:
+    """Both tables as Parquet, near in time within a file, so that row-group statistics prune; Bloom filters serve point lookups.
 
     They go into a new version of the folder, which counts only once both are
     whole and its mark is written: a reader sees the old pair or the new one.
-    Older versions are removed afterwards.
+    Older versions are removed afterwards.  What there is to know of a table
+    (n, first_seen, last_seen) is observed while it is written, without a scan
+    of its own, and returned by the table's name.
     """
     spark = events.sparkSession
     target = f"{folder}/v{time.time_ns():020d}"
-    events.sortWithinPartitions("timestamp").write.parquet(f"{target}/log_events")
-    metrics.sortWithinPartitions("timestamp", "metric_name").write.parquet(f"{target}/server_metrics")
+    seen = {}
+    for name, rows, order in (("log_events", events, ["timestamp"]), ("server_metrics", metrics, ["timestamp", "metric_name"])):
+        seen[name] = Observation()
+        watched = rows.observe(seen[name], F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+        writer = watched.sortWithinPartitions(*order).write
+        for c in LOOKED_UP if name == "log_events" else ():
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(f"{target}/{name}")
     fs, old = _versions(spark, folder)
     fs.create(spark._jvm.org.apache.hadoop.fs.Path(target, READY)).close()
     for p in old:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p), True)
+    return {name: o.get for name, o in seen.items()}
 
 
 def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -111,3 +148,36 @@ class Kept:
 def coverage(rows: DataFrame, at: str = "timestamp") -> DataFrame:
     """first_seen, last_seen and n."""
     return rows.agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count("*").alias("n"))
+
+
+# --- log events with a skip index: days as partitions, files near in what is looked up, and a table of what each file holds ---
+
+def save_indexed(events: DataFrame, folder: str) -> None:
+    """``log_events`` by day, and within a day in files and row groups near in method_sig, with Bloom filters and a table of each file's least and greatest values.
+
+    Rows are cut into ranges of (day, method_sig, time), so neither a large day
+    nor a frequent signature makes a large file.
+    """
+    spark = events.sparkSession
+    dated = events.withColumn("day", F.to_date("timestamp"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = dated.repartitionByRange(n, "day", "method_sig", "timestamp").sortWithinPartitions("day", "method_sig", "timestamp").write.partitionBy("day")
+    for c in LOOKED_UP:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.mode("overwrite").parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows").withColumn("file", F.col("_metadata.file_path"))
+    known = [f(c).alias(f"{name}_{c}") for c in (*LOOKED_UP, "timestamp") for name, f in (("least", F.min), ("most", F.max))]
+    rows.groupBy("file", "day").agg(*known, F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/files")  # a row for each file
+
+
+def find(spark: SparkSession, folder: str, column: str, value: str, days: tuple[str, str] | None = None) -> DataFrame:
+    """The rows with a value of one of ``LOOKED_UP``, in some days: only files whose bounds hold the value are opened, and of those the row groups whose Bloom filter does."""
+    if column not in LOOKED_UP:
+        raise ValueError(f"{column}: there is no index of it")
+    files = spark.read.parquet(f"{folder}/files").where(F.lit(value).between(F.col(f"least_{column}"), F.col(f"most_{column}")))
+    if days:
+        files = files.where(F.col("day").between(*(F.lit(d).cast("date") for d in days)))
+    paths = [r.file for r in files.select("file").collect()]
+    rows = spark.read.option("basePath", f"{folder}/rows")
+    whole = rows.parquet(*paths) if paths else rows.parquet(f"{folder}/rows").limit(0)
+    return whole.where(F.col(column) == value).select(*LOG_EVENTS)

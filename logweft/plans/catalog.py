@@ -8,8 +8,6 @@ lines.  Events are minutes apart, so spans of seconds become minutes or hours.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +19,7 @@ from ..functions.schema import LogSchema
 from ..functions.signals import RetrievalSignals
 from ..operators import coverage, detect, evidence, followup, profile, references, spans, tables
 from ..operators.gaps import minute
+from ..operators.tables import folder, stored
 from ..sources import files
 from . import sql as adhoc
 
@@ -81,23 +80,6 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
     return parse_lines(log_lines(spark, sf), SCHEMA)
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that all executors see; a temporary one only where Spark runs in this one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="logweft-")
-    return f"{base.rstrip('/')}/logs-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to a shared folder and read again."""
-    at = folder(df.sparkSession)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     return spans.request_documents(parsed(spark, sf), SIGNALS, keep=stored)
 

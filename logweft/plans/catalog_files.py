@@ -7,16 +7,17 @@ lines without a timestamp and lines over 2,000 characters.
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, rules
-from ..functions.parse import in_window, parse_lines, session_label
+from ..functions.parse import any_contains, in_window, parse_lines, session_label
 from ..functions.schema import detect_hybrid
 from ..operators import classify, coverage, detect, evidence, followup, profile, references, spans, tables
-from ..sources import files
+from ..sources import files, logs
 from ..streaming import monitor
 from . import sql as adhoc
 from .catalog import SCHEMA, SIGNALS, L, documents, events, folder, log_lines, metrics, query, requests, six, stored, table
@@ -67,7 +68,7 @@ def file_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def schemas(lines: DataFrame) -> dict[int, object]:
     """Each node's schema, from the first lines of its file."""
-    return {k: detect_hybrid(files.sample(lines.where(F.col("node") == k))) for k in range(NODES)}
+    return {k: detect_hybrid(found) for k, found in sorted(files.samples(lines, "node").items())}
 
 
 def file_parsed(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,7 +97,7 @@ def read_log_files(spark, sf):
     return file_lines(spark, sf).select("node", "line_no", F.md5(F.col("raw").cast("binary")).alias("raw_md5"))
 
 
-@query(f"WITH {X} SELECT node, CASE node {' '.join(f'WHEN {k} THEN {repr(f)}' for k, (_, f, _) in enumerate(rules.TIMESTAMPS))} END AS timestamp_fmt, CAST(0 AS BIGINT) AS thread_shape, bool_or(is_error AND false) OR true AS is_multiline, string_agg(DISTINCT CASE WHEN clean LIKE '%txId=%' THEN 'txId' WHEN clean LIKE '%sessionId=%' THEN 'sesId' END, ',' ORDER BY CASE WHEN clean LIKE '%txId=%' THEN 'txId' WHEN clean LIKE '%sessionId=%' THEN 'sesId' END DESC) AS session_keys FROM x WHERE line_no <= 400 GROUP BY node")
+@query(f"WITH {X} SELECT node, CASE node {' '.join(f'WHEN {k} THEN {repr(f)}' for k, (_, f, _) in enumerate(rules.TIMESTAMPS))} END AS timestamp_fmt, CAST(0 AS BIGINT) AS thread_shape, TRUE AS is_multiline, string_agg(DISTINCT CASE WHEN clean LIKE '%txId=%' THEN 'txId' WHEN clean LIKE '%sessionId=%' THEN 'sesId' END, ',' ORDER BY CASE WHEN clean LIKE '%txId=%' THEN 'txId' WHEN clean LIKE '%sessionId=%' THEN 'sesId' END DESC) AS session_keys FROM x WHERE line_no <= 400 GROUP BY node")
 def detect_log_formats(spark, sf):
     found = schemas(file_lines(spark, sf))
     rows = [(k, s.timestamp_fmt, rules.THREADS.index(s.thread_re), s.is_multiline, ",".join(name for _, name in s.session_keys)) for k, s in found.items()]
@@ -131,9 +132,10 @@ TEXTS = "SELECT node, string_agg(CASE WHEN a = z THEN CAST(a AS VARCHAR) ELSE a
 
 @query(f"WITH {X}, sev AS (SELECT * FROM x WHERE regexp_matches(clean, 'ERROR|FATAL|CRITICAL')), thr AS (SELECT * FROM x WHERE thread IS NOT NULL), r1 AS ({TEXTS.format(name='error_ranges', ranges=RANGES.format(of='sev'))}), r2 AS ({TEXTS.format(name='thread_ranges', ranges=RANGES.format(of='thr'))}) SELECT node, error_ranges, thread_ranges FROM r1 JOIN r2 USING (node)")
 def line_ranges(spark, sf):
-    one = F.struct("line_no", "clean")
-    rows = file_parsed(spark, sf).groupBy("node").agg(F.collect_list(one).alias("lines"), F.collect_list(F.when(F.col("thread").isNotNull(), F.col("line_no"))).alias("threads"))
-    return rows.select("node", spans.compact_ranges(spans.error_lines(F.col("lines"), SIGNALS)).alias("error_ranges"), spans.compact_ranges(F.col("threads")).alias("thread_ranges"))
+    rows = file_parsed(spark, sf).select("node", "line_no", "thread", "clean")
+    severe = rows.where(any_contains(F.col("clean"), rules.SEVERITIES))
+    texts = [spans.range_texts(spans.islands(part.select("node", "line_no"), ["node"], "line_no"), ["node"], name) for part, name in ((severe, "error_ranges"), (rows.where("thread is not null"), "thread_ranges"))]
+    return texts[0].join(texts[1], "node")
 
 
 @query(f"WITH {X} SELECT node, line_no FROM x WHERE ts IS NULL OR (ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-06 23:59:59.999999')")
@@ -169,6 +171,30 @@ def saved_tables(spark, sf):
     return log.groupBy("thread").agg(F.count("*").alias("n"), F.count_if("has_latency").alias("with_latency")).crossJoin(F.broadcast(met.agg(F.count("*").alias("metric_rows"))))  # one row
 
 
+# --- the log source with its index, and log events with a skip index ---
+
+def log_index(spark: SparkSession, sf: str, node: int, schema) -> str:
+    return logs.build_index(spark, f"{log_folder(spark, sf)}/node={node}", schema, f"{folder(spark)}/index", range_bytes=65_536)
+
+
+@query(f"WITH {X} SELECT node, line_no, ts, md5(raw) AS raw_md5 FROM x WHERE ts IS NULL OR (ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-05 01:00:00')")
+def log_source_window(spark, sf):
+    """An hour of six nodes through the source: only ranges that can hold it, or lines without a time, are read."""
+    parts = []
+    for k, schema in schemas(file_lines(spark, sf)).items():
+        rows = logs.read_window(spark, log_index(spark, sf, k, schema), schema, datetime(2024, 1, 5), datetime(2024, 1, 5, 1))
+        parts.append(rows.select(F.lit(k).alias("node"), "line_no", "ts", F.md5(F.col("raw").cast("binary")).alias("raw_md5")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"WITH {L} SELECT timestamp, thread, md5(raw_line) AS raw_md5 FROM log WHERE method_sig = 'com.shop.View.java:7' AND timestamp >= TIMESTAMP '2024-01-03' AND timestamp < TIMESTAMP '2024-01-21'")
+def indexed_lookup(spark, sf):
+    """All lines of one method in some days, by the skip index."""
+    at = folder(spark)
+    tables.save_indexed(events(spark, sf), at)
+    return tables.find(spark, at, "method_sig", "com.shop.View.java:7", ("2024-01-03", "2024-01-20")).select("timestamp", "thread", F.md5(F.col("raw_line").cast("binary")).alias("raw_md5"))
+
+
 # --- streams: the lines of six nodes, replayed in files, some of which bring lines of long ago ---
 
 SLICES = 5
@@ -283,14 +309,14 @@ u AS (SELECT *, row_number() OVER (PARTITION BY same ORDER BY rank) AS k FROM g)
 b AS (SELECT rank, row_id, '--- Request [score=' || printf('%.2f', score) || '] [REF_' || source_file || '_' || pk || '_' || rank || '] [source=' || CASE WHEN NOT seed THEN 'neighbour' WHEN sig THEN 'ranked:signal' ELSE 'ranked:fallback' END || '] [file=' || source_file || '] [request_key=' || CASE WHEN ev THEN 'error_line' ELSE pk END || '] [type=api_request] [lines ' || row_id || '-' || (row_id + 1) || '] [s -> e] ---' || chr(10) || 'Chunk Reference: [REF_' || source_file || '_' || pk || '_' || rank || ']' || chr(10) || 'Original Log Reference: ' || source_file || ', lines ' || row_id || '-' || (row_id + 1) || chr(10) AS head, shown FROM u WHERE same IS NULL OR k = 1)"""
 
 
-@query(EVIDENCE + " SELECT rank, row_id, md5(head) AS head_md5, length(shown) AS n_shown FROM b")
+@query(EVIDENCE + " SELECT rank, row_id, md5(head) AS head_md5, md5(array_to_string(list_transform(string_split(shown, chr(10)), lambda y: CASE WHEN contains(y, '%') OR contains(y, '+') THEN url_decode(replace(y, '+', ' ')) ELSE y END), chr(10))) AS body_md5 FROM b")
 def evidence_order(spark, sf):
-    """Ranks, headers, truncation and first-error-line repeats, the budget wide enough for all."""
+    """Ranks, headers, bodies as cut and decoded, and first-error-line repeats, the budget wide enough for all."""
     got = evidence.select_evidence(evidence_documents(spark, sf), max_chars=100_000_000)
     at = F.instr(F.col("block"), F.concat(F.lit("\nOriginal Log Reference: "), F.col("source_file")))
     head_end = F.instr(F.substring(F.col("block"), at + 1, F.lit(10_000)), F.lit("\n")) + at
-    undecoded = F.length("block") - head_end + F.when(F.contains("block", F.lit("TokenException:  key")), 2).otherwise(0)  # %41 became A
-    return got.select(F.col("rank").cast("long").alias("rank"), "row_id", F.md5(F.substring(F.col("block"), F.lit(1), head_end).cast("binary")).alias("head_md5"), undecoded.cast("long").alias("n_shown"))
+    body = F.substring(F.col("block"), head_end + 1, F.lit(1_000_000))
+    return got.select(F.col("rank").cast("long").alias("rank"), "row_id", F.md5(F.substring(F.col("block"), F.lit(1), head_end).cast("binary")).alias("head_md5"), F.md5(body.cast("binary")).alias("body_md5"))
 
 
 @query("WITH f AS (SELECT doc_id AS position, source AS source_file, CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END AS text FROM documents), b AS (SELECT position, chr(10) || chr(10) || repeat('=', 50) || chr(10) || '=== FILE: ' || source_file || ' | Category: api_request/x | Status: ok | Chunks: 3 | High-anomaly: 1 ===' || chr(10) || repeat('=', 50) || chr(10) || CASE WHEN length(text) > 6000 THEN substr(text, 1, 6000) || chr(10) || '... [Findings Truncated for Conciseness] ...' ELSE text END || chr(10) AS t FROM f WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AND position % 13 <> 0), r AS (SELECT *, coalesce(sum(length(t)) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b) SELECT position, md5(CASE WHEN length(t) > 600000 - before THEN substr(t, 1, CAST(600000 - before AS BIGINT)) || chr(10) || '... [Evidence Truncated — Budget Limit Reached] ...' ELSE t END) AS text_md5 FROM r WHERE before <= 600000")
@@ -335,9 +361,8 @@ def source_caps_unknown(spark, sf):
 
 @query("WITH r AS (SELECT doc_id, n_chars, '[' || doc_id || '] (api_ref) ' || substr(text, 1, 900) AS t, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents), s AS (SELECT *, sum(length(t) + 2) OVER (ORDER BY k) AS used FROM r WHERE k <= 12) SELECT md5(string_agg(t, chr(10) || chr(10) ORDER BY k)) AS block_md5 FROM s WHERE used <= 5000")
 def followup_block(spark, sf):
-    rows = documents(spark, sf).orderBy(F.desc("n_chars"), "doc_id").limit(12).collect()
-    block = followup.evidence_block([{"item_id": r.doc_id, "source": "api_ref", "snippet": r.text} for r in rows], cap=5_000)
-    return spark.createDataFrame([(block,)], "block string").select(F.md5(F.col("block").cast("binary")).alias("block_md5"))
+    items = documents(spark, sf).select(F.col("doc_id").alias("item_id"), F.lit("api_ref").alias("source"), F.col("text").alias("snippet"), "n_chars").orderBy(F.desc("n_chars"), "item_id").limit(12)
+    return followup.block_of(items, [F.desc("n_chars"), F.asc("item_id")], cap=5_000).select(F.md5(F.col("block").cast("binary")).alias("block_md5"))
 
 
 # --- detectors with their own order and limit, supplements, scores ---
@@ -440,8 +465,8 @@ def sql_time_buckets(spark, sf):
 
 @query(f"WITH {L} SELECT 'log_events: ' || (SELECT count(*) FROM log) || ' rows, ' || (SELECT strftime(min(timestamp), '%Y-%m-%d') FROM log) AS bounds")
 def sql_bounds(spark, sf):
-    text = adhoc.observation_bounds(events(spark, sf), tables.wide(metrics(spark, sf)))
-    return spark.createDataFrame([(text,)], "t string").select(F.regexp_extract("t", r"^(log_events: \d+ rows, \d{4}-\d\d-\d\d)", 1).alias("bounds"))
+    said = adhoc.bounds(events(spark, sf), tables.wide(metrics(spark, sf)))
+    return said.select(F.regexp_extract("bounds", r"^(log_events: \d+ rows, \d{4}-\d\d-\d\d)", 1).alias("bounds"))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE n_chars / 1000.0 > 2.5) AS high FROM documents")

@@ -107,16 +107,17 @@ def analyze_file(spark: SparkSession, path: str, *, mode: str = "api_request", c
     progress(f"Reading {out.name}")
     signals, context = signals or RetrievalSignals(), context or QueryContext()
     out.schema, parsed = parsed_file(spark, path, ask)
-    seen = tables.coverage(parsed, "ts").first()
-    out.reason = validate(context, seen.first_seen, seen.last_seen)
-    if out.reason != "ok":
-        out.status = "invalid_window"
-        return out
     out.subcategory = signals.subcategory(context.text)
-    if folder:
-        out.artifacts = artifact_paths(folder, out.name)
     with tables.Kept() as keep:
-        parsed = keep(parsed.where(in_window(F.col("ts"), context.start, context.end)))
+        parsed = keep(parsed)
+        seen = tables.coverage(parsed, "ts").first()  # the one scan that fills what is kept
+        out.reason = validate(context, seen.first_seen, seen.last_seen)
+        if out.reason != "ok":
+            out.status = "invalid_window"
+            return out
+        if folder:
+            out.artifacts = artifact_paths(folder, out.name)
+        parsed = parsed.where(in_window(F.col("ts"), context.start, context.end))
         try:
             if mode == "server_monitoring":
                 out.state = server_workflow(parsed, path=path, ticket=ticket, ask=ask, progress=progress, artifacts=out.artifacts)
@@ -202,7 +203,8 @@ def server_workflow(parsed: DataFrame, *, path: str = "", ticket: str = "", ask:
     with tables.Kept() as keep:
         events, metrics = tables.log_events(parsed), tables.server_metrics(parsed)
         if artifacts:
-            tables.save(events, metrics, artifacts["tables"])
+            seen = tables.save(events, metrics, artifacts["tables"])
+            s.log_rows, s.metric_rows = seen["log_events"]["n"], seen["server_metrics"]["n"]
             events, metrics = tables.load(spark, artifacts["tables"])
         else:
             events, metrics = keep(events), keep(metrics)
@@ -220,7 +222,8 @@ PROGRESS = {"_load": "Loading", "_diagnose": "Running diagnostics", "_classify":
 
 def _load(spark, s: WorkflowState, parsed, events, metrics, ask) -> None:
     s.candidates = [r.asDict() for r in tables.signal_candidates(parsed).collect()]
-    s.log_rows, s.metric_rows = events.count(), metrics.count()
+    if not s.log_rows:  # else observed while the tables were written
+        s.log_rows, s.metric_rows = events.count(), metrics.count()
     s.note("initialize", "loaded", lines=s.log_rows, metrics=s.metric_rows)
 
 

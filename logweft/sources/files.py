@@ -14,6 +14,8 @@ from ..functions import rules
 
 #: File splits whose starts are broadcast (some 300 bytes each).
 SPLITS = 200_000
+#: Lines of a file that meet context ranges in one task.
+BLOCK_LINES = 10_000
 LINES = "source_path string, source_file string, line_no bigint, raw string"
 
 
@@ -56,13 +58,21 @@ def sample(lines: DataFrame, n: int = 1_200) -> list[str]:
     return [r.raw for r in lines.where(F.col("line_no") <= n).orderBy("source_path", "line_no").limit(n).select("raw").collect()]
 
 
+def samples(lines: DataFrame, key: str, n: int = 1_200) -> dict:
+    """The first lines of several files by ``key``, in one job: a bounded number of each."""
+    out: dict = {}
+    for r in lines.where(F.col("line_no") <= n).select(key, "line_no", "raw").orderBy(key, "line_no").collect():
+        out.setdefault(r[0], []).append(r.raw)
+    return out
+
+
 def window_around(lines: DataFrame, target: int, radius: int = 5) -> DataFrame:
     """Lines within ``radius`` of a line, marked; empty if the file ends before it."""
     if target < 1 or radius < 0:
         raise ValueError("the line starts at 1 and the radius at 0")
     near = lines.where(F.col("line_no").between(target - radius, target + radius))
     there = near.groupBy("source_path").agg(F.max("line_no").alias("_last")).where(F.col("_last") >= target)
-    return near.join(F.broadcast(there), "source_path").select("source_path", "line_no", "raw", (F.col("line_no") == target).alias("is_target"))
+    return near.join(there, "source_path").select("source_path", "line_no", "raw", (F.col("line_no") == target).alias("is_target"))
 
 
 def term_hits(text: Column, terms: list[str]) -> Column:
@@ -73,15 +83,27 @@ def term_hits(text: Column, terms: list[str]) -> Column:
     return out
 
 
+def _near(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Lines within the ranges of ``wanted`` (_path, _from, _to, more): a join on the file and the block of lines.
+
+    A range is told to every block that it touches, so a file's lines meet it
+    block by block, in as many tasks as the file has blocks.
+    """
+    size = BLOCK_LINES
+    told = wanted.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_from") / size), F.floor(F.col("_to") / size))))
+    dealt = lines.withColumn("_b", F.floor(F.col("line_no") / size))
+    return dealt.join(told, (F.col("source_path") == F.col("_path")) & (F.col("_b") == F.col("_block")) & F.col("line_no").between(F.col("_from"), F.col("_to"))).drop("_path", "_b", "_block", "_from", "_to")
+
+
 def keyword_windows(lines: DataFrame, terms: list[str], *, before: int = 2, after: int = 2, most: int = 3) -> DataFrame:
     """(source_path, line_no, content): the first hits of each file with their context.
 
-    Only the chosen hits (a few per file) take part in the range join.
+    The first hits are found by a bounded rank, and only they take part in the join.
     """
     order = Window.partitionBy("source_path").orderBy("line_no")
-    hits = lines.where(term_hits(F.col("raw"), terms) > 0).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
-    hits = hits.select(F.col("source_path").alias("_path"), F.col("line_no").alias("_hit"))
-    near = lines.join(hits, (F.col("source_path") == F.col("_path")) & F.col("line_no").between(F.col("_hit") - before, F.col("_hit") + after))
+    hits = lines.where(term_hits(F.col("raw"), terms) > 0).select("source_path", "line_no").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
+    hit = F.col("line_no")
+    near = _near(lines, hits.select(F.col("source_path").alias("_path"), F.greatest(hit - before, F.lit(1)).alias("_from"), (hit + after).alias("_to"), hit.alias("_hit")))
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"]), "\n")
     return near.groupBy("source_path", F.col("_hit")).agg(content.alias("content")).withColumnRenamed("_hit", "line_no")
 
@@ -89,7 +111,10 @@ def keyword_windows(lines: DataFrame, terms: list[str], *, before: int = 2, afte
 def edges(lines: DataFrame, n: int = 7) -> DataFrame:
     """The first and last ``n`` lines of each file: what is shown where no keyword hits."""
     last = lines.groupBy("source_path").agg(F.max("line_no").alias("_last"))
-    return lines.join(F.broadcast(last), "source_path").where((F.col("line_no") <= n) | (F.col("line_no") > F.col("_last") - n)).drop("_last")
+    tail = F.col("_last") - n + 1
+    ends = F.explode(F.when(tail > n + 1, F.array(F.struct(F.lit(1).alias("a"), F.lit(n).alias("z")), F.struct(tail.alias("a"), F.col("_last").alias("z")))).otherwise(F.array(F.struct(F.lit(1).alias("a"), F.col("_last").alias("z")))))
+    wanted = last.select(F.col("source_path").alias("_path"), ends.alias("_e")).select("_path", F.col("_e.a").alias("_from"), F.col("_e.z").alias("_to"))
+    return _near(lines, wanted)
 
 
 # --- tickets and artifacts ---

@@ -1,6 +1,6 @@
 import importlib
 import json
-import time
+import random
 
 import duckdb
 import pandas as pd
@@ -8,11 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from logweft.functions import rules
 from logweft.functions.dates import query_context
+from logweft.functions.parse import in_window, parse_lines
 from logweft.functions.schema import detect
+from logweft.functions.signals import RetrievalSignals
 from logweft.operators import tables
 from logweft.plans import catalog, catalog_files, sql, workflow  # noqa: F401  importing registers the queries over files
-from logweft.sources import files, prompts
+from logweft.sources import files, logs, prompts
 from logweft.streaming import monitor
 
 SF = "/root/testdata/sf0.001"
@@ -263,18 +266,134 @@ def test_prompts(tmp_path):
         prompts.render("{{x}}")
 
 
-def test_streams(spark, tmp_path, log):
+def test_streams_late_lines_and_restart(spark, tmp_path):
+    """Hours in append mode with lines that come too late, and requests as keyed state over a restart, against plain versions."""
+    from datetime import datetime, timedelta
+
+    spark.conf.set(*monitor.STORE)
+    r, start = random.Random(3), datetime(2024, 1, 1)
+    marks = [" - entry", " - exit", " x", " x", " ERROR boom"]
+    lines = [(k, start + timedelta(minutes=7 * k), f"t{r.randint(0, 2)}", r.choice(marks)) for k in range(400)]
+    files = [[x for x in lines if x[0] // 100 == f and x[0] % 41] for f in range(4)]
+    files[3] += [x for x in lines if not x[0] % 41 and x[0] < 300]  # from the first files, in the last one
+    files[3] += [x for x in lines if not x[0] % 41 and x[0] >= 300]
     folder = tmp_path / "in"
+    schema = "source_path string, thread string, ts timestamp_ntz, line_no long, clean string"
+
+    def arrive(rows):
+        spark.createDataFrame([("f", t, at, k, "line" + mark) for k, at, t, mark in rows], schema).coalesce(1).write.mode("append").parquet(str(folder))
+
+    def ended(what, like):
+        q = monitor.start_into(like, str(tmp_path / what), str(tmp_path / f"cp-{what}"))
+        q.awaitTermination()
+        return q
+
+    for rows in files[:2]:
+        arrive(rows)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    hours = monitor.minute_counts(source, late="2 hours", width="1 hour")
+    requests = monitor.open_requests(source, RetrievalSignals(), late="40 days", idle="400 days")
+    ended("requests", requests)
+    assert not monitor.emitted(spark, str(tmp_path / "requests"), requests).count()  # nothing is certain yet
+    for rows in [*files[2:], [(10**6, start + timedelta(days=1000), "end", " x")]]:
+        arrive(rows)
+    ended("requests", requests)
+    want, state = set(), {}
+    for k, _, t, mark in sorted(lines):
+        if mark == " - entry":
+            if t in state:
+                want.add((t, *state.pop(t), True))
+            state[t] = [k, k, 0]
+        if t in state:
+            state[t][1:] = [k, state[t][2] + 1]
+            if mark == " - exit":
+                want.add((t, *state.pop(t), False))
+    want |= {(t, *x, True) for t, x in state.items()}
+    assert {(x.thread, x.start_line, x.end_line, x.lines, x.unmatched_exit) for x in monitor.emitted(spark, str(tmp_path / "requests"), requests).collect()} == want
+
+    q = ended("hours", hours)
+    newest, counts, lost = [None] * 5, {}, 0
+    for b, rows in enumerate(files):
+        newest[b] = max([x[1] for x in rows] + ([newest[b - 1]] if b else []))
+        for _, at, _, _ in rows:
+            hour = at.replace(minute=0)
+            if b >= 2 and hour + timedelta(hours=1) <= newest[b - 2] - timedelta(hours=2):
+                lost += 1
+            else:
+                counts[hour] = counts.get(hour, 0) + 1
+    got = {x.minute: x.lines for x in monitor.emitted(spark, str(tmp_path / "hours"), hours).collect()}
+    assert got == counts and lost and monitor.dropped(q) == lost
+    number = max(int(p.name.split("=")[1]) for p in (tmp_path / "hours").iterdir() if p.name.startswith("batch="))
+    before = monitor.emitted(spark, str(tmp_path / "hours"), hours).count()
+    again = spark.read.parquet(str(tmp_path / "hours" / f"batch={number}")).collect()
+    spark.createDataFrame(again, hours.schema).write.mode("overwrite").parquet(str(tmp_path / "hours" / f"batch={number}"))  # a batch that is repeated
+    assert monitor.emitted(spark, str(tmp_path / "hours"), hours).count() == before
+
+
+def test_log_source(spark, tmp_path):
+    """Lines of ranges of any size, numbered as read_lines does; a window opens only its ranges; appended lines arrive as a stream."""
+    from datetime import datetime
+
+    r = random.Random(11)
+    text = "".join((f"2026-02-25 {10 + k // 60:02d}:{k % 60:02d}:00.000 [http-nio-80-exec-1] " if r.random() < 0.97 or k > 300 else "loose ") + "x" * r.choice([0, 3, 200]) + "é" + r.choice(["\n", "\r\n", "\n\n", "\r"]) for k in range(600))
+    (tmp_path / "a.log").write_bytes(b"\xef\xbb\xbf" + text.encode())
+    (tmp_path / "b.log").write_bytes(b"no end \xff of line")
+    (tmp_path / "c.log").write_bytes(b"")
+    (tmp_path / "d.bin").write_bytes(b"no log\n")
+    logs.register(spark)
+    want = sorted((x.source_path.rsplit("/", 1)[-1], x.line_no, x.raw) for x in files.read_lines(spark, [str(tmp_path / f"{n}.log") for n in "abc"]).collect())
+    schema = detect(text.splitlines())
+    for size in (1, 7, 100, 5_000, 10**7):
+        if size >= 7:
+            index = logs.build_index(spark, str(tmp_path), schema, str(tmp_path / f"index{size}"), size)
+            got = sorted((x.source_file, x.line_no, x.raw) for x in logs.read_indexed(spark, index).collect())
+            assert got == want, size
+        lines = [x for a in range(0, len(text.encode()) + 3, size * 97) for part in logs.lines_of(str(tmp_path / "a.log"), a, a + size * 97) for x in part]
+        assert len(lines) == sum(f == "a.log" for f, _, _ in want)
+    index = str(tmp_path / "index5000")
+    start, end = datetime(2026, 2, 25, 16, 0), datetime(2026, 2, 25, 16, 30)
+    window = logs.read_window(spark, index, schema, start, end)
+    rows = {(x.source_file, x.line_no) for x in window.collect()}
+    whole = parse_lines(logs.read_indexed(spark, index), schema).where(in_window(F.col("ts"), start, end))
+    assert rows == {(x.source_file, x.line_no) for x in whole.collect()}
+    known = spark.read.parquet(index).collect()
+    near = [x for x in known if x.first_ts and x.last_ts >= start and x.first_ts <= end]
+    only = logs.read_indexed(spark, index, (F.col("last_ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("first_ts") <= F.lit(end).cast("timestamp_ntz")))
+    assert only.rdd.getNumPartitions() == len(near) <= 3 < len(known) and only.count() == sum(x.lines for x in near)
+    assert logs.read_indexed(spark, index).count() == len(want)
+
+    folder = tmp_path / "grow"
     folder.mkdir()
-    (folder / "a.log").write_text("\n".join(LOG))
-    parsed = monitor.read_log_stream(spark, str(folder), detect(LOG))
-    for name, df, mode in (("minutes", monitor.minute_counts(parsed), "complete"), ("requests", monitor.open_requests(parsed, workflow.RetrievalSignals()), "append")):
-        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
-        until = time.time() + 120
-        while q.isActive and time.time() < until and not spark.table(name).count():  # one with a timeout goes on waiting for it after its rows are out
-            time.sleep(0.2)
-        if q.exception():
-            raise q.exception()
+    stream = spark.readStream.format("logs").option("path", str(folder)).option("rangeBytes", "64").load().select("source_file", "raw")
+    for part, upto in (("one\ntwo\nthr", ["one", "two"]), ("ee\nfour\n", ["one", "two", "three", "four"])):
+        with open(folder / "g.log", "a") as f:
+            f.write(part)
+        q = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "grown")).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(str(tmp_path / f"got/batch={n}"))).trigger(processingTime="0 seconds").start()
+        q.processAllAvailable()
         q.stop()
-    assert sum(r.lines for r in spark.table("minutes").collect()) == 7
-    assert [(r.lines, r.unmatched_exit) for r in spark.table("requests").collect()] in ([(2, False)], [(3, False)])
+        assert sorted(x.raw for x in spark.read.parquet(str(tmp_path / "got/batch=*")).collect()) == sorted(upto)
+
+
+def test_skip_index(spark, tmp_path):
+    """A point lookup opens only files that can hold the value, and of those only row groups whose Bloom filter does."""
+    rows = spark.range(20_000).select(F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id)").alias("timestamp"), F.concat(F.lit("m"), F.col("id") % 50).alias("method_sig"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("job"), F.col("id") % 70)).alias("scheduled_op_name"), F.lit("t").alias("thread"), F.col("id").cast("string").alias("raw_line"), *(F.lit(False).alias(c) for c in rules.FLAGS), F.lit(1).cast("long").alias("latency_ms"), F.lit(1).cast("long").alias("result_count"))
+    tables.save_indexed(rows.select(*tables.LOG_EVENTS), str(tmp_path))
+    got = tables.find(spark, str(tmp_path), "method_sig", "m7", ("2024-01-02", "2024-01-09"))
+    assert {int(x.raw_line) for x in got.collect()} == {k for k in range(7, 20_000, 50) if 1440 <= k < 1440 * 9}
+    every = spark.read.parquet(f"{tmp_path}/files")
+    hit = tables.find(spark, str(tmp_path), "method_sig", "m7")
+    assert {int(x.raw_line) for x in hit.collect()} == set(range(7, 20_000, 50)) and len(hit.inputFiles()) < every.count()
+    assert {int(x.raw_line) for x in tables.find(spark, str(tmp_path), "scheduled_op_name", "job9").collect()} == {k for k in range(20_000) if k % 3 == 0 and k % 70 == 9}
+    assert tables.find(spark, str(tmp_path), "method_sig", "zzz").count() == 0 and tables.find(spark, str(tmp_path), "method_sig", "m7x").count() == 0
+    with pytest.raises(ValueError):
+        tables.find(spark, str(tmp_path), "thread", "t")
+
+    def scanned(df, name):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply(name).value()
+
+    absent = tables.find(spark, str(tmp_path), "method_sig", "m7x")  # between m7 and m8: files may hold it by their bounds, no row group does
+    assert scanned(hit, "numFiles") < every.count() and 400 <= scanned(hit, "numOutputRows") < 20_000
+    assert scanned(absent, "numOutputRows") == 0 < scanned(absent, "numFiles")
+
+

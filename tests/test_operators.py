@@ -219,6 +219,48 @@ def test_entities_against_fold(spark):
     assert profile.entities(df, schema, most=3).count() == 3
 
 
+def test_first_of_two_keys_against_fold(spark):
+    """Rows that share one key or the other, in chains, so that one that goes leaves room for a later one."""
+    r = random.Random(6)
+    for n in (1, 8, 60, 200):
+        rows = [(k, r.randint(0, n // 2), r.randint(0, n // 2)) for k in range(n)] + [(n + k, 10**6 + k // 2, 10**7 + (k + 1) // 2) for k in range(12)]
+        seen_a, seen_b, want = set(), set(), []
+        for p, a, b in rows:
+            if a not in seen_a and b not in seen_b:
+                seen_a.add(a)
+                seen_b.add(b)
+                want.append(p)
+        df = spark.createDataFrame(rows, "p long, a long, b long")
+        assert sorted(x.p for x in profile.first_of_two(df, "a", "b", "p").collect()) == want
+        assert sorted(x.p for x in profile.first_of_two(df, "a", "b", "p", 5).collect())[:5] == want[:5]
+    assert profile.first_of_two(df.limit(0), "a", "b", "p").count() == 0
+
+
+def test_total_before(spark):
+    r = random.Random(2)
+    rows = [(k, r.randint(0, 50)) for k in r.sample(range(10_000), 300)]
+    got = {x.p: x.t for x in gaps.total_before(spark.createDataFrame(rows, "p long, n long"), "p", "n", "t").collect()}
+    assert got == {p: sum(n for q, n in rows if q < p) for p, _ in rows}
+
+
+@pytest.mark.parametrize("block", [1, 3, 10_000])
+def test_context_over_block_edges(spark, monkeypatch, block):
+    from logweft.sources import files
+
+    monkeypatch.setattr(files, "BLOCK_LINES", block)
+    r = random.Random(block)
+    lines = [(f"/{p}", k, "hit" if r.random() < 0.2 else "x") for p in "ab" for k in range(1, 40)] + [("/c", k, "x") for k in range(1, 10)] + [("/d", 1, "hit")]
+    df = spark.createDataFrame(lines, "source_path string, line_no long, raw string")
+    got = {(x.source_path, x.line_no): x.content for x in files.keyword_windows(df, ["HIT"]).collect()}
+    want = {}
+    for p in "abd":
+        own = {k: raw for q, k, raw in lines if q == f"/{p}"}
+        for k in [k for k, raw in own.items() if raw == "hit"][:3]:
+            want[f"/{p}", k] = "\n".join(own[j] for j in range(k - 2, k + 3) if j in own)
+    assert got == want
+    assert sorted((x.source_path, x.line_no) for x in files.edges(df, 5).collect()) == sorted((p, k) for p, k, _ in lines if k <= 5 or k > {"/a": 39, "/b": 39, "/c": 9, "/d": 1}[p] - 5)
+
+
 def seed_tables(spark):
     events = spark.sql("""select timestamp_ntz'2026-02-25 15:50:00' + make_dt_interval(0, 0, 0, s) as timestamp, 't' as thread, raw as raw_line, false has_latency, false has_jdbc, false has_ldap, false has_hibernate, false has_connection_wait,
         false has_staleobject, false has_sql, c > 0 has_count_rows, true has_entry_authz, false has_rest, false has_scheduled, 'A:1' method_sig, cast(null as bigint) latency_ms, nullif(c, 0) result_count, cast(null as string) scheduled_op_name
