@@ -110,19 +110,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def running(numbers: Column, levels: int = 15) -> Column:
+def running(numbers: Column, block: int = 256) -> Column:
     """The running sums of an array of numbers, each with all before it.
 
-    Level k adds to every place the three that are 4^k, 2 * 4^k and 3 * 4^k
-    before it, so n places take log4(n) levels of work n each; an array that is
-    short ends early.  15 levels are enough for a billion places.
+    Blocks are summed apart and then moved on by what comes before them: what
+    is copied on the way grows with the block and with the number of blocks,
+    not with the square of the numbers, and the expression is a small one.
     """
-    def level(k: int, sums: Column) -> Column:
-        step = 4**k
-        if k == levels:
-            return sums
-        before = lambda i, m: F.when(i >= m * step, F.get(sums, i - m * step)).otherwise(0)
-        added = F.transform(sums, lambda x, i: x + before(i, 1) + before(i, 2) + before(i, 3))
-        return F.when(F.size(sums) > step, let(added, lambda a: level(k + 1, a))).otherwise(sums)
-
-    return let(F.transform(numbers, lambda x: x.cast("bigint")), lambda a: level(0, a))
+    empty = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("sums"))
+    first = F.sequence(F.lit(0), F.size(numbers) - 1, F.lit(block))  # of each block
+    blocks = F.transform(first, lambda i: F.aggregate(F.slice(numbers, i + 1, F.lit(block)), empty, lambda a, x: F.struct((a["n"] + x).alias("n"), F.array_append(a["sums"], a["n"] + x).alias("sums"))))
+    moved = F.aggregate(blocks, empty, lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), F.concat(a["sums"], F.transform(b["sums"], lambda x: x + a["n"])).alias("sums")))
+    return F.when(F.size(numbers) == 0, F.array().cast("array<bigint>")).otherwise(moved["sums"])
