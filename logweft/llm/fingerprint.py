@@ -17,8 +17,10 @@ import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DateType, NumericType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
+from ..operators import gaps
 from .common import let
 
 BINS_LOG2, BITS, WORDS = 7, 8, 5
@@ -91,27 +93,42 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("_id"), packed(bits(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("fingerprint")).withColumnRenamed("_id", id_col)
 
 
+def ranges_of(rows: DataFrame, column: str, ranges: int) -> Column:
+    """Which of about ``ranges`` ranges of a column of any ordered type a row is in, counted from 0; nulls are in -1.
+
+    Numbers and times are cut at approximate quantiles, other types at the
+    values of a random sample of some 20 for each range, which alone comes to the driver.
+    """
+    kind = rows.schema[column].dataType
+    if isinstance(kind, (NumericType, TimestampType, TimestampNTZType, DateType)):
+        place = gaps.place(rows.where(F.col(column).isNotNull()), column, ranges)
+    else:
+        n = rows.count()
+        drawn = [r[0] for r in rows.where(F.col(column).isNotNull()).select(column).sample(min(1.0, 20 * ranges / max(n, 1)), 7).distinct().orderBy(column).collect()]
+        cuts = F.array(*map(F.lit, [drawn[k * len(drawn) // ranges] for k in range(1, ranges)] if drawn else [])).cast(ArrayType(kind))
+        onward = lambda at, step: F.when((at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1) <= F.col(column)), at + step).otherwise(at)
+        place = F.aggregate(F.array(*(F.lit(2**k) for k in range(ranges.bit_length(), -1, -1))), F.lit(0), onward)
+    return F.when(F.col(column).isNull(), -1).otherwise(place)
+
+
 def with_next(rows: DataFrame, id_col: str, carried: list[str], partitions: int) -> DataFrame:
     """``rows`` with next_<c> for each carried column: of the row with the next id, and after the last of the first.
 
-    Ids are cut into ranges by approximate quantiles, rows are shuffled once
-    by range, and a window runs inside each range; only a range's first row
-    (one per range) travels to the range before.  Nulls come first; rows with
-    one id are ordered by the carried columns.
+    Rows are shuffled once by ranges of ids, and a window runs inside each
+    range; the last row of a range takes the first of the next one, which is
+    told by the ranges' numbers.  Nulls come first; rows with one id are
+    ordered by the carried columns.
     """
-    spark = rows.sparkSession
-    cuts = rows.select(F.percentile_approx(F.col(id_col), [i / (4 * partitions) for i in range(1, 4 * partitions)], 20_000)).first()[0] or []
-    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
-    place = F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(id_col))), F.lit(-1))
-    ranged = rows.withColumn("_range", F.when(F.col(id_col).isNull(), -1).otherwise(place)).repartition(partitions, "_range")
+    place = ranges_of(rows, id_col, 4 * partitions)
+    ranged = rows.withColumn("_range", place).repartition(partitions, "_range")
     order = [F.asc_nulls_first(id_col), *(F.asc_nulls_first(c) for c in carried)]
     inside = Window.partitionBy("_range").orderBy(*order)
     held = F.struct(*carried)
     led = ranged.withColumns({"_next": F.lead(held).over(inside), "_first": F.row_number().over(inside) == 1})
-    firsts = led.where("_first").select("_range", held.alias("_held"))
-    every = Window.orderBy("_range")  # one row for each range
-    ring = firsts.select("_range", F.coalesce(F.lead("_held").over(every), F.first("_held").over(every)).alias("_edge"))
-    joined = led.join(ring, "_range").withColumn("_next", F.coalesce("_next", "_edge"))
+    every = Window.orderBy("_range")  # the numbers of the ranges, no texts
+    ring = rows.select(place.alias("_range")).distinct().select("_range", F.coalesce(F.lead("_range").over(every), F.first("_range").over(every)).alias("_after"))
+    edges = led.where("_first").select(F.col("_range").alias("_after"), held.alias("_edge")).join(ring, "_after").select("_range", "_edge")
+    joined = led.join(edges, "_range").withColumn("_next", F.coalesce("_next", "_edge"))
     return joined.select(*rows.columns, *(F.col("_next")[c].alias(f"next_{c}") for c in carried))
 
 
@@ -120,7 +137,11 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     The edited text has its last quarter (rounded down, code points) replaced
     by the first as many of the next document by ascending id; after the last
-    comes the first, and a lone document is its own next.
+    comes the first, and a lone document is its own next.  Ids may be of any
+    type that can be ordered; null ids come first, rows that share an id go by
+    their texts, so repeated rows are each other's next.  Null texts are
+    empty, and have the fingerprint of an empty text.  An empty table gives an
+    empty one.  Other columns are not read, so they cannot clash.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
