@@ -56,8 +56,8 @@ class WindowSet:
 
     def __init__(self, items: list[tuple[str, str | None]], width: int):
         self.items = [(i, w) for i, text in items if (w := words(text))]
-        #: By length in words: the windows' hashes, ascending, and the item and place of each.
-        self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: By length in words: hashes of the different windows, ascending, an item and place of each, and all items of those that several share.
+        self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, list[str]]]] = {}
         found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for k, (_, w) in enumerate(self.items):
             n = min(width, len(w))
@@ -66,7 +66,22 @@ class WindowSet:
         for n, parts in found.items():
             h, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(h, kind="stable")
-            self.by_width[n] = h[order], item[order], place[order]
+            self.by_width[n] = self._different(n, h[order], item[order], place[order])
+
+    def _different(self, n: int, h: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, list[str]]]:
+        """One entry for each different window of ``n`` words, whatever the number of items that hold it."""
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        ends = np.append(starts[1:], len(h))
+        kept, shared = list(starts[ends - starts == 1]), {}
+        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+            groups: dict[tuple, list[int]] = {}
+            for k in range(a, b):
+                groups.setdefault(tuple(self.items[item[k]][1][place[k] : place[k] + n]), []).append(k)
+            for ks in groups.values():
+                kept.append(ks[0])
+                shared[ks[0]] = sorted({self.items[item[k]][0] for k in ks})
+        at = np.sort(np.array(kept, np.int64))
+        return h[at], item[at], place[at], {k: shared[old] for k, old in enumerate(at.tolist()) if old in shared}
 
     def scan(self, w: list[bytes]) -> tuple[list[list[int]], list[str]]:
         """The hit word spans [start, end), merged, and the items whose windows occur."""
@@ -75,22 +90,23 @@ class WindowSet:
         if not w or not self.by_width:
             return [], []
         own = np.fromiter(map(HASHES.__getitem__, w), np.uint64, len(w))
-        for n, (h, item, place) in self.by_width.items():
+        for n, (h, item, place, shared) in self.by_width.items():
             if len(w) < n:
                 continue
             x = window_hashes(own, n)
             lo = np.searchsorted(h, x)
+            met: set[int] = set()
             for a in np.flatnonzero(h[np.minimum(lo, len(h) - 1)] == x).tolist():
-                hit, window, k = False, w[a : a + n], int(lo[a])
-                while k < len(h) and h[k] == x[a]:  # one window of many items
+                window, k = w[a : a + n], int(lo[a])
+                while k < len(h) and h[k] == x[a]:  # different windows of one hash
                     name, v = self.items[item[k]]
-                    if name not in items or not hit:
-                        if v[place[k] : place[k] + n] == window:
-                            hit = True
-                            items.add(name)
+                    if v[place[k] : place[k] + n] == window:
+                        spans.append((a, a + n))
+                        if k not in met:
+                            met.add(k)
+                            items.update(shared.get(k, (name,)))
+                        break
                     k += 1
-                if hit:
-                    spans.append((a, a + n))
         return merged(spans), sorted(items)
 
 

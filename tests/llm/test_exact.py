@@ -21,6 +21,15 @@ def rows_of(df):
     return [tuple(r) for r in df.collect()]
 
 
+def test_running_sums(spark):
+    from logweft.llm.common import running
+
+    r = random.Random(1)
+    for n in (0, 1, 5, 255, 256, 257, 1000, 20_000):
+        x = [r.randint(0, 9) for _ in range(n)]
+        assert spark.createDataFrame([(x,)], "x array<int>").select(running(F.col("x"))).first()[0] == list(itertools.accumulate(x))
+
+
 # --- 1 ---
 
 def shingle_set(t):
@@ -598,3 +607,28 @@ def test_bpe_as_the_library(spark):
 def test_digest_is_plain_sha256(spark):
     got = spark.range(1).select(F.sha2(F.lit("é").cast("binary"), 256)).first()[0]
     assert got == hashlib.sha256("é".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "timestamp_ntz", "date"])
+def test_next_document_for_ids_of_any_type(spark, kind):
+    """The ring of documents over many ranges, more than there are rows, with null and repeated ids."""
+    r = random.Random(kind)
+    cast = {"string": "concat('d', lpad(string(i), 4, '0'))", "int": "int(i)", "timestamp_ntz": "timestamp_ntz'2024-01-01' + make_dt_interval(0, int(i))", "date": "date_add(date'2024-01-01', int(i))"}[kind]
+    for n in (1, 2, 90):
+        rows = [(None if i % 31 == 5 else i // 2 * 2 if i % 10 == 3 else i, f"text {i} " + " ".join(make_words(i, 12))) for i in range(n)]
+        r.shuffle(rows)
+        df = spark.createDataFrame(rows, "i long, text string").select(F.expr(f"if(i is null, null, {cast})").alias("doc_id"), "text", F.lit(1).alias("bits"))
+        order = [t for _, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))]
+        want = [t[: len(t) - len(t) // 4] + order[(k + 1) % len(order)][: len(t) // 4] for k, t in enumerate(order)]
+        assert sorted(x.edited for x in fingerprint.compare_edited(df).collect()) == sorted(want), (kind, n)
+
+
+def test_window_of_many_items_is_one_entry():
+    shared = " ".join(make_words(3, 30))
+    items = [(f"i{k}", shared + (f" own{k} " + " ".join(make_words(100 + k, 12)) if k % 3 else "")) for k in range(50)] + [("i0", shared), ("short", "a b c"), ("short2", "a b c")]
+    table = decontam.WindowSet(items, 10)
+    h, _, _, shared_by = table.by_width[10]
+    assert len(h) == len({tuple(w[a : a + 10]) for _, w in table.items if len(w) >= 10 for a in range(len(w) - 9)})
+    assert sum(len(x) == 50 for x in shared_by.values()) == 21
+    spans, found = table.scan(decontam.words("x " + shared + " y a b c"))
+    assert found == sorted({f"i{k}" for k in range(50)} | {"short", "short2"}) and spans == [[1, 31], [32, 35]]
