@@ -65,8 +65,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.train(secret_scan.labelled_findings(spark))
-    found = secret_scan.find_secrets(read(spark, sf_dir, "documents"), forest, path_col="source")
+    docs = read(spark, sf_dir, "documents")
+    known = secret_scan.language(docs)
+    forest = secret_scan.train(secret_scan.labelled_findings(spark, vocabulary=known.words), pairs=known.pairs)
+    found = secret_scan.find_secrets(docs, forest, path_col="source", pairs=known.pairs)
     spans = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), spans.alias("spans"))
 

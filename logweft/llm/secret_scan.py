@@ -7,21 +7,24 @@ scanned, scored and reported in one projection.  ``labelled_findings`` makes
 such a table where there is none.
 
 Features of a candidate: its length, transitions between character classes and
-between letters as words have them, repeated characters, shares of digits,
+between letters (how likely they are in the documents' own words), repeated characters, shares of digits,
 capitals and vowels, coverage by dictionary words, signs of a path, what the
 path of its document says, and the words beside it.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, running
+from .common import let, running, saved
 
 #: What a secret's name ends in; whatever stands before it belongs to the name.
 NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|auth[_-]?key|credential|key|pat|sig)"
@@ -52,20 +55,57 @@ DICTIONARY = (
     "table target task temp test text than that then there these thing this time title token tool total track true type under unit update upload user "
     "value version video view water week welcome where which white width window with word work world write year your"
 ).split()
-#: Common syllables, for words that no dictionary has.
-SYLLABLES = "an ar be ber ci cion de der di do ein en ent er est ge gen ha heit in ing ir keit le les lich lo ly ment no nt on or os ous que ra re sch se so st te ter th ti tion to tra un ung us ver wh".split()
 #: Bound of the generated training set, and the forest's size.
 FIT_ROWS, TREES, DEPTH, SEED = 6_000, 16, 7, 11
 FEATURES = ["chars", "changes", "pairs", "repeats", "digits", "capitals", "vowels", "words", "slashes", "dots", "hexlike", "assigned", "secretish", "benign", "prefix", "in_tests", "in_settings"]
 #: What a document's path says of its contents.
 TEST_PATHS, SETTING_PATHS = ("test", "spec", "mock", "fixture", "example", "sample", "docs"), (".env", "config", "conf/", "settings", "secret", "credential", ".pem", ".yml", ".yaml", ".properties")
-#: Pairs of letters that dictionary words have, by the first one.
-LETTER_PAIRS = {a: sorted({y for w in DICTIONARY for x, y in zip(w, w[1:]) if x == a}) for a in "abcdefghijklmnopqrstuvwxyz"}
-WORD_PAIR = "(?=" + "|".join(f"{a}[{''.join(b)}]" for a, b in LETTER_PAIRS.items() if b) + ")"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Words that a language model of documents is asked for, and their length; runs that may be candidates are longer.
+VOCABULARY, SHORTEST, LONGEST = 400, 2, 15
 
 
-def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
-    """before: the text just before the candidate, the assignment included; path: of its document, empty if unknown."""
+class Language(NamedTuple):
+    """How the words of some documents look: the commonest of them, and for each pair of letters how much likelier the second is after the first than by chance (log2, within 4)."""
+
+    words: list[str]
+    pairs: list[float]
+
+
+def letter_pairs(counts: dict[str, int]) -> list[float]:
+    """The scores of all 676 pairs of letters."""
+    after = {a: sum(counts.get(a + b, 0) for b in LETTERS) for a in LETTERS}
+    return [max(-4.0, min(4.0, math.log2(26 * (counts.get(a + b, 0) + 0.5) / (after[a] + 13)))) for a in LETTERS for b in LETTERS]
+
+
+#: Where there are no documents to learn from: the dictionary's own.
+PLAIN = Language(DICTIONARY, letter_pairs(Counter(w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1))))
+
+
+def language(docs: DataFrame, *, text_col: str = "text", words: int = VOCABULARY) -> Language:
+    """The language of all documents: counts over the words that are letters only and too short for a candidate.
+
+    Words are counted before they are shuffled; the driver gets ``words`` words
+    and a count for each pair of letters.  Without any such word it is PLAIN.
+    """
+    each = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), "[^a-z0-9+/_-]+")).alias("w")).where(F.col("w").rlike(f"^[a-z]{{{SHORTEST},{LONGEST}}}$"))
+    counts = saved(each.groupBy("w").agg(F.count("*").alias("n")), "words")
+    pairs = counts.select("n", "w", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("i")).groupBy(F.substring("w", F.col("i"), F.lit(2)).alias("p")).agg(F.sum("n").alias("n")).collect()
+    common = counts.where(F.length("w") >= 4).orderBy(F.desc("n"), "w").limit(words).collect()
+    return Language([r.w for r in common] or DICTIONARY, letter_pairs({r.p: r.n for r in pairs})) if pairs else PLAIN
+
+
+def likeness(value: Column, pairs: list[float]) -> Column:
+    """The mean score of a value's letter pairs, over its length."""
+    table = F.expr(f"cast(split('{','.join(map(str, pairs))}', ',') as array<double>)")  # folded to one constant
+    codes = F.transform(F.split(F.lower(value), ""), lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(LETTERS), c)))
+    score = lambda a, b: F.when((a > 0) & (b > 0), F.get(table, (a - 1) * 26 + b - 1)).otherwise(0.0)
+    total = let(codes, lambda x: F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), F.lit(0.0), lambda t, i: t + F.coalesce(score(F.get(x, i), F.get(x, i + 1)), F.lit(0.0))))
+    return total / F.greatest(F.length(value), F.lit(1)).cast("double")
+
+
+def features(value: Column, before: Column, path: Column, pairs: list[float] = PLAIN.pairs) -> dict[str, Column]:
+    """before: the text just before the candidate, the assignment included; path: of its document, empty if unknown; pairs: of the language of documents."""
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     kinds = F.translate(value, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
 
@@ -80,7 +120,7 @@ def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
     return {
         "chars": F.least(n, F.lit(200.0)),
         "changes": (left_by(r"(a)(?=a)|(A)(?=A)|(0)(?=0)", kinds) - 1) / n,
-        "pairs": (F.length(F.regexp_replace(F.lower(value), WORD_PAIR, "#")) - F.length(value)).cast("double") / n,
+        "pairs": likeness(value, pairs),
         "repeats": 1 - left_by(r"(.)(?=\1)") / n,
         "digits": 1 - left_by("[0-9]") / n,
         "capitals": 1 - left_by("[A-Z]") / n,
@@ -98,13 +138,14 @@ def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS, vocabulary: list[str] = PLAIN.words) -> DataFrame:
     """A bounded set of generated findings (value, before, path, label, template), the same each time.
 
     Real credentials are strings drawn evenly from an alphabet, with the
     prefixes and assignments that issuers and programs give them; false ones
     are placeholders, words, numbers, paths, checksums, identifiers, and long
-    words, titles and names without a digit.  Most paths say nothing; of those
+    words, titles and names without a digit; long words are put together of
+    those in ``vocabulary``, which a language of documents has.  Most paths say nothing; of those
     that do, settings go more with real ones and tests with false ones.
     """
     def drawn(alphabet: str, least: int, most: int | None = None) -> Column:
@@ -120,16 +161,17 @@ def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
     talk = pick(["and then the ", "of that ", "in ", "see ", "using ", "", "with our ", "\n"], "talk")
     put = pick(["password=", "token = \"", "secret=", "api_key: ", "pwd=", "apikey=\"", "credential: "], "put")
     word = lambda salt: pick(DICTIONARY, salt)
-    spoken = F.concat(*(pick(SYLLABLES, f"s{k}") for k in range(6)), F.when(F.col("id") % 2 == 0, pick(SYLLABLES, "s6")).otherwise(""))
+    spoken = F.rpad(F.concat(*(pick(vocabulary, f"s{k}") for k in range(4))), 16, "e")
     words = lambda by: F.concat_ws(by, *map(word, "ghij"))
     named = pick(["name=", "path=", "mode = ", "class=\"", "https://host.example.org/", "/", "primary key: ", "type: "], "named")
+    named_so = pick(["order ", "card ", "phone ", "version ", "example ", "sample ", "file ", "path ", "commit ", "checksum ", "the hash ", "uuid ", "revision "], "so")
     cases = [
         (F.concat(F.lit("AKIA"), drawn(upper, 16)), talk, 1), (drawn(hexa, 16, 40), F.concat(talk, put), 1), (drawn(b62, 20, 44), F.concat(talk, put), 1),
         (F.concat(pick(["ghp_", "gho_", "glpat-", "sk_live_", "xoxb-"], "kind"), drawn(b62, 24, 40)), talk, 1), (drawn(b62 + "+/", 32, 64), F.concat(talk, put), 1),
         (drawn(b62, 8, 14), F.concat(talk, put), 1),
         (pick(["changeme", "xxxxxxxxxxxx", "your_password_here", "placeholder", "<password>", "example123", "secret123456", "********"], "fake"), F.concat(talk, put), 0),
         (F.concat(word("a"), word("b"), F.lit("_"), word("c"), F.pmod("id", F.lit(100)).cast("string")), F.concat(talk, F.when(F.col("id") % 3 == 0, put).otherwise("")), 0),
-        (drawn("0123456789", 16, 20), talk, 0), (F.concat(word("d"), F.lit("/"), word("e"), F.lit("/v2/"), word("f")), talk, 0),
+        (drawn("0123456789", 16, 20), F.concat(talk, F.when(F.col("id") % 2 == 0, named_so).otherwise("")), 0), (F.concat(word("d"), F.lit("/"), word("e"), F.lit("/v2/"), word("f")), talk, 0),
         (drawn(hexa, 32, 64), F.concat(talk, pick(["commit ", "sha1 ", "md5: ", "checksum ", "hash of the file ", "digest: ", "revision "], "sum")), 0),
         (F.concat(drawn(hexa, 8), F.lit("-"), drawn(hexa, 4), F.lit("-4"), drawn(hexa, 3), F.lit("-a"), drawn(hexa, 3), F.lit("-"), drawn(hexa, 12)), F.concat(talk, pick(["id ", "uuid ", "order ", "for "], "id")), 0),
         (F.concat(pick(["T", "T0"], "team"), drawn(upper, 8), F.lit("/B0"), drawn(upper, 8), F.lit("/"), drawn(b62, 24)), F.concat(talk, F.lit("https://hooks.host.com/services/")), 1),
@@ -138,7 +180,9 @@ def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
         (F.when(F.col("id") % 2 == 0, words("-")).otherwise(words("_")), F.concat(talk, F.when(F.col("id") % 3 == 0, named).otherwise("")), 0),
         (F.upper(F.concat_ws("_", word("g"), word("h"), pick(["key", "id", "api", "url"], "i"), pick(["key", "id", "no", "base"], "j"))), F.concat(talk, pick(["", "export ", "\n", "secret "], "shell")), 0),
         (F.replace(F.initcap(words(" ")), F.lit(" "), F.lit("")), F.concat(talk, F.when(F.col("id") % 3 == 0, named).otherwise("")), 0),
-        (F.upper(F.when(F.col("id") % 2 == 0, spoken).otherwise(F.concat_ws("_", pick(SYLLABLES, "k"), word("g"), pick(["key", "id", "api", "url"], "i"), pick(["key", "id", "no", "base"], "j")))), F.concat(talk, pick(["", "export ", "\n", "with "], "shell")), 0),
+        (F.upper(F.when(F.col("id") % 2 == 0, spoken).otherwise(F.concat_ws("_", drawn(LETTERS, 2, 4), word("g"), pick(["key", "id", "api", "url"], "i"), pick(["key", "id", "no", "base"], "j")))), F.concat(talk, pick(["", "export ", "\n", "with "], "shell")), 0),
+        (drawn(b62, 16, 40), F.concat(talk, named_so), 0),
+        (F.concat_ws("-", drawn(b62, 6, 10), drawn(hexa, 6, 12), drawn("0123456789", 4)), F.concat(talk, named_so), 0),
     ]
     tests, settings = pick(["src/test/login_test.py", "docs/example.md", "spec/fixtures/a.json", "samples/app.rb"], "tests"), pick(["deploy/.env", "conf/app.properties", "settings.py", "config/prod.yml"], "settings")
     roll = F.pmod(F.xxhash64("id", F.lit("roll")), F.lit(20))
@@ -147,7 +191,7 @@ def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(k, *case) for k, case in enumerate(cases)])
 
 
-def train(findings: DataFrame, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
+def train(findings: DataFrame, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, pairs: list[float] = PLAIN.pairs) -> list:
     """A forest from labelled findings (value, before, path, label): per tree nested (feature, threshold, left, right), or a leaf's share of secrets.
 
     Rows without a value or a label are left out; a missing ``before`` or
@@ -155,7 +199,7 @@ def train(findings: DataFrame, *, trees: int = TREES, depth: int = DEPTH, seed:
     the caller's to bound.
     """
     known = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in findings.columns else F.lit("") for c in ("before", "path")]
-    x = findings.where("value is not null and label is not null").select(F.col("label").cast("double").alias("label"), *(c.alias(n) for n, c in features(F.col("value"), *known).items()))
+    x = findings.where("value is not null and label is not null").select(F.col("label").cast("double").alias("label"), *(c.alias(n) for n, c in features(F.col("value"), *known, pairs).items()))
     x = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(x).select("label", "features").coalesce(1)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=2).fit(x)
 
@@ -180,11 +224,12 @@ def vote(forest: list, x: Column) -> Column:
     return reduce(lambda a, b: a + b, map(tree, forest)) / F.lit(float(len(forest)))
 
 
-def find_secrets(docs: DataFrame, forest: list, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, least: float = 0.5) -> DataFrame:
+def find_secrets(docs: DataFrame, forest: list, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, least: float = 0.5, pairs: list[float] = PLAIN.pairs) -> DataFrame:
     """``id_col``, n_candidates, and secrets: array<struct(start, end, value, score)> with scores of ``least`` or more.
 
     Offsets are code points, the end exclusive.  ``path_col`` names the column
-    with a document's path, if there is one; a null path is empty.  Null and
+    with a document's path, if there is one; a null path is empty.  ``pairs``
+    are those that the forest has learnt with.  Null and
     empty texts have no candidates.  Each row stands on its own, so null and
     repeated ids pass; other columns are not read, so they cannot clash.
     """
@@ -210,7 +255,7 @@ def find_secrets(docs: DataFrame, forest: list, *, id_col: str = "doc_id", text_
     candidates = src.select("id", "path", let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), placed).alias("found"))
 
     def scored(c: Column) -> Column:
-        x = F.struct(*(f.alias(n) for n, f in features(c["value"], c["before"], F.col("path")).items()))
+        x = F.struct(*(f.alias(n) for n, f in features(c["value"], c["before"], F.col("path"), pairs).items()))
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), let(x, lambda v: vote(forest, v)).alias("score"))
 
     return candidates.select(F.col("id").alias(id_col), F.size("found").cast("long").alias("n_candidates"), F.filter(F.transform("found", scored), lambda s: s["score"] >= least).alias("secrets"))
