@@ -74,6 +74,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate files, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def numbered(rows: DataFrame, group: str, order: list[str], what: str) -> DataFrame:
     """``rows``, written in the order of (``group``, ``order``), with ``_row``, an id that ascends in this order.
 

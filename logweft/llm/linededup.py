@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, let, saved, work_dir
+from .common import BLANKS, ascii_lower, let, removed, saved, work_dir
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 7, 3
 RUN = "key binary, n long, last long"
@@ -41,11 +41,13 @@ class LineRuns:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.home, self.name = work_dir(spark, "line-runs"), f"line_runs_{uuid.uuid4().hex[:12]}"
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
         self.written = 0
 
     def _write(self, rows: DataFrame, level: int) -> None:
         table = f"{self.name}_{self.written}"
-        rows.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.home}/level{level}-{self.written}").saveAsTable(table)
+        self.paths[table] = f"{self.home}/level{level}-{self.written}"
+        rows.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key").option("path", self.paths[table]).saveAsTable(table)
         self.written += 1
         self.levels += [[] for _ in range(level + 1 - len(self.levels))]
         self.levels[level].append(table)
@@ -91,12 +93,15 @@ class LineRuns:
         return self._merged(tables) if tables else self.spark.createDataFrame([], RUN)
 
     def _drop(self, table: str) -> None:
+        """Forgets a run and deletes its files, which an external table would leave."""
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        removed(self.spark, self.paths.pop(table))
 
     def close(self) -> None:
-        """Forget all runs; what was read from them must have been written before."""
+        """Forgets and deletes all runs; what was read from them must have been written before."""
         for t in self.newest():
             self._drop(t)
+        removed(self.spark, self.home)
         self.levels = []
 
 

@@ -665,3 +665,16 @@ def test_window_of_many_items_is_one_entry():
     assert sum(len(x) == 50 for x in shared_by.values()) == 21
     spans, found = table.scan(decontam.words("x " + shared + " y a b c"))
     assert found == sorted({f"i{k}" for k in range(50)} | {"short", "short2"}) and spans == [[1, 31], [32, 35]]
+
+
+def test_line_runs_leave_no_files(spark):
+    from pathlib import Path
+
+    runs = linededup.LineRuns(spark, fanout=2, buckets=2)
+    for b in range(5):
+        runs.add(spark.createDataFrame([(bytes([k]), 1, b) for k in range(b, b + 4)], linededup.RUN))
+    home = Path(runs.home.removeprefix("file:"))
+    assert len([p for p in home.iterdir() if p.name.startswith("level")]) == len(runs.newest()) < 5
+    assert {(bytes(r.key)[0], r.n, r["last"]) for r in runs.totals().collect()} == {(k, sum(b <= k < b + 4 for b in range(5)), max(b for b in range(5) if b <= k < b + 4)) for k in range(8)}
+    runs.close()
+    assert not home.exists()
