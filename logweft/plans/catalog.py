@@ -84,17 +84,27 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     return spans.request_documents(parsed(spark, sf), SIGNALS, keep=stored)
 
 
-_LOADED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+#: Folders that queries share, by the session, what is in them and the files that it was made of.
+_MADE: dict[tuple, str] = {}
+
+
+def made(spark: SparkSession, sf: str, what: str, make: Callable[[], str]) -> str:
+    """The folder that ``make`` has written from ``events``: once for a session and the table's files, and anew if it is gone."""
+    rows = table(spark, sf, "events")
+    key = (spark.sparkContext.applicationId, what, sf, *sorted(rows.inputFiles()), rows.count())
+    if key not in _MADE or not tables.exists(spark, _MADE[key]):
+        _MADE[key] = make()
+    return _MADE[key]
 
 
 def loaded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The two log tables, parsed and written once for a session and its tables, as any analysis does before it asks."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _LOADED:
+    def make() -> str:
         rows, at = parsed(spark, sf), folder(spark)
         tables.save(tables.log_events(rows, ["line_no"]), tables.server_metrics(rows), at)
-        _LOADED[key] = tables.load(spark, at)
-    return _LOADED[key]
+        return at
+
+    return tables.load(spark, made(spark, sf, "tables", make))
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,7 +20,7 @@ from ..operators import classify, coverage, detect, evidence, followup, profile,
 from ..sources import files, logs
 from ..streaming import monitor
 from . import sql as adhoc
-from .catalog import SCHEMA, SIGNALS, L, documents, events, folder, log_lines, metrics, query, requests, six, stored, table
+from .catalog import SCHEMA, SIGNALS, L, documents, events, folder, log_lines, made, metrics, query, requests, six, stored, table
 
 NODES = 6
 #: Each node's way of writing times: for Spark and for DuckDB.
@@ -40,13 +40,11 @@ WHEN event_type = 'view' THEN 'INFO REST:get - entry txId=' || event_id
 WHEN event_type = 'purchase' THEN 'INFO REST:get - exit,lapse(ms)=' || (event_id % 90000)
 WHEN event_type = 'error' THEN 'ERROR TokenException: Failed with ' || user_id || ' HTTP 500'
 ELSE 'INFO Server statistics={{jvm.threadCount=' || (event_id % 200) || ', dbcp.ActiveConnections=' || (event_id % 30) || '}}' END"""
-_WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def log_folder(spark: SparkSession, sf: str) -> str:
     """The folder with the files, ``node=K/part...``; written once for a session and its tables."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _WRITTEN:
+    def make() -> str:
         rows = table(spark, sf, "events").select("event_id", "event_type", "user_id", "ts", (F.col("event_id") % NODES).cast("int").alias("node"))
         stamp = reduce(lambda c, k: F.when(F.col("node") == k, F.date_format("ts", STAMPS[k][0])).otherwise(c), range(NODES), F.lit(""))
         body = F.expr(BODY.format(rep="repeat('x', 2500)"))
@@ -57,8 +55,9 @@ def log_folder(spark: SparkSession, sf: str) -> str:
         at = folder(spark)
         # A node's lines are one file, in order: a log has one order by nature.
         lines.repartition(NODES, "node").sortWithinPartitions("node", "event_id").select("value", "node").write.partitionBy("node").text(at)
-        _WRITTEN[key] = at
-    return _WRITTEN[key]
+        return at
+
+    return made(spark, sf, "files", make)
 
 
 def file_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,13 +199,11 @@ def indexed_lookup(spark, sf):
 SLICES = 5
 #: Which file a line comes in: six days each, and every 97th line two files late.
 SLICE = f"least(div_(day(ts) - 1, 6), {SLICES - 1}) + CASE WHEN event_id % 97 = 0 AND day(ts) <= 18 THEN 2 ELSE 0 END"
-_REPLAYED: dict[tuple[str, str], str] = {}
 
 
 def replay_folder(spark: SparkSession, sf: str) -> str:
     """``slice=I/node=K``: files that arrive one slice after the other, each line with its number, and a last line from much later."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _REPLAYED:
+    def make() -> str:
         when = table(spark, sf, "events").select((F.col("event_id") + 1).alias("line_no"), F.expr(SLICE.replace("div_(day(ts) - 1, 6)", "(day(ts) - 1) div 6")).alias("slice"))
         lines = log_lines(spark, sf).join(when, "line_no").select("slice", "line_no", ((F.col("line_no") - 1) % NODES).alias("node"), F.concat(F.lit("[Line "), F.col("line_no").cast("string"), F.lit("] "), "raw").alias("value"))
         end = spark.createDataFrame([(SLICES, 0, 0, "[Line 0] 2025-01-01 00:00:00.000 [end] INFO closed")], lines.schema)
@@ -214,8 +211,9 @@ def replay_folder(spark: SparkSession, sf: str) -> str:
         lines = stored(lines.unionByName(end))
         for k in range(SLICES + 1):  # one after the other: a stream takes files by their age
             lines.where(F.col("slice") == k).repartition(NODES, "node").sortWithinPartitions("node", "line_no").select("value", "node").write.partitionBy("node").text(f"{at}/slice={k}")
-        _REPLAYED[key] = at
-    return _REPLAYED[key]
+        return at
+
+    return made(spark, sf, "replay", make)
 
 
 def replayed(spark: SparkSession, sf: str) -> DataFrame:

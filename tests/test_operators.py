@@ -430,28 +430,61 @@ def test_exceptions_on_loud_lines_only(spark):
 
 
 def test_requests_of_a_stream_against_a_row_loop():
-    import pandas as pd
+    """The processor of open requests, batch by batch with rows in any order, timers after each, against one loop over the sorted rows."""
+    from types import SimpleNamespace
 
-    from logweft.streaming.monitor import requests_of
+    from logweft.streaming.monitor import Requests
 
-    def plain(rows, began, lines):
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.is_start:
-                if lines:
-                    out.append((began, lines, True))
-                began, lines = None if pd.isna(r.ts) else str(r.ts), 0
-            if r.is_start or lines:
-                lines += 1
-                if r.is_end:
-                    out.append((began, lines, False))
-                    began, lines = None, 0
-        return out, (began, lines) if lines else None
+    class Held:
+        def __init__(self):
+            self.value = None
+
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def clear(self):
+            self.value = None
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+        def appendList(self, rows):
+            self.value = [*(self.value or []), *rows]
 
     r = random.Random(11)
-    for _ in range(400):
-        n = r.randint(0, 12)
-        rows = pd.DataFrame({"ts": pd.Series([r.choice([pd.Timestamp(2024, 1, 1, 0, k), pd.NaT]) for k in range(n)], dtype="datetime64[ns]"), "is_start": [r.random() < 0.3 for _ in range(n)], "is_end": [r.random() < 0.3 for _ in range(n)]}).astype({"is_start": bool, "is_end": bool})
-        held = r.choice([(None, 0), ("x", 3)])
-        out, left = requests_of(rows, *held)
-        assert ([tuple(x) for x in out[["started", "lines", "unmatched_exit"]].astype(object).where(lambda d: d.notna(), None).itertuples(index=False)], left) == plain(rows, *held)
+    for idle in (3, 10**6):
+        for _ in range(150):
+            rows = [(k // 2, k, r.random() < 0.3, r.random() < 0.3) for k in range(r.randint(1, 30)) if r.random() < 0.6]
+            want, current = [], None
+            for at, line, start, end in rows:
+                if current and at - current[3] > idle:
+                    want.append((*current[:3], True))
+                    current = None
+                if start:
+                    if current:
+                        want.append((*current[:3], True))
+                    current = [line, line, 0, at]
+                if current:
+                    current[1:] = [line, current[2] + 1, at]
+                    if end:
+                        want.append((*current[:3], False))
+                        current = None
+            if current:
+                want.append((*current[:3], True))
+            timers: set[int] = set()
+            state = Requests(idle)
+            state.init(SimpleNamespace(getListState=lambda *_: Held(), getValueState=lambda *_: Held(), registerTimer=timers.add))
+            got, mark, todo = [], -1, list(rows)
+            while todo or timers:
+                batch = [x for x in todo if r.random() < 0.5 or x == todo[0]]
+                todo = [x for x in todo if x not in batch]
+                r.shuffle(batch)
+                if batch:
+                    list(state.handleInputRows(("f", "t"), iter([dict(zip(("at_ms", "line_no", "is_start", "is_end"), x)) for x in batch]), None))
+                mark = min([x[0] for x in todo], default=10**9) - 1  # nothing later than this is still to come
+                while due := sorted(t for t in timers if t <= mark):
+                    timers.discard(due[0])
+                    got += [(x.start_line, x.end_line, x.lines, x.unmatched_exit) for x in state.handleExpiredTimer(("f", "t"), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), None)]  # noqa: B023
+            assert got == want, (idle, rows)
