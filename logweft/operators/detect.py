@@ -11,7 +11,7 @@ import hashlib
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -124,16 +124,20 @@ def onset_rows(metrics: DataFrame, *, response: float = 200, threads: float = 20
 
 # --- supplements around an onset ---
 
+def _between(onset: str, before: int, after: int) -> Column:
+    """Whether a row is within some minutes of a time, which is a value here and never a part of a statement."""
+    at = F.lit(onset).cast("timestamp_ntz")
+    return F.col("timestamp").between(at - F.expr(f"interval {before} minutes"), at + F.expr(f"interval {after} minutes"))
+
+
 def onset_minute_rows(wide: DataFrame, onset: str) -> DataFrame:
     """Per minute, the peaks of four metrics from 3 minutes before to 5 after the onset."""
-    at = f"timestamp_ntz'{onset}'"
-    near = wide.where(f"timestamp between {at} - interval 3 minutes and {at} + interval 5 minutes and thread_count is not null")
+    near = wide.where(_between(onset, 3, 5) & F.col("thread_count").isNotNull())
     return near.groupBy(minute(F.col("timestamp")).alias("minute")).agg(F.max("thread_count").alias("max_thread_count"), F.max("dbcp_active_connections").alias("max_dbcp_active"), F.max("hibernate_sessions").alias("max_hibernate_sessions"), F.max("response_time_ms").alias("max_response_time_ms"))
 
 
 def _around(events: DataFrame, onset: str | None) -> DataFrame:
-    at = f"timestamp_ntz'{onset}'"
-    return events if onset is None else events.where(f"timestamp between {at} - interval 3 minutes and {at} + interval 10 minutes")
+    return events if onset is None else events.where(_between(onset, 3, 10))
 
 
 def onset_latency_rows(events: DataFrame, onset: str | None, *, top: int = 10) -> DataFrame:

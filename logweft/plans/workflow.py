@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 from functools import partial
 from typing import Any
@@ -81,11 +82,19 @@ class WorkflowState:
     errors: list[str] = field(default_factory=list)
     trace: list[dict] = field(default_factory=list)
     step: int = 0
+    #: Results by what was asked, so that another round of evidence runs nothing twice.
+    known: dict[str, sql.Executed] = field(default_factory=dict)
 
     @property
     def archetype(self) -> str:
         return self.classification["primary"]["archetype"]
 
+    def once(self, asked: str, run: Callable[[], sql.Executed]) -> sql.Executed:
+        """A result, worked out at its first use; each use has a record of its own, as it speaks for the archetype then in question."""
+        if asked not in self.known:
+            self.known[asked] = run()
+        return replace(self.known[asked])
+
     def note(self, phase: str, decision: str, **more: Any) -> None:
         self.step += 1
         self.trace.append({"step": self.step, "phase": phase, "decision": decision} | more)
@@ -232,22 +241,51 @@ def _diagnose(spark, s: WorkflowState, parsed, events, metrics, ask) -> None:
     s.note("broad_diagnostics", "signals", n=len(s.signals))
 
 
+def _reply(text: str) -> dict:
+    """The first JSON object of a model's reply; empty if there is none."""
+    got = first_json(text)
+    return got if isinstance(got, dict) else {}
+
+
+def judged(said: Any, prescores: dict[str, float]) -> dict[str, Any] | None:
+    """An archetype as a model states it: a known name, and a confidence from 0 to 1, else the score that it had before; None for anything else."""
+    if not isinstance(said, dict) or said.get("archetype") not in rules.ARCHETYPES:
+        return None
+    sure = said.get("confidence")
+    fits = isinstance(sure, (int, float)) and not isinstance(sure, bool) and 0 <= sure <= 1
+    return {"archetype": said["archetype"], "confidence": float(sure) if fits else prescores.get(said["archetype"], 0.0)} | ({"reason": str(said["reason"])} if said.get("reason") else {})
+
+
+def moment(said: Any) -> str | None:
+    """A time as a model states it, if it is one to the second; nothing else may come near a query."""
+    found = re.fullmatch(r"(\d{4}-\d\d-\d\d)[ T](\d\d:\d\d:\d\d(?:\.\d{1,6})?)", said.strip()) if isinstance(said, str) else None
+    try:
+        return datetime.fromisoformat(f"{found[1]} {found[2]}") and f"{found[1]} {found[2]}" if found else None
+    except ValueError:
+        return None
+
+
 def _classify(spark, s: WorkflowState, parsed, events, metrics, ask) -> None:
     s.prescores = classify.scores(spark, s.signals, s.candidates)
     s.classification = classify.classify(s.prescores, s.signals)
     if ask:
         lines = "\n".join(f"{c['signal_type']} {c['captured_value'] or ''}: {c['snippet']}" for c in s.candidates[:12])
-        got = first_json(ask(wording.told("classification", kinds=wording.kinds(), scores=wording.as_json(s.prescores), signals=wording.as_json([asdict(x) for x in s.signals], 12), candidates=lines))) or {}
-        if got.get("primary", {}).get("archetype") in rules.ARCHETYPES:
-            s.classification |= {"primary": got["primary"], "classification_method": "hybrid"}
+        got = _reply(ask(wording.told("classification", kinds=wording.kinds(), scores=wording.as_json(s.prescores), signals=wording.as_json([asdict(x) for x in s.signals], 12), candidates=lines)))
+        if primary := judged(got.get("primary"), s.prescores):
+            s.classification |= {"primary": primary, "classification_method": "hybrid"}
+            if (secondary := judged(got.get("secondary"), s.prescores)) and secondary["archetype"] != primary["archetype"]:
+                s.classification["secondary"] = secondary
     s.note("classification", s.archetype)
 
 
 def _date(spark, s: WorkflowState, parsed, events, metrics, ask) -> None:
     s.onset = classify.onset([r.asDict() for r in detect.onset_rows(metrics).collect()])
     if ask:
-        got = first_json(ask(wording.told("onset", classification=wording.as_json(s.classification), signals=wording.as_json([asdict(x) for x in s.signals], 10), anchors=wording.as_json(s.onset["anchors"], 15)))) or {}
-        s.onset |= {k: str(got[k]) for k in ("degradation_start", "reason") if got.get(k)}
+        got = _reply(ask(wording.told("onset", classification=wording.as_json(s.classification), signals=wording.as_json([asdict(x) for x in s.signals], 10), anchors=wording.as_json(s.onset["anchors"], 15))))
+        if at := moment(got.get("degradation_start")):
+            s.onset["degradation_start"] = at
+        if got.get("reason"):
+            s.onset["reason"] = str(got["reason"])
     s.note("onset", str(s.onset["degradation_start"]))
 
 
@@ -255,9 +293,9 @@ def _weed_out(spark, s: WorkflowState, parsed, events, metrics, ask) -> None:
     recurring = [r.asDict() for r in detect.recurring_rows(events).collect()]
     s.red_herrings = classify.red_herrings(recurring)
     if ask:
-        got = first_json(ask(wording.told("red_herrings", classification=wording.as_json(s.classification), recurring=wording.as_json(recurring, 10)))) or {}
+        got = _reply(ask(wording.told("red_herrings", classification=wording.as_json(s.classification), recurring=wording.as_json(recurring, 10))))
         known = {r["operation"] for r in s.red_herrings}
-        s.red_herrings += [{"operation": str(x["operation"]), "reason": str(x.get("reason", "")), "hours_seen": None} for x in got.get("rejections", []) if isinstance(x, dict) and x.get("operation") and x["operation"] not in known]
+        s.red_herrings += [{"operation": str(x["operation"]), "reason": str(x.get("reason", "")), "hours_seen": None} for x in (got["rejections"] if isinstance(got.get("rejections"), list) else []) if isinstance(x, dict) and x.get("operation") and x["operation"] not in known]
     s.note("red_herrings", f"{len(s.red_herrings)} rejected")
 
 
@@ -299,17 +337,22 @@ def gather(spark: SparkSession, s: WorkflowState, events: DataFrame, wide: DataF
         queries = sql.blocks(reply, rules.QUERIES_PER_TURN)
         if not queries:
             break
-        done = [sql.execute(spark, q) for q in queries]
+        done = [s.once(q, lambda q=q: sql.execute(spark, q)) for q in queries]
         s.evidence += done
         s.note("evidence", "queries", llm_output=reply, sql_blocks=queries, observations=[x.text for x in done])
-    for name, df in detect.supplements(events, wide, s.onset.get("degradation_start")).items():
-        n, text = sql.shown(df)
-        s.evidence.append(sql.Executed(name, n, text[: rules.EVIDENCE_RESULT_CHARS]))
+    onset = s.onset.get("degradation_start")
+    for name, df in detect.supplements(events, wide, onset).items():
+        s.evidence.append(s.once(f"{name} {onset}", lambda name=name, df=df: _supplement(name, df)))
     for x in s.evidence[before:]:
         x.package = s.archetype
     s.note("evidence", "gathered", queries=len(s.evidence))
 
 
+def _supplement(name: str, df: DataFrame) -> sql.Executed:
+    n, text = sql.shown(df)
+    return sql.Executed(name, n, text[: rules.EVIDENCE_RESULT_CHARS])
+
+
 def critic(s: WorkflowState, ask: Ask | None) -> str:
     """PASS, RETRY, FAIL or RECLASSIFY by the model's word; without a model, or if it fails, the evidence passes."""
     if not ask:

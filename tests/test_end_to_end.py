@@ -167,6 +167,7 @@ def test_workflow_with_a_model(spark, log):
     s = workflow.run_pipeline(spark, [log], mode="server_monitoring", ask=ask)[1][0].state
     second = s.archetype
     assert s.verdicts == ["RETRY", "FAIL", "RECLASSIFY", "PASS"] and second != "db_connection_pressure"
+    assert len({id(x) for x in s.evidence}) == len(s.evidence) > len(s.known) == 4  # four rounds ask the same four things, which run once
     assert {x.package for x in s.evidence} == {second} and any(x.rows == 1 for x in s.evidence) and s.red_herrings[-1]["operation"] == "nightlyJob"
 
     def broken(messages):
@@ -178,6 +179,20 @@ def test_workflow_with_a_model(spark, log):
     assert s.verdicts == ["PASS"] and s.report.startswith("# Incident report") and len(s.errors) == 2
 
 
+def test_replies_of_a_model_are_checked(spark, log):
+    assert workflow.judged({"archetype": "db_connection_pressure", "confidence": 2, "more": 1}, {"db_connection_pressure": 0.4}) == {"archetype": "db_connection_pressure", "confidence": 0.4}
+    assert [workflow.judged(x, {}) for x in (None, [], "x", {"archetype": "none of ours"}, {"archetype": ["db_connection_pressure"][0:0]})] == [None] * 5
+    assert workflow.moment("2026-02-25T15:58:40") == "2026-02-25 15:58:40" and workflow.moment(" 2026-02-25 15:58:40.5 ") == "2026-02-25 15:58:40.5"
+    assert [workflow.moment(x) for x in (None, 5, "2026-02-25", "2026-13-25 15:58:40", "2026-02-25 15:58:40' or reflect('a', 'b')")] == [None] * 5
+
+    def odd(messages):
+        text = messages[0]["content"]
+        return '{"primary": ["x"], "degradation_start": "2026-02-25 15:58:40\' + 1", "rejections": "all", "reason": 3}' if "incident report" not in text and "Judge" not in text else "[1, 2]"
+
+    s = workflow.run_pipeline(spark, [log], mode="server_monitoring", ask=odd)[1][0].state
+    assert s.classification["classification_method"] == "deterministic_only" and s.onset["reason"] == "3" and "+ 1" not in str(s.onset["degradation_start"]) and not s.errors
+
+
 @pytest.mark.parametrize("text,ok", [
     ("SELECT 'updated, deleted' AS x", True), ("-- c\nWITH a AS (SELECT 1) SELECT * FROM a", True), ("/* c */ select 1;", True), ("SELECT raw_line AS copy FROM log_events", True),
     ("SELECT sum(latency_ms) OVER w FROM log_events WINDOW w AS (PARTITION BY thread)", True), ("SELECT * FROM log_events WHERE thread IN (SELECT thread FROM server_metrics)", True), ("SELECT * FROM VALUES (1), (2) AS t(x)", True),
