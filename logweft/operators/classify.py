@@ -60,6 +60,13 @@ def classify(prescores: dict[str, float], signals: list[Signal]) -> dict[str, An
     }
 
 
+def competing(classification: dict[str, Any]) -> list[str]:
+    """What evidence has to tell the primary from: the second and the first two rejected ones if their scores count at all, or else what the kind is easily taken for."""
+    second, rejected = classification.get("secondary"), classification.get("rejected_hypotheses", [])[:2]
+    named = [x["archetype"] for x, least in ((second, 0.3), *((x, 0.2) for x in rejected)) if x and x["confidence"] > least]
+    return named or rules.COMPETING[classification["primary"]["archetype"]]
+
+
 def onset(anchors: list[dict], most: int = 5) -> dict[str, Any]:
     """The first anchor is where it began; up to ``most`` are kept."""
     return {"degradation_start": str(anchors[0]["timestamp"]) if anchors else None, "anchors": anchors[:most]}

@@ -38,8 +38,8 @@ TEXTS: dict[str, tuple[str, str]] = {
     ),
     "onset": ("Date the beginning of an incident and tell causes from symptoms. Answer in JSON with degradation_start and reason.", "Classification:\n{{classification}}\n\nSignals:\n{{signals}}\n\nFirst abnormal snapshots:\n{{anchors}}"),
     "red_herrings": ("Name the patterns that are not the cause. Answer in JSON with rejections, each with operation and reason.", "Classification:\n{{classification}}\n\nRecurring operations:\n{{recurring}}"),
-    "evidence": ("Gather evidence for or against the archetype {{archetype}} with at most three read-only SQL statements in fenced blocks. Tables: {{schema}}", "Onset: {{onset}}\n\nSo far:\n{{executed}}\n\n{{results}}"),
-    "critic": ("Judge whether the evidence carries the classification. Answer PASS, RETRY (more of it), FAIL (none of it helps) or RECLASSIFY.", "Classification:\n{{classification}}\n\nRejected as causes: {{rejected}}\n\nStatements:\n{{executed}}"),
+    "evidence": ("Gather evidence for or against the archetype {{archetype}}, and what tells it from {{competing}}, with at most three read-only SQL statements in fenced blocks. Tables: {{schema}}", "Onset: {{onset}}\n\nSo far:\n{{executed}}\n\n{{results}}"),
+    "critic": ("Judge whether the evidence carries the classification. Answer PASS, RETRY (more of it), FAIL (none of it helps) or RECLASSIFY.", "Classification:\n{{classification}}\n\nCompeting: {{competing}}\n\nRejected as causes: {{rejected}}\n\nStatements:\n{{executed}}"),
     "synthesis": ("Write the incident report from these facts: what happened, why, and what speaks against it. The archetypes:\n{{kinds}}", "File: {{file}}\n\n{{facts}}"),
     "ticket": ("Relate the report to the support ticket: what it confirms, what it does not.", "{{report}}\n\nTicket:\n{{ticket}}"),
     "intent": ("Read a follow-up question. Answer in JSON with ask_type, entities, primary_keys, must_include, confidence (0 to 1) and notes.", "Analysis of: {{question}}\n\nReport:\n{{report}}\n\nChat:\n{{history}}\n\nFollow-up: {{followup}}"),

@@ -333,7 +333,7 @@ def gather(spark: SparkSession, s: WorkflowState, events: DataFrame, wide: DataF
     """Up to three turns of up to three queries from the model, then the fixed supplements; all belong to the archetype in question."""
     before = len(s.evidence)
     for _ in range(rules.EVIDENCE_TURNS if ask else 0):
-        reply = ask(wording.told("evidence", archetype=s.archetype, schema=wording.SCHEMA, onset=s.onset.get("degradation_start"), executed=sql.executed_table(s.evidence), results="\n".join(x.text for x in s.evidence[-rules.QUERIES_PER_TURN :])))
+        reply = ask(wording.told("evidence", archetype=s.archetype, competing=", ".join(classify.competing(s.classification)), schema=wording.SCHEMA, onset=s.onset.get("degradation_start"), executed=sql.executed_table(s.evidence), results="\n".join(x.text for x in s.evidence[-rules.QUERIES_PER_TURN :])))
         queries = sql.blocks(reply, rules.QUERIES_PER_TURN)
         if not queries:
             break
@@ -358,7 +358,7 @@ def critic(s: WorkflowState, ask: Ask | None) -> str:
     if not ask:
         return "PASS"
     try:
-        said = ask(wording.told("critic", classification=wording.as_json(s.classification), rejected=len(s.red_herrings), executed=sql.executed_table(s.evidence))).upper()
+        said = ask(wording.told("critic", classification=wording.as_json(s.classification), competing=", ".join(classify.competing(s.classification)), rejected=len(s.red_herrings), executed=sql.executed_table(s.evidence))).upper()
     except Exception as e:  # noqa: BLE001
         s.errors.append(f"critic: {e}")
         return "PASS"

@@ -429,6 +429,15 @@ def test_exceptions_on_loud_lines_only(spark):
     assert {(r.exception, r["count"]) for r in profile.exceptions(df, S).collect()} == {("BarException", 2), ("QuxError", 1), ("a.BazException", 1)}
 
 
+def test_competing_kinds():
+    kinds = dict(zip(rules.ARCHETYPES, (0.9, 0.5, 0.3, 0.25, 0.1)))
+    found = classify.classify(kinds, [])
+    assert classify.competing(found) == [rules.ARCHETYPES[1], rules.ARCHETYPES[2], rules.ARCHETYPES[3]]
+    alone = classify.classify(dict.fromkeys(rules.ARCHETYPES, 0.0) | {"mixed_compound": 1.0}, [])
+    assert classify.competing(alone) == rules.COMPETING["mixed_compound"]
+    assert set(rules.COMPETING) == set(rules.ARCHETYPES) and all(k not in v and set(v) <= set(rules.ARCHETYPES) for k, v in rules.COMPETING.items())
+
+
 def test_requests_of_a_stream_against_a_row_loop():
     """The processor of open requests, batch by batch with rows in any order, timers after each, against one loop over the sorted rows."""
     from types import SimpleNamespace
