@@ -413,3 +413,18 @@ def test_skip_index(spark, tmp_path):
     assert 400 <= rows_scanned(hit) < 20_000
 
 
+
+
+def _nodes(df, name):
+    """The plan's lines of one node, and their places from the root."""
+    text = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return [(k, x) for k, x in enumerate(text) if x.lstrip(" :+-").startswith(name)]
+
+
+def test_lines_of_one_row_group_are_parsed_by_all_cores(spark):
+    """The table is one row group, which one task reads; lines are made and tested behind an exchange."""
+    got = catalog.parsed(spark, SF)
+    assert len({p for (p,) in got.select(F.spark_partition_id()).distinct().collect()}) == spark.sparkContext.defaultParallelism
+    plan = tables.server_metrics(got)
+    (moved, _), tests = _nodes(plan, "Exchange")[0], _nodes(plan, "Filter")
+    assert tests and all(k < moved for k, _ in tests)
