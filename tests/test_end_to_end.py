@@ -428,3 +428,10 @@ def test_lines_of_one_row_group_are_parsed_by_all_cores(spark):
     plan = tables.server_metrics(got)
     (moved, _), tests = _nodes(plan, "Exchange")[0], _nodes(plan, "Filter")
     assert tests and all(k < moved for k, _ in tests)
+
+
+def test_a_line_is_lowered_once_and_each_regex_runs_once(spark):
+    """Flags share one lower-case line, and a value's regex is not run again for the test of its emptiness."""
+    lines = spark.createDataFrame([("x", None, None)], "clean string, ts timestamp_ntz, thread string").repartition(2)
+    plan = tables.log_events(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.count("regexp_extract(") == 4
