@@ -32,7 +32,7 @@ def split_by_size(paths: list[str], limit: int = rules.MAX_FILE_BYTES) -> tuple[
     return [p for p in paths if os.path.getsize(p) <= limit], [p for p in paths if os.path.getsize(p) > limit]
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], *, recursive: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], *, recursive: bool = False, rotated: bool = False) -> DataFrame:
     r"""(source_path, source_file, line_no from 1, raw): the lines of text files, or of a folder's log files.
 
     Files are split and read in parallel (``\n``, ``\r`` and ``\r\n`` end lines,
@@ -40,17 +40,26 @@ def read_lines(spark: SparkSession, paths: str | list[str], *, recursive: bool =
     task: lines are counted per split, splits are added up, and a line's number
     is its place in its split plus what comes before.  That is a row for each
     split, broadcast while there are under ``SPLITS`` of them.
+
+    ``rotated``: the files of one folder are one log, cut where it was rotated;
+    its lines are numbered through all of them, in the order of their names,
+    and source_path is the folder.
     """
     text = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(paths).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
     if recursive:
         text = text.where(F.lower("source_file").rlike(r"\.(log|txt|out|err|msg)$"))
     # The id counts up within a task, and a split is read by one task.
+    log = folder_of(F.col("source_path")) if rotated else F.col("source_path")
     sizes = text.groupBy("source_path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("source_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(log).orderBy("source_path", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("source_path", "_block", "_first", before.alias("_before"))
     few = text.rdd.getNumPartitions() + len(text.inputFiles()) <= SPLITS
     joined = text.join(F.broadcast(starts) if few else starts, ["source_path", "_block"])
-    return joined.select("source_path", "source_file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "raw")
+    return joined.select(log.alias("source_path"), "source_file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "raw")
+
+
+def folder_of(path: Column) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
 
 
 def sample(lines: DataFrame, n: int = 1_200) -> list[str]:

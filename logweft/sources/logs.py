@@ -30,9 +30,12 @@ from pyspark.sql.window import Window
 from ..functions import rules
 from ..functions.parse import in_window, parse_lines
 from ..functions.schema import LogSchema
+from .files import folder_of
 
 RANGE_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 8 * 1024 * 1024
+#: Ranges that an index may have with a task for each; more of them share about as many tasks, or one for every ``RANGE_BYTES``.
+TASKS = 16
 SCHEMA = "source_path string, source_file string, range_start bigint, line_no bigint, raw string, first_ts timestamp_ntz, last_ts timestamp_ntz, untimed bigint"
 INDEX = "source_path string, range_start bigint, range_end bigint, first_line bigint, lines bigint, first_ts timestamp_ntz, last_ts timestamp_ntz, untimed bigint"
 #: What a range is known by, and may be pruned on.
@@ -53,6 +56,13 @@ class Range(InputPartition):
         return self.source_path.rsplit("/", 1)[-1] if column == "source_file" else getattr(self, column)
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    ranges: list[Range]
+
+
 def _open(path: str):
     system, inner = fs.FileSystem.from_uri(path)
     return system.open_input_file(inner)
@@ -79,7 +89,8 @@ def lines_of(path: str, start: int, end: int) -> Iterator[list[bytes]]:
             f.seek(0)
         skipping, stop = start > 0, False
         while not stop:
-            block = f.read(BLOCK_BYTES)
+            # Little more than the range: small ranges would else read the file many times over.
+            block = f.read(min(BLOCK_BYTES, max(end - at, 4_096)))
             if skipping:  # up to the first line that starts here
                 cut = block.find(b"\n") + 1
                 if not cut:
@@ -128,6 +139,21 @@ def _cut(path: str, start: int, end: int, size: int) -> list[Range]:
     return [Range(path, a, min(a + size, end)) for a in range(start, end, size)]
 
 
+def _shared(found: list[Range]) -> list[InputPartition]:
+    """Partitions of neighbouring ranges: one for each of few ranges, and of many so many together that a task does not cost more than what it reads."""
+    most = 0 if len(found) <= TASKS else min(RANGE_BYTES, sum(r.range_end - r.range_start for r in found) // TASKS)
+    out: list[Ranges] = []
+    size = 0
+    for r in found:
+        n = r.range_end - r.range_start
+        if not out or size + n > most:
+            out.append(Ranges([]))
+            size = 0
+        out[-1].ranges.append(r)
+        size += n
+    return out or [Ranges([])]
+
+
 class LogReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options, self.pushed = options, []
@@ -160,11 +186,11 @@ class LogReader(DataSourceReader):
         else:
             size = int(self.options.get("rangebytes", RANGE_BYTES))
             found = [r for path, n in files_under(self.options["path"]) for r in _cut(path, 0, n, size)]
-        return [r for r in found if self._passes(r)] or [Range("", 0, 0)]
+        return _shared([r for r in found if self._passes(r)])
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition.source_path:
-            yield from _batches(partition)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges:
+            yield from _batches(one)
 
 
 class LogStreamReader(DataSourceStreamReader):
@@ -230,14 +256,18 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def build_index(spark: SparkSession, path: str, schema: LogSchema, folder: str, range_bytes: int = RANGE_BYTES) -> str:
-    """What there is to know of each range, written to ``folder``: one pass over the files, one row for each range."""
+def build_index(spark: SparkSession, path: str, schema: LogSchema, folder: str, range_bytes: int = RANGE_BYTES, *, rotated: bool = False) -> str:
+    """What there is to know of each range, written to ``folder``: one pass over the files, one row for each range.
+
+    ``rotated`` numbers lines through the files of a folder, as ``files.read_lines`` does.
+    """
     register(spark)
     lines = spark.read.format("logs").option("path", path).option("rangeBytes", str(range_bytes)).load()
     ts = F.col("ts")
     found = parse_lines(lines, schema).groupBy("source_path", "range_start").agg(F.count("*").alias("lines"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count_if(ts.isNull()).alias("untimed"))
     by = Window.partitionBy("source_path").orderBy("range_start")
-    first = F.coalesce(F.sum("lines").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
+    log = Window.partitionBy(folder_of(F.col("source_path"))).orderBy("source_path", "range_start") if rotated else by
+    first = F.coalesce(F.sum("lines").over(log.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
     end = F.coalesce(F.lead("range_start").over(by), F.col("range_start") + range_bytes)  # a range in the middle of a long line has no row and is left out
     known = found.select("source_path", "range_start", end.alias("range_end"), first.alias("first_line"), "lines", "first_ts", "last_ts", "untimed")
     known.coalesce(1).write.mode("overwrite").parquet(folder)

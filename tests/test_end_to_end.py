@@ -435,3 +435,45 @@ def test_a_line_is_lowered_once_and_each_regex_runs_once(spark):
     lines = spark.createDataFrame([("x", None, None)], "clean string, ts timestamp_ntz, thread string").repartition(2)
     plan = tables.log_events(lines)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1 and plan.count("regexp_extract(") == 4
+
+
+def test_rotated_logs_are_one_log(spark, tmp_path):
+    """Lines are numbered through the files of a folder, by read_lines and by an index of small ranges."""
+    for node in "ab":
+        (tmp_path / node).mkdir()
+        for part in range(3):
+            (tmp_path / node / f"part-{part}.log").write_text("".join(f"2026-02-25 15:51:35.286 {node} {part * 100 + k + 1}\n" for k in range(100)))
+    want = sorted((n, k, str(k)) for n in "ab" for k in range(1, 301))
+    told = lambda df: sorted((x.raw.split()[2], x.line_no, x.raw.split()[3]) for x in df.collect())
+    got = files.read_lines(spark, str(tmp_path), recursive=True, rotated=True)
+    assert told(got) == want and {x.source_path.rsplit("/", 1)[-1] for x in got.select("source_path").collect()} == {"a", "b"}
+    index = logs.build_index(spark, str(tmp_path), detect(["2026-02-25 15:51:35.286 a 1"]), str(tmp_path / "index"), 200, rotated=True)
+    assert told(logs.read_indexed(spark, index)) == want
+
+
+def test_small_ranges_are_read_once_and_shared(tmp_path, monkeypatch):
+    """A range reads little more than itself, and many ranges do not make a task each."""
+    path = str(tmp_path / "a.log")
+    (tmp_path / "a.log").write_text(("x" * 99 + "\n") * 5_000)
+    read, real = [], logs._open
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        __enter__ = lambda self: self
+        __exit__ = lambda self, *_: self.f.close()
+        size = lambda self: self.f.size()
+        seek = lambda self, n: self.f.seek(n)
+
+        def read(self, n):
+            read.append(len(got := self.f.read(n)))
+            return got
+
+    monkeypatch.setattr(logs, "_open", lambda p: Counted(real(p)))
+    ranges = logs._cut(path, 0, 500_000, 10_000)
+    assert sum(len(x) for r in ranges for x in logs.lines_of(path, r.range_start, r.range_end)) == 5_000
+    assert sum(read) < 2 * 500_000
+    tasks = logs._shared(ranges)
+    assert [r for t in tasks for r in t.ranges] == ranges and logs.TASKS <= len(tasks) <= 2 * logs.TASKS
+    assert [len(t.ranges) for t in logs._shared(ranges[:3])] == [1, 1, 1]
