@@ -1,6 +1,6 @@
 """Queries over real log files: written from ``events`` into the shared folder, read back by ``read_lines``, each format detected.
 
-A file for each of six nodes, each with its own timestamps; among the lines
+A log for each of six nodes, in as many files as it was rotated into, each node with its own timestamps; among the lines
 are stack frames, line prefixes, noise, critical words, malformed escapes,
 lines without a timestamp and lines over 2,000 characters.
 """
@@ -20,9 +20,11 @@ from ..operators import classify, coverage, detect, evidence, followup, profile,
 from ..sources import files, logs
 from ..streaming import monitor
 from . import sql as adhoc
-from .catalog import SCHEMA, SIGNALS, L, documents, events, folder, log_lines, made, metrics, query, requests, six, stored, table
+from .catalog import SCHEMA, SIGNALS, L, dealt, documents, events, folder, log_lines, made, metrics, query, requests, six, stored, table
 
 NODES = 6
+#: Events between two rotations of the logs.
+ROTATED = 250_000
 #: Each node's way of writing times: for Spark and for DuckDB.
 STAMPS = [
     ("yyyy-MM-dd HH:mm:ss.SSS", "%Y-%m-%d %H:%M:%S.%g"), ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"), ("yyyy-MM-dd'T'HH:mm:ss.SSS", "%Y-%m-%dT%H:%M:%S.%g"),
@@ -43,9 +45,12 @@ ELSE 'INFO Server statistics={{jvm.threadCount=' || (event_id % 200) || ', dbcp.
 
 
 def log_folder(spark: SparkSession, sf: str) -> str:
-    """The folder with the files, ``node=K/part...``; written once for a session and its tables."""
+    """The folder with the files, ``node=K/part...``; written once for a session and its tables.
+
+    All logs are rotated after ``ROTATED`` events, so no task sorts or writes a whole log; the names of a log's files follow its order.
+    """
     def make() -> str:
-        rows = table(spark, sf, "events").select("event_id", "event_type", "user_id", "ts", (F.col("event_id") % NODES).cast("int").alias("node"))
+        rows = dealt(spark, sf, ROTATED).select("event_id", "event_type", "user_id", "ts", (F.col("event_id") % NODES).cast("int").alias("node"))
         stamp = reduce(lambda c, k: F.when(F.col("node") == k, F.date_format("ts", STAMPS[k][0])).otherwise(c), range(NODES), F.lit(""))
         body = F.expr(BODY.format(rep="repeat('x', 2500)"))
         line = F.concat(F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("[Line "), F.col("event_id").cast("string"), F.lit("] "))).otherwise(""), stamp, F.lit(" [http-nio-80-exec-"), (F.col("user_id") % 4).cast("string"), F.lit("] "), body)
@@ -53,15 +58,14 @@ def log_folder(spark: SparkSession, sf: str) -> str:
         frame = F.when((F.col("event_type") == "error") & (F.col("event_id") % 31 != 0), F.concat(F.lit("    at com.shop.Db.run(Db.java:"), (F.col("event_id") % 50).cast("string"), F.lit(")")))
         lines = rows.select("node", "event_id", F.explode(F.filter(F.array(first, frame), lambda x: x.isNotNull())).alias("value"))
         at = folder(spark)
-        # A node's lines are one file, in order: a log has one order by nature.
-        lines.repartition(NODES, "node").sortWithinPartitions("node", "event_id").select("value", "node").write.partitionBy("node").text(at)
+        lines.sortWithinPartitions("node", "event_id").select("value", "node").write.partitionBy("node").text(at)
         return at
 
     return made(spark, sf, "files", make)
 
 
 def file_lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = files.read_lines(spark, log_folder(spark, sf), recursive=True)
+    lines = files.read_lines(spark, log_folder(spark, sf), recursive=True, rotated=True)
     return lines.withColumn("node", F.regexp_extract("source_path", r"node=(\d+)", 1).cast("int")).withColumn("source_file", F.concat(F.lit("node"), F.col("node").cast("string")))
 
 
@@ -71,10 +75,9 @@ def schemas(lines: DataFrame) -> dict[int, object]:
 
 
 def file_parsed(spark: SparkSession, sf: str) -> DataFrame:
-    lines = file_lines(spark, sf)
     parts = []
-    for k, schema in schemas(lines).items():
-        one = parse_lines(lines.where(F.col("node") == k), schema)
+    for k, schema in schemas(file_lines(spark, sf)).items():
+        one = parse_lines(file_lines(spark, sf).where(F.col("node") == k), schema)
         parts.append(one.withColumn("label", session_label(F.col("clean"), schema)))
     return reduce(DataFrame.unionByName, parts)
 
@@ -173,7 +176,7 @@ def saved_tables(spark, sf):
 # --- the log source with its index, and log events with a skip index ---
 
 def log_index(spark: SparkSession, sf: str, node: int, schema) -> str:
-    return logs.build_index(spark, f"{log_folder(spark, sf)}/node={node}", schema, f"{folder(spark)}/index", range_bytes=65_536)
+    return logs.build_index(spark, f"{log_folder(spark, sf)}/node={node}", schema, f"{folder(spark)}/index", range_bytes=65_536, rotated=True)
 
 
 @query(f"WITH {X} SELECT node, line_no, ts, md5(raw) AS raw_md5 FROM x WHERE ts IS NULL OR (ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-05 01:00:00')")

@@ -437,6 +437,20 @@ def test_a_line_is_lowered_once_and_each_regex_runs_once(spark):
     assert plan.count("lower(") == 1 and plan.count("regexp_extract(") == 4
 
 
+def test_a_log_is_written_by_many_tasks(spark):
+    """Each node's log is rotated: no task sorts a whole one, and names follow the order of lines."""
+    import os
+    import re
+
+    at = catalog_files.log_folder(spark, SF)
+    for k in range(catalog_files.NODES):
+        parts = sorted(x for x in os.listdir(f"{at}/node={k}") if x.startswith("part-"))
+        assert len(parts) == spark.sparkContext.defaultParallelism
+        text = "".join(open(f"{at}/node={k}/{x}").read() for x in parts)
+        seen = [int(x) for x in re.findall(r"no time here, event (\d+)", text)]
+        assert seen == sorted(seen) and seen
+
+
 def test_rotated_logs_are_one_log(spark, tmp_path):
     """Lines are numbered through the files of a folder, by read_lines and by an index of small ranges."""
     for node in "ab":
