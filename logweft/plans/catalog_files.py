@@ -64,8 +64,9 @@ def log_folder(spark: SparkSession, sf: str) -> str:
     return made(spark, sf, "files", make)
 
 
-def file_lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = files.read_lines(spark, log_folder(spark, sf), recursive=True, rotated=True)
+def file_lines(spark: SparkSession, sf: str, node: int | None = None) -> DataFrame:
+    """The lines of all nodes, or of one, of which only its own folder is read."""
+    lines = files.read_lines(spark, log_folder(spark, sf) + ("" if node is None else f"/node={node}"), recursive=True, rotated=True)
     return lines.withColumn("node", F.regexp_extract("source_path", r"node=(\d+)", 1).cast("int")).withColumn("source_file", F.concat(F.lit("node"), F.col("node").cast("string")))
 
 
@@ -77,7 +78,7 @@ def schemas(lines: DataFrame) -> dict[int, object]:
 def file_parsed(spark: SparkSession, sf: str) -> DataFrame:
     parts = []
     for k, schema in schemas(file_lines(spark, sf)).items():
-        one = parse_lines(file_lines(spark, sf).where(F.col("node") == k), schema)
+        one = parse_lines(file_lines(spark, sf, k), schema)
         parts.append(one.withColumn("label", session_label(F.col("clean"), schema)))
     return reduce(DataFrame.unionByName, parts)
 

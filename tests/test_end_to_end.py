@@ -491,3 +491,10 @@ def test_small_ranges_are_read_once_and_shared(tmp_path, monkeypatch):
     tasks = logs._shared(ranges)
     assert [r for t in tasks for r in t.ranges] == ranges and logs.TASKS <= len(tasks) <= 2 * logs.TASKS
     assert [len(t.ranges) for t in logs._shared(ranges[:3])] == [1, 1, 1]
+
+
+def test_a_node_is_parsed_from_its_own_files(spark):
+    """Six nodes are parsed in as many reads of a node's own folder, not of all."""
+    every = [f.rsplit("/", 2)[1] for f in catalog_files.file_lines(spark, SF).inputFiles()]
+    scans = [x for _, x in _nodes(catalog_files.file_parsed(spark, SF), "FileScan")]
+    assert len(set(every)) == catalog_files.NODES and scans and all("node=" in x for x in scans)
