@@ -497,3 +497,17 @@ def test_requests_of_a_stream_against_a_row_loop():
                     timers.discard(due[0])
                     got += [(x.start_line, x.end_line, x.lines, x.unmatched_exit) for x in state.handleExpiredTimer(("f", "t"), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), None)]  # noqa: B023
             assert got == want, (idle, rows)
+
+
+def test_waiting_rows_are_packed_in_the_state():
+    """A batch of a thread's rows is an element of the state for each PACKED rows, not for each row."""
+    from types import SimpleNamespace
+
+    from logweft.streaming import monitor
+
+    kept: list = []
+    state = monitor.Requests(10)
+    state.init(SimpleNamespace(getListState=lambda *_: SimpleNamespace(appendList=kept.extend), getValueState=lambda *_: None, registerTimer=lambda _: None))
+    rows = [{"at_ms": k, "line_no": k, "is_start": k % 3 == 0, "is_end": k % 5 == 0} for k in range(50_000)]
+    list(state.handleInputRows(("f", "t"), iter(rows), None))
+    assert len(kept) == 3
