@@ -498,3 +498,9 @@ def test_a_node_is_parsed_from_its_own_files(spark):
     every = [f.rsplit("/", 2)[1] for f in catalog_files.file_lines(spark, SF).inputFiles()]
     scans = [x for _, x in _nodes(catalog_files.file_parsed(spark, SF), "FileScan")]
     assert len(set(every)) == catalog_files.NODES and scans and all("node=" in x for x in scans)
+
+
+def test_loaded_tables_are_written_by_all_cores(spark):
+    """What the detectors and ad-hoc statements read lies in as many files as there are cores, at least."""
+    for df in catalog.loaded(spark, SF):
+        assert len(df.inputFiles()) >= spark.sparkContext.defaultParallelism
