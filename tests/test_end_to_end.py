@@ -245,6 +245,19 @@ def test_rewrites(spark, text, want):
     assert got.reason is None and got.ready() == want
 
 
+def test_empty_groups_are_null_before_they_are_cast(spark, log):
+    """A line without a match costs no failed cast; texts, names and what is shown of a statement stay."""
+    parsed = workflow.parsed_file(spark, log)[1]
+    tables.register(tables.log_events(parsed), tables.server_metrics(parsed))
+    text = r"SELECT CAST(regexp_extract(raw_line, 'lapse\\(ms\\)=(\\d+)', 1) AS INT), CAST(regexp_extract(raw_line, 'no such', 0) AS STRING) AS s, line FROM (SELECT le.*, upper(raw_line) AS line FROM log_events le)"
+    statement = sql.read(spark, text)
+    plain, got = spark.sql(statement.ready()), sql.run(spark, text)
+    assert got.columns == plain.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    assert {r.s for r in got.collect()} == {""} and sql.execute(spark, text).sql == statement.ready()
+    plan = catalog_files.sql_casts_extracts(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1 and "try_cast(regexp_extract(" not in plan
+
+
 def test_dialect_runs(spark, log):
     parsed = workflow.parsed_file(spark, log)[1]
     tables.register(tables.log_events(parsed), tables.server_metrics(parsed))
