@@ -1,3 +1,6 @@
+import random
+import re
+import time
 from datetime import datetime
 
 import pytest
@@ -113,3 +116,25 @@ def test_query_times():
 def test_json_in_replies():
     assert text.first_json('so {bad} ```json\n{"a": {"b": 1}}\n``` {"c": 2}') == {"a": {"b": 1}} and text.first_json("none") is None
     assert text.preview("a\n b", 10) == "a b" and text.table_cell("a|b\nc") == "a\\|b c"
+
+
+def test_patterns_of_the_load_find_what_their_plain_forms_do(spark):
+    """Patterns that do not try starts inside a word give the same groups, and a long word costs no square of its length."""
+    plain = {
+        "METRIC_PAIR": r"([a-zA-Z][\w.]+)=([^,\s{}]+)", "METHOD_SIG": r"([A-Za-z][A-Za-z0-9_\.]*(?:\.java)?:\d+)", "SCHEDULED_OP": r"([A-Za-z0-9_]+(?:TO|Job|Index|Task)[A-Za-z0-9_]*)",
+        "RESULT_COUNT": r"(?i)\b(Count|rows?|returned|result\s*(count|size)?)\s*[:=]?\s*(\d{3,})",
+    }
+    r = random.Random(5)
+    bits = ["a", "Z", "9", "_", ".", ":", "=", " ", "{", ",", "é", "ſ", "TO", "Job", "Task", "Index", ".java", "count", "Rows", "returned", "result size", "12", "345"]
+    texts = ["".join(r.choices(bits, k=r.randint(0, 12))) for _ in range(4_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    every = lambda p: F.regexp_extract_all("x", F.lit(parse.unicode(p)), F.lit(0))
+    for name, old in plain.items():
+        new = getattr(rules, name)
+        group = 3 if name == "RESULT_COUNT" else 1
+        pairs = df.select(every(old).alias("a"), every(new).alias("b"), F.regexp_extract("x", parse.unicode(old), group).alias("c"), F.regexp_extract("x", parse.unicode(new), group).alias("d"))
+        assert pairs.where("size(a) > 0").count() > 50 and pairs.where("a <> b or c <> d").count() == 0, name
+    began = time.process_time()
+    for name in ("METRIC_PAIR", "METHOD_SIG", "SCHEDULED_OP"):
+        assert re.search(getattr(rules, name), "a" * 60_000) is None
+    assert time.process_time() - began < 1  # the plain forms take minutes
