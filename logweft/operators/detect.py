@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from .gaps import lagged, minute, quantiles, seconds, with_previous
+from .gaps import lagged, minute, number_of, place, quantiles, seconds, with_previous
 from .tables import pivot
 
 #: Spans in one stretch of time that is counted apart.
@@ -23,8 +23,19 @@ STRETCH = 20
 
 
 def log_gap_rows(events: DataFrame, *, least: float = rules.GAP_SECONDS, top: int | None = 10) -> DataFrame:
-    """Silences between consecutive log lines, the longest first."""
-    led = with_previous(events.where("timestamp is not null").select("timestamp"), "timestamp")
+    """Silences between consecutive log lines, the longest first.
+
+    Lines in one bucket of time of ``least`` seconds are nearer than that, so
+    a silence lies between the last line of a bucket and the first of the
+    next: buckets are ordered, and not lines.
+    """
+    at = events.where("timestamp is not null").select("timestamp")
+    width = int(least * 1_000_000)
+    if width > 0:
+        buckets = at.groupBy(F.floor(number_of(at, "timestamp") / width).alias("_bucket")).agg(F.min("timestamp").alias("timestamp"), F.max("timestamp").alias("_last"))
+        led = lagged(buckets, "timestamp", ["_last"]).withColumnRenamed("prev__last", "prev_ts")
+    else:
+        led = with_previous(at, "timestamp")
     out = led.where("prev_ts is not null").select("timestamp", "prev_ts", seconds("prev_ts", "timestamp").alias("gap_seconds")).where(F.col("gap_seconds") >= least)
     return out if top is None else out.orderBy(F.desc("gap_seconds"), "timestamp").limit(top)
 
@@ -45,10 +56,11 @@ def correlation_rows(metrics: DataFrame, *, deltas: tuple[float, float] = (5, 2)
     """Snapshots in which threads and connections rose together or are both high.
 
     Snapshots are pivoted, one row per timestamp, before each looks at the one
-    before it.
+    before it.  Ranges of time are cut at quantiles of the metrics' own
+    times, so nothing is pivoted for them.
     """
     p = pivot(metrics, {"jvm.threadCount": "thread_count", "dbcp.ActiveConnections": "active_conns", "hibernate.sessionCount": "hibernate_sessions"}).where("thread_count is not null or active_conns is not null")
-    near = lagged(p, "timestamp", ["thread_count", "active_conns"])
+    near = lagged(p, "timestamp", ["thread_count", "active_conns"], range_=place(metrics, "timestamp"))
     d = near.select(*p.columns, (F.col("thread_count") - F.col("prev_thread_count")).alias("thread_delta"), (F.col("active_conns") - F.col("prev_active_conns")).alias("conn_delta"))
     out = d.where(((F.col("thread_delta") > deltas[0]) & (F.col("conn_delta") > deltas[1])) | ((F.col("thread_count") > levels[0]) & (F.col("active_conns") > levels[1])))
     return out if top is None else out.orderBy(F.asc_nulls_last("timestamp")).limit(top)
@@ -56,10 +68,12 @@ def correlation_rows(metrics: DataFrame, *, deltas: tuple[float, float] = (5, 2)
 
 def breadth_rows(events: DataFrame) -> DataFrame:
     """Distinct method signatures in the first and in the last third of the log's span: one row."""
-    bounds = events.agg(F.min("timestamp").alias("t_min"), F.max("timestamp").alias("t_max"))
+    # A signature is early if its first line is, and late if its last one is; lines without one count for the bounds.
+    per = events.groupBy("method_sig").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    bounds = per.agg(F.min("first").alias("t_min"), F.max("last").alias("t_max"))
     cuts = bounds.select((F.col("t_min") + (F.col("t_max") - F.col("t_min")) / 3).alias("early_to"), (F.col("t_min") + (F.col("t_max") - F.col("t_min")) * 2 / 3).alias("late_from"))
-    near = events.where("method_sig is not null").select("timestamp", "method_sig").crossJoin(F.broadcast(cuts))  # one row
-    return near.agg(F.countDistinct(F.when(F.col("timestamp") <= F.col("early_to"), F.col("method_sig"))).alias("early_signatures"), F.countDistinct(F.when(F.col("timestamp") >= F.col("late_from"), F.col("method_sig"))).alias("late_signatures"))
+    near = per.where("method_sig is not null").crossJoin(F.broadcast(cuts))  # one row
+    return near.agg(F.count(F.when(F.col("first") <= F.col("early_to"), 1)).alias("early_signatures"), F.count(F.when(F.col("last") >= F.col("late_from"), 1)).alias("late_signatures"))
 
 
 def result_count_rows(events: DataFrame, *, top: int = 5) -> DataFrame:

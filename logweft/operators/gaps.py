@@ -15,15 +15,16 @@ FEW = 10_000
 RANGES = 64
 
 
-def lagged(rows: DataFrame, at: str, carry: list[str], partitions: int | None = None) -> DataFrame:
+def lagged(rows: DataFrame, at: str, carry: list[str], partitions: int | None = None, range_: Column | None = None) -> DataFrame:
     """``rows`` with prev_<c> of the carried columns, as LAG over a global order of ``at`` (nulls last) gives them.
 
     Values are cut into ranges at approximate quantiles (exactness is not
     needed of them); LAG runs inside each range, and the first row of a range
     takes the last of the ranges before, from a table with one row for each
     range.  Where ``at`` repeats, rows carry what is equal among them.
+    ``range_`` gives the ranges where a cheaper frame has been cut already.
     """
-    ranged = rows.withColumn("_range", place(rows, at, partitions))
+    ranged = rows.withColumn("_range", place(rows, at, partitions) if range_ is None else range_)
     held, inside = F.struct(*carry), Window.partitionBy("_range").orderBy(F.asc_nulls_last(at))
     led = ranged.withColumns({"_prev": F.lag(held).over(inside), "_first": F.row_number().over(inside) == 1})
     last = ranged.groupBy("_range").agg(F.max_by(held, at).alias("_last"))

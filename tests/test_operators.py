@@ -511,3 +511,30 @@ def test_waiting_rows_are_packed_in_the_state():
     rows = [{"at_ms": k, "line_no": k, "is_start": k % 3 == 0, "is_end": k % 5 == 0} for k in range(50_000)]
     list(state.handleInputRows(("f", "t"), iter(rows), None))
     assert len(kept) == 3
+
+
+@pytest.mark.parametrize("least", [120, 0.5, 7.000001])
+def test_silences_between_buckets_are_those_between_lines(spark, least):
+    """Every silence as a plain pass finds it; what is ordered are buckets of time, not lines."""
+    r = random.Random(9)
+    at, times = -5_000_000_000, []
+    for _ in range(800):
+        at += r.choice([0, 1, 400_000, 499_999, 500_000, 7_000_000, 7_000_001, 119_999_999, 120_000_000, 900_000_000])
+        times.append(at)
+    df = spark.createDataFrame([(t,) for t in r.sample(times, len(times))] + [(None,)], "t long").repartition(3).select(F.expr("timestampadd(MICROSECOND, t, timestamp_ntz'1970-01-01 00:00:00')").alias("timestamp"))
+    got = detect.log_gap_rows(df, least=least, top=None)
+    micros = [F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {c})") for c in ("prev_ts", "timestamp")]
+    want = [(a, b) for a, b in zip(times, times[1:]) if (b - a) / 1e6 >= least]
+    assert want and sorted(map(tuple, got.select(*micros).collect())) == want
+    assert "min(timestamp" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_breadth_takes_a_row_for_each_signature(spark):
+    """Signatures are counted by their first and last line, and lines without one belong to the log's span."""
+    r = random.Random(3)
+    rows = [(r.choice([None, *"abcdefgh"]), r.choice([None, *range(900)])) for _ in range(60)] + [(None, 0), (None, 899)]
+    df = spark.createDataFrame(rows, "method_sig string, t long").select("method_sig", F.expr("timestampadd(SECOND, t, timestamp_ntz'2024-01-01 00:00:00')").alias("timestamp"))
+    timed = [(m, t) for m, t in rows if m and t is not None]
+    got = detect.breadth_rows(df)
+    assert got.first().asDict() == {"early_signatures": len({m for m, t in timed if t <= 899 / 3}), "late_signatures": len({m for m, t in timed if t >= 899 * 2 / 3})}
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
