@@ -129,7 +129,7 @@ def request_documents(parsed: DataFrame, signals: RetrievalSignals, label: Colum
     rows = number_spans(rows, ["source_path", "primary_key"], "line_no", starts, ends, block)
     words = [*signals.iam_keywords, *signals.error_keywords]
     loud = parse.any_contains(F.col("clean"), words)  # cheap, and necessary for what follows
-    kept = rows.where(F.col("in_request") | (F.col("_end") == 1) | (loud & parse.any_contains(extract.diagnostic_text(F.col("clean")), words)))
+    kept = rows.where(F.col("in_request") | (F.col("_end") == 1) | (loud & extract.told(F.col("clean"), words)))
     # A request that no exit ends is let go at the thread's next entry: each entry tells its line to the span before.
     kept = kept.withColumn("_tells", F.explode(F.when((F.col("_start") == 1) & (F.col("span_no") > 1), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     own = lambda c: F.when(~F.col("_tells"), c)
@@ -140,9 +140,11 @@ def request_documents(parsed: DataFrame, signals: RetrievalSignals, label: Colum
         F.min(F.when(F.col("_tells"), F.col("line_no"))).alias("_next"))
     text = grouped.withColumn("content", F.array_join(F.transform("_lines", lambda x: x["clean"]), "\n"))
     c = F.col("content")
-    flagged = text.withColumns({"iam_critical": extract.is_critical(c, signals), "has_error_signal": extract.is_error(c, signals)})
-    flagged = flagged.withColumn("anomaly_score", extract.anomaly_score(c, signals, F.col("iam_critical"), F.col("has_error_signal")))
-    edge = extract.has_marker(c, signals.start_markers) | extract.has_marker(c, signals.end_markers)
+    # What words are looked for in is a column of its own before they are, so it is worked out once for a document.
+    told = text.withColumns({"_told": extract.diagnostic_text(c), "_edge": extract.has_marker(c, [*signals.start_markers, *signals.end_markers])})
+    edge = F.col("_edge")
+    flagged = told.withColumns({"iam_critical": parse.any_contains(F.col("_told"), signals.iam_keywords), "has_error_signal": parse.any_contains(F.col("_told"), signals.error_keywords)})
+    flagged = flagged.withColumn("anomaly_score", extract.anomaly_score(c, signals, F.col("iam_critical"), F.col("has_error_signal"), edge))
     done = flagged.select(
         "content", "source_file", "source_path", "primary_key", F.when(F.col("in_request"), "api_request").otherwise("api_signal_event").alias("key_type"), F.when(F.col("in_request"), "request").otherwise("line").alias("chunk_level"),
         (F.col("in_request") & (F.col("_matched") == 0)).alias("unmatched_exit"), iso(F.col("_t0")).alias("start_time"), iso(F.col("_t1")).alias("end_time"), F.col("line_count").cast("int"), "start_line", "end_line",

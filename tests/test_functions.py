@@ -138,3 +138,11 @@ def test_patterns_of_the_load_find_what_their_plain_forms_do(spark):
     for name in ("METRIC_PAIR", "METHOD_SIG", "SCHEDULED_OP"):
         assert re.search(getattr(rules, name), "a" * 60_000) is None
     assert time.process_time() - began < 1  # the plain forms take minutes
+
+
+def test_words_are_looked_for_in_one_diagnostic_text(spark):
+    """The text without stack frames is worked out once, not for each word."""
+    df = spark.createDataFrame([("x",)], "x string")
+    s = RetrievalSignals()
+    for column in (extract.is_error(F.col("x"), s), extract.is_critical(F.col("x"), s)):
+        assert df.select(column.alias("y"))._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2

@@ -538,3 +538,11 @@ def test_breadth_takes_a_row_for_each_signature(spark):
     got = detect.breadth_rows(df)
     assert got.first().asDict() == {"early_signatures": len({m for m, t in timed if t <= 899 / 3}), "late_signatures": len({m for m, t in timed if t >= 899 * 2 / 3})}
     assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_document_is_looked_through_once(spark):
+    """Words are looked for in one text of a document, whatever their number."""
+    kept = []
+    rows = spark.createDataFrame(traces(1, 1), "source_path string, source_file string, line_no long, ts timestamp_ntz, thread string, clean string")
+    spans.request_documents(rows, S, keep=lambda df: kept.append(df) or df)
+    assert kept[0]._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 4
